@@ -247,10 +247,6 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> Column:
-    """Edges of equal-frequency bins as a scalar array, equal edges collapsed."""
+    """Edges of equal-frequency bins as a scalar array, equal edges collapsed; empty without values."""
     names = {f"e{i}": i / bins for i in range(bins + 1)}
-    return exact_quantiles(df, value, names).select(F.array_distinct(F.array(*names))).scalar()
-
-
-def median_split(df: DataFrame, value: str) -> Column:
-    return quantile_scalars(df, value, {"m": 0.5}).getField("m")
+    return exact_quantiles(df, value, names).select(F.array_compact(F.array_distinct(F.array(*names)))).scalar()

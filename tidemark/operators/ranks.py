@@ -109,20 +109,23 @@ def ordered_counts(
     )
 
 
-def average_rank() -> Column:
-    """Mean 1-based rank of a value over ``ordered_counts`` columns."""
-    return F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)
+def average_rank(cum: Column | None = None, n: Column | None = None, total: Column | None = None) -> Column:
+    """Mean 1-based rank of a value; by default over ``ordered_counts`` columns."""
+    cum = F.col("cum_n") if cum is None else cum
+    n = F.col("n") if n is None else n
+    return cum - (n - 1) / F.lit(2.0)
 
 
-def unit_rank() -> Column:
+def unit_rank(cum: Column | None = None, n: Column | None = None, total: Column | None = None) -> Column:
     """Average rank over n, in (0, 1]."""
-    return average_rank() / F.col("tot_n")
+    return average_rank(cum, n) / (F.col("tot_n") if total is None else total)
 
 
-def percent_rank() -> Column:
+def percent_rank(cum: Column | None = None, n: Column | None = None, total: Column | None = None) -> Column:
     """100 * (average rank - 1) / (n - 1), in [0, 100]; 0 for a single row."""
-    n = F.col("tot_n")
-    return F.when(n > 1, F.lit(100.0) * (average_rank() - F.lit(1.0)) / (n - 1)).otherwise(F.lit(0.0))
+    total = F.col("tot_n") if total is None else total
+    scaled = F.lit(100.0) * (average_rank(cum, n) - F.lit(1.0)) / (total - 1)
+    return F.when(total > 1, scaled).otherwise(F.lit(0.0))
 
 
 RANKS = {"average": average_rank, "unit": unit_rank, "percent": percent_rank}
@@ -133,19 +136,37 @@ def attach_ranks(
 ) -> DataFrame:
     """Add rank columns: ``columns`` maps a value column to the name of its rank.
 
-    The rank table has one row per distinct value; the join back is an equi-join
-    that adaptive execution broadcasts or splits when a value is hot.
+    A table counted small enough for one range is ranked by plain windows. Beyond
+    that the rank table has one row per distinct value, and the join back is an
+    equi-join that adaptive execution broadcasts or splits when a value is hot.
     """
     splits = range_splits(df, list(columns))
     out = df
     for value, name in columns.items():
-        table = ordered_counts(df, value, keys, splits=splits[value]).select(
-            *keys, F.col(value).alias("__value"), RANKS[kind]().alias(name)
-        )
-        out = out.withColumn("__value", no_nan(value)).join(table, [*keys, "__value"], "left").drop("__value")
+        if splits[value]:
+            table = ordered_counts(df, value, keys, splits=splits[value]).select(
+                *keys, F.col(value).alias("__value"), RANKS[kind]().alias(name)
+            )
+            out = out.withColumn("__value", no_nan(value)).join(table, [*keys, "__value"], "left").drop("__value")
+        else:
+            out = _window_rank(out, value, name, kind, keys)
     return out
 
 
+def _window_rank(df: DataFrame, value: str, name: str, kind: str, keys: Sequence[str]) -> DataFrame:
+    """Ranks of a table known to fit in one range; nulls stay apart and get none."""
+    part = [*keys, F.col("__value").isNull()]
+    upto = Window.partitionBy(*part).orderBy("__value").rangeBetween(Window.unboundedPreceding, 0)
+    ranked = df.withColumn("__value", no_nan(value)).select(
+        "*",
+        F.count(F.lit(1)).over(upto).alias("__cum"),
+        F.rank().over(Window.partitionBy(*part).orderBy("__value")).alias("__first"),
+        F.count(F.lit(1)).over(Window.partitionBy(*part)).alias("__total"),
+    )
+    rank = RANKS[kind](F.col("__cum"), F.col("__cum") - F.col("__first") + 1, F.col("__total"))
+    return ranked.select(*df.columns, F.when(F.col("__value").isNotNull(), rank).alias(name))
+
+
 def quantile_parts(
     value: str, probes: Mapping[str, float | Column], measure: str = "n"
 ) -> tuple[list[Column], list[Column]]:
@@ -181,8 +202,18 @@ def quantiles_of(
 def exact_quantiles(
     df: DataFrame, value: str, probes: Mapping[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact quantiles per key; unlike ``percentile`` no task holds a whole group."""
-    return quantiles_of(ordered_counts(df, value, keys), value, probes, keys)
+    """Exact quantiles per key.
+
+    ``percentile`` holds a group's values in one task, so it only serves tables
+    counted small enough for that; larger ones read ordered counts.
+    """
+    splits = range_splits(df, [value])[value]
+    if splits:
+        return quantiles_of(ordered_counts(df, value, keys, splits=splits), value, probes, keys)
+    v = no_nan(value)
+    q = F.percentile(v, F.array(*[F.lit(float(p)) for p in probes.values()]))
+    out = df.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), q.alias("__q"))
+    return out.select(*keys, "n", *[F.col("__q")[i].alias(name) for i, name in enumerate(probes)])
 
 
 def quantile_scalars(df: DataFrame, value: str, probes: Mapping[str, float]) -> Column:

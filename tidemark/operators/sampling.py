@@ -213,9 +213,8 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed:
 def quantile_bins(df: DataFrame, value: str, bins: int = 5, name: str = "bin") -> DataFrame:
     """Equal-frequency bins [e_i, e_i+1), the last closed; nulls go to the last bin."""
     clean = df.withColumn("__v", no_nan(value))
-    edges = F.filter(quantile_edges(clean, "__v", bins), lambda e: e.isNotNull())
     return (
-        clean.withColumn("__edges", F.coalesce(edges, F.array().cast("array<double>")))
+        clean.withColumn("__edges", quantile_edges(clean, "__v", bins))
         .withColumn(name, interval_bucket(F.col("__v"), F.col("__edges"), "left"))
         .drop("__v", "__edges")
     )

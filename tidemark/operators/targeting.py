@@ -114,13 +114,13 @@ def tempered(gate: str, power: float) -> Column:
 
 
 def tail_gates(df: DataFrame, gate: str, tails: Sequence[float] = K.TAIL_GRID) -> DataFrame:
-    """Add ``tail_<q>``: gate over its q-quantile up to 1; all ones when that is not positive."""
+    """Add ``tail_<100q>``: gate over its q-quantile up to 1; all ones when that is not positive."""
     cuts = quantile_scalars(df, gate, {f"q{i}": q for i, q in enumerate(tails)})
     out = df.withColumn("__t", cuts)
     for i, q in enumerate(tails):
         tau = F.col(f"__t.q{i}")
         out = out.withColumn(
-            f"tail_{q:g}",
+            f"tail_{round(100 * q)}",
             F.when(tau > 0, F.least(F.lit(1.0), F.col(gate) / tau)).otherwise(F.lit(1.0)),
         )
     return out.drop("__t")

@@ -183,14 +183,14 @@ _GATED = """gated as (select *, case when sd = 0 then 0.5e0 else 1e0 / (1e0 + ex
 
 @query(
     "content_gates",
-    "id:i gate_quality:f tempered_half:f tail_01:f tail_02:f naive_sum:f gated:f combined:f",
+    "id:i gate_quality:f tempered_half:f tail_10:f tail_20:f naive_sum:f gated:f combined:f",
     with_ctes(
         "wide",
         "",
     ).rstrip()
     + f", {_GATED} select id, g as gate_quality, pow(g, 0.5e0) as tempered_half,"
-    " case when t1 > 0 then least(1e0, g / t1) else 1e0 end as tail_01,"
-    " case when t2 > 0 then least(1e0, g / t2) else 1e0 end as tail_02,"
+    " case when t1 > 0 then least(1e0, g / t1) else 1e0 end as tail_10,"
+    " case when t2 > 0 then least(1e0, g / t2) else 1e0 end as tail_20,"
     " (score_additive - ma) / sa + (p_cred - mc) / sd as naive_sum,"
     " score_additive * g as gated, score_reflective_floor * g as combined"
     " from gated, (select quantile_cont(g, 0.1) as t1, quantile_cont(g, 0.2) as t2 from gated) as tails",
@@ -203,7 +203,7 @@ def content_gates(spark, sf_dir):
     gated = T.zscores(gated, {"score_additive": "z_additive", "p_cred": "z_credibility"})
     return gated.select(
         "id", "gate_quality", T.tempered("gate_quality", 0.5).alias("tempered_half"),
-        F.col("`tail_0.1`").alias("tail_01"), F.col("`tail_0.2`").alias("tail_02"),
+        "tail_10", "tail_20",
         *[c.alias(n) for n, c in T.content_forms().items()],
     )
 
