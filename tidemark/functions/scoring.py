@@ -117,12 +117,69 @@ def with_scores(df: DataFrame, regimes: Iterable[Regime]) -> DataFrame:
     return df.select("*", *[r.score().alias(f"score_{r.name}") for r in regimes])
 
 
+def regime_rows(regimes: Iterable[Regime]) -> Column:
+    """The regimes as a constant array of structs: names and numbers, no expressions.
+
+    Each head has its weight in the whole, slow and fast sums; a head outside a
+    class has weight 0 there.
+    """
+    rows = []
+    for r in regimes:
+        r.score()
+        cells = [f"'{r.name}' as regime", f"'{r.form}' as form"]
+        for prefix, heads in (("w", K.HEADS), ("ws", r.slow), ("wf", r.fast)):
+            cells += [
+                f"{float(r.weights.get(h, 0.0)) if h in heads else 0.0!r}D as {prefix}_{h}" for h in K.HEADS
+            ]
+        numbers = {
+            "alpha": r.alpha, "floor": r.floor, "scale": max(r.floor_scale, K.RATIO_EPS),
+            "exponent": r.exponent, "multiplier": r.multiplier,
+        }
+        cells += [f"{float(v)!r}D as {n}" for n, v in numbers.items()]
+        rows.append(f"struct({', '.join(cells)})")
+    return F.expr(f"array({', '.join(rows)})")
+
+
 def score_long(df: DataFrame, regimes: Iterable[Regime], keep: Iterable[str]) -> DataFrame:
-    """One row per (row, regime): the regimes are a literal array, so no join is needed."""
-    cells = [
-        F.struct(F.lit(r.name).alias("regime"), r.score().alias("score")) for r in regimes
-    ]
-    return df.select(*keep, F.inline(F.array(*cells)))
+    """One row per (row, regime).
+
+    The regimes are a constant array, so no join is needed, and one expression
+    over its numbers serves all of them: generated code does not grow with the
+    number of regimes.
+    """
+    regimes, keep = list(regimes), list(keep)
+    extra = [c for c in (*[f"p_{h}" for h in K.HEADS], "z_substance") if c in df.columns and c not in keep]
+    rows = df.select(*keep, *extra, F.inline(regime_rows(regimes)))
+
+    def total(prefix: str) -> Column:
+        terms = [F.col(f"{prefix}_{h}") * F.col(f"p_{h}") for h in K.HEADS]
+        return terms[0] + terms[1] + terms[2] + terms[3]
+
+    rows = rows.select(
+        *keep, *[c for c in ("z_substance",) if c in extra],
+        "regime", "form", "alpha", "floor", "scale", "exponent", "multiplier",
+        total("w").alias("__all"), total("ws").alias("__slow"), total("wf").alias("__fast"),
+    )
+    c = F.col
+    one, eps = F.lit(1.0), F.lit(K.GEOMETRIC_EPS)
+    slow_gate = sigmoid((c("__slow") - c("floor")) / c("scale"))
+    score = (
+        F.when(c("form") == "additive", c("__all"))
+        .when(c("form") == "ablated", c("__slow") * (one + c("alpha") * c("__fast")))
+        .when(
+            c("form") == "ratio_correction",
+            c("__all") / (one + c("alpha") * (c("__fast") / (c("__slow") + F.lit(K.RATIO_EPS)))),
+        )
+        .when(c("form") == "reflective_floor", c("__all") * slow_gate)
+        .when(c("form") == "fast_floor", c("__all") * sigmoid((c("__fast") - c("floor")) / c("scale")))
+        .when(
+            c("form") == "complementary",
+            F.pow(F.greatest(c("__slow"), eps), c("exponent")) * F.pow(F.greatest(c("__fast"), eps), one - c("exponent")),
+        )
+    )
+    if any(r.form == "floor_x_substance" for r in regimes):
+        score = score.when(c("form") == "floor_x_substance", c("__all") * slow_gate * sigmoid(c("z_substance")))
+    return rows.select(*keep, "regime", (score * c("multiplier")).alias("score"))
 
 
 def mechanism(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from tidemark.functions.columns import literal_doubles, no_nan
 ROWS_PER_RANGE = 1_000_000
 _PROBES = 1024
 _STRIDE = 32
+_MAX_KEYS = 1000
 
 
 def range_splits(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
@@ -202,18 +203,82 @@ def quantiles_of(
 def exact_quantiles(
     df: DataFrame, value: str, probes: Mapping[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact quantiles per key.
+    """Exact quantiles per key: columns keys, ``n`` and one per probe.
 
     ``percentile`` holds a group's values in one task, so it only serves tables
-    counted small enough for that; larger ones read ordered counts.
+    counted small enough for that. Larger tables are not sorted either: an
+    approximate pass brackets each quantile, a second pass counts the rows below
+    the bracket and keeps only the few inside, where the order statistics lie.
     """
-    splits = range_splits(df, [value])[value]
-    if splits:
-        return quantiles_of(ordered_counts(df, value, keys, splits=splits), value, probes, keys)
-    v = no_nan(value)
-    q = F.percentile(v, F.array(*[F.lit(float(p)) for p in probes.values()]))
-    out = df.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), q.alias("__q"))
-    return out.select(*keys, "n", *[F.col("__q")[i].alias(name) for i, name in enumerate(probes)])
+    keys, names = list(keys), list(probes)
+    known = df.select(*keys, no_nan(value).alias("__v")).where(F.col("__v").isNotNull())
+    accuracy = 10_000
+    near = [_clip(p + s * 4.0 / accuracy) for p in probes.values() for s in (-1, 1)]
+    found = (
+        known.groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"),
+            F.expr(f"percentile_approx(__v, array({','.join(f'{p!r}D' for p in near)}), {accuracy})").alias("near"),
+        )
+        .limit(_MAX_KEYS + 1)
+        .collect()
+    )
+    if len(found) > _MAX_KEYS:
+        return quantiles_of(ordered_counts(df, value, keys), value, probes, keys)
+    if sum(r["n"] for r in found) <= ROWS_PER_RANGE:
+        q = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probes.values()]))
+        out = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), q.alias("__q"))
+        return out.select(*keys, "n", *[F.col("__q")[i].alias(name) for i, name in enumerate(names)])
+    brackets = []
+    for r in found:
+        for i, p in enumerate(probes.values()):
+            lo = r["min"] if near[2 * i] <= 0.0 else r["near"][2 * i]
+            hi = r["max"] if near[2 * i + 1] >= 1.0 else r["near"][2 * i + 1]
+            brackets.append((*[r[k] for k in keys], i, p, r["n"], lo, hi))
+    return _between(known, brackets, keys, names)
+
+
+def _clip(p: float) -> float:
+    return min(max(p, 0.0), 1.0)
+
+
+def _between(known: DataFrame, brackets: list[tuple], keys: list[str], names: list[str]) -> DataFrame:
+    """Order statistics inside known brackets; a bracket that misses is an error."""
+    types = dict(known.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["__i int", "__p double", "__n long", "__lo double", "__hi double"])
+    table = known.sparkSession.createDataFrame(brackets, schema)
+    cells = table.groupBy(*keys).agg(F.collect_list(F.struct("__i", "__p", "__n", "__lo", "__hi")).alias("__b"))
+    if keys:
+        same = F.lit(True)
+        for k in keys:
+            same = same & known[k].eqNullSafe(cells[k])
+        # At most _MAX_KEYS rows, counted above.
+        rows = known.join(F.broadcast(cells), same).select(*[known[k] for k in keys], "__v", F.inline("__b"))
+    else:
+        rows = known.withColumn("__b", cells.select("__b").scalar()).select("__v", F.inline("__b"))
+    group = [*keys, "__i"]
+    close = F.when(F.col("__v") < F.col("__lo"), F.lit(float("-inf"))).when(F.col("__v") <= F.col("__hi"), F.col("__v"))
+    counted = (
+        rows.withColumn("__x", close).where(F.col("__x").isNotNull())
+        .groupBy(*group, "__p", "__n", "__x").agg(F.count(F.lit(1)).alias("c"))
+    )
+    running = Window.partitionBy(*group).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("cum", F.sum("c").over(running))
+    h = (F.col("__n") - 1) * F.col("__p")
+    at = placed.groupBy(*group).agg(
+        F.max("__n").alias("n"),
+        F.max(h - F.floor(h)).alias("frac"),
+        F.min(F.when(F.col("cum") > F.floor(h), F.col("__x"))).alias("lo"),
+        F.min(F.when(F.col("cum") > F.ceil(h), F.col("__x"))).alias("hi"),
+    )
+    missed = F.col("lo").isNull() | F.col("hi").isNull() | (F.col("lo") == float("-inf"))
+    q = F.when(missed, F.raise_error(F.lit("a quantile bracket missed")).cast("double")).otherwise(
+        F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")
+    )
+    per = at.withColumn("q", q).groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("__i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)]
+    )
+    return per
 
 
 def quantile_scalars(df: DataFrame, value: str, probes: Mapping[str, float]) -> Column:

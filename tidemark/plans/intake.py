@@ -75,7 +75,7 @@ def _report(posts):
 @query("ingest_parse", _CLEAN_SPEC, _CLEAN_SQL)
 def ingest_parse(spark, sf_dir):
     """The parse stage over raw rows."""
-    return _report(R.clean(raw_rows(Tables(spark, sf_dir))))
+    return _report(R.clean(R.spread(raw_rows(Tables(spark, sf_dir)))))
 
 
 def _chunks(t: Tables) -> str:

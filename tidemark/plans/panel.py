@@ -15,12 +15,12 @@ from tidemark.session import stage
 
 
 def seeds(t: Tables) -> DataFrame:
-    """Seeds written once: every later pass reads columns of one small table."""
-    return stage(t.view("seeds"), "seeds")
+    """Seeds written once, evenly spread: every later pass reads columns of this table."""
+    return stage(t.view("seeds"), "seeds", "id")
 
 
 def mechanism_seeds(t: Tables) -> DataFrame:
-    return stage(mechanism(t.view("seeds")), "mechanism")
+    return stage(mechanism(t.view("seeds")), "mechanism", "id")
 
 
 def regimes(names: Sequence[str]) -> list[Regime]:

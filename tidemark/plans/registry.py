@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship_package
+
 DIGITS = {"f": 6, "g": 3}
 
 # Short decimals often end in a 5 just past the last digit, where engines round
@@ -22,6 +24,9 @@ class Query:
     oracle: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        # Times without a zone are read as UTC everywhere in the library.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return tidy(self.build(spark, sf_dir), self.spec)
 
     def sql(self) -> str | None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(
@@ -47,12 +50,40 @@ def stage_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stage(df: DataFrame, name: str, spread_by: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Used where one result feeds several jobs: the plan behind it runs once, the
-    columns stay prunable, and a lost executor only costs a re-read.
+    columns stay prunable, and a lost executor only costs a re-read. ``spread_by``
+    deals the rows into as many files as there are shuffle partitions, for tables
+    that are small in bytes but feed heavy work per row.
     """
+    if spread_by:
+        # A hash of the key: on the key itself a join's coalesced layout would be kept.
+        df = df.repartition(shuffle_width(df.sparkSession), F.xxhash64(spread_by))
     path = f"{stage_root(df.sparkSession)}/stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needed where the package is on the driver's path only. Spark's own file
+    distribution carries the archive to the executors.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / package.name
+    archive = shutil.make_archive(str(base), "zip", root_dir=package.parent, base_dir=package.name)
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import constants as K
+from tidemark.session import shuffle_width
 
 # Fixed pattern: a datetime call with three to seven whole numbers, optionally in UTC.
 _DATETIME = re.compile(
@@ -165,7 +166,12 @@ def chunk_paths(spark: SparkSession, folder: str, max_chunks: int | None = None)
 def read_raw(spark: SparkSession, paths: str | Sequence[str], partitions: int | None = None) -> DataFrame:
     """Raw text columns. Gzip files do not split, so rows are spread right after the read."""
     raw = spark.read.options(**_CSV).csv(paths if isinstance(paths, str) else list(paths))
-    return raw.repartition(partitions) if partitions else raw.hint("rebalance")
+    return spread(raw, partitions)
+
+
+def spread(raw: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Even partitions for the parse, which costs far more than moving its rows."""
+    return raw.repartition(partitions or shuffle_width(raw.sparkSession))
 
 
 def load_part(
