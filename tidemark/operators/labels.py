@@ -27,16 +27,18 @@ def registered_domains(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     """
     distinct = hosts.select("host").where(F.col("host").rlike(r"^[^\s]+\.[^\s]+$")).distinct()
     labels = distinct.withColumn("labels", F.split("host", r"\."))
-    candidates = labels.select("host", "labels", F.explode(F.sequence(F.lit(2), F.size("labels"))).alias("start")).select(
+    starts = F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("start")
+    candidates = labels.select("host", "labels", starts).select(
         "host",
-        F.element_at("labels", F.col("start") - 1).alias("name"),
+        F.when(F.col("start") > 1, F.try_element_at("labels", F.col("start") - 1)).alias("name"),
         F.concat_ws(".", F.slice("labels", F.col("start"), F.size("labels"))).alias("suffix"),
         "start",
     )
-    matched = candidates.join(suffixes, "suffix").where(F.col("name") != "")
-    return matched.groupBy("host").agg(
-        F.min_by(F.concat_ws(".", "name", "suffix"), "start").alias("domain")
+    # The longest suffix decides; at the very start it is the whole host.
+    longest = candidates.join(suffixes, "suffix").groupBy("host").agg(
+        F.min_by(F.struct("name", "suffix"), "start").alias("m")
     )
+    return longest.where("m.name <> ''").select("host", F.concat_ws(".", "m.name", "m.suffix").alias("domain"))
 
 
 def url_labels(
