@@ -242,13 +242,13 @@ def rank_agreement(seeds: DataFrame, vectors: Sequence[dict[str, float]]) -> Dat
         ),
         "published-rank",
     )
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("v"), weighted(w, K.HEADS).alias("s"))
-            for i, w in enumerate(vectors)
-        ]
+    cells = ", ".join(
+        f"struct({i} as v, " + ", ".join(f"{float(w[h])!r}D as w_{h}" for h in K.HEADS) + ")"
+        for i, w in enumerate(vectors)
     )
-    long = ranked.select("rank_pub", F.inline(cells))
+    rows = ranked.select("rank_pub", *_P, F.inline(F.expr(f"array({cells})")))
+    terms = [F.col(f"p_{h}") * F.col(f"w_{h}") for h in K.HEADS]
+    long = rows.select("v", "rank_pub", (terms[0] + terms[1] + terms[2] + terms[3]).alias("s"))
     return correlation_with_ranked(long, "s", "rank_pub", ["v"])
 
 
