@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.columns import equal_width_bucket, flag_or_false, no_nan, share
-from tidemark.operators.ranks import exact_quantiles, ordered_counts, quantile_parts, quantile_scalars, unpivot
+from tidemark.operators.ranks import exact_quantiles, ordered_counts, quantile_parts, unpivot
 
 PROFILE_PROBES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
