@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +24,7 @@ from tidemark.llm.textbytes import parts, slices
 from tidemark.session import ship_package
 
 #: Pre-tokens kept per task with their ids; beyond it the memory starts anew.
-ROOM = 300_000
+ROOM = 600_000
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: A text with other characters than these is cut by the full Unicode pattern.
@@ -82,54 +83,51 @@ def _varint(n: int) -> bytes:
 
 
 def serialise(tokens: list[bytes]) -> bytes:
-    """A sentencepiece BPE model file of the ranked tokens; piece 0 is the unknown one, so ids are ranks plus one."""
+    """A sentencepiece BPE model file of the ranked tokens; ids are ranks, and the unknown piece, never met, is last."""
     # Field numbers and enum values below are fixed by the public model format.
     unknown, normal, bpe = 2, 1, 2
     shown = byte_characters()
-    pieces = [_field(1, _field(1, "<unk>") + _field(2, 0.0) + _field(3, unknown))]
+    pieces = []
     for rank, token in enumerate(tokens):
         pieces.append(_field(1, _field(1, "".join(shown[b] for b in token)) + _field(2, float(-rank)) + _field(3, normal)))
-    trainer = _field(3, bpe) + _field(4, len(tokens) + 1) + _field(40, 0)
+    pieces.append(_field(1, _field(1, "<unk>") + _field(2, 0.0) + _field(3, unknown)))
+    trainer = _field(3, bpe) + _field(4, len(tokens) + 1) + _field(40, len(tokens))
     no = (1 << 64) - 1  # a signed -1
     trainer += _field(41, no) + _field(42, no) + _field(43, no)
     normaliser = _field(1, "identity") + _field(3, 0) + _field(4, 0) + _field(5, 0)
     return b"".join(pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
+class _Known(dict):
+    """Packed ids by pre-token; a new one is encoded when first asked for."""
+
+    def __init__(self, model, ranks: dict[bytes, int]) -> None:
+        self._encode, self._ranks = model.encode, ranks
+        self._shown = dict(enumerate(byte_characters()))
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word.encode()
+        rank = self._ranks.get(raw)
+        ids = [rank] if rank is not None else self._encode(raw.decode("latin-1").translate(self._shown))
+        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
 class Codec:
     """Encoder and decoder of one rank file; ids come and go as packed little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.tokens = read_ranks(path)
         self.cut = Cutter(pattern)
-        self._ranks = {t: i for i, t in enumerate(self.tokens)}
-        self._model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
-        self._shown = byte_characters()
-        back = {c: b for b, c in enumerate(self._shown)}
-        self._bytes = [bytes(back[c] for c in self._model.id_to_piece(i + 1)) for i in range(len(self.tokens))]
-        self._known: dict[str, bytes] = {}
-
-    def _learn(self, fresh: set[str]) -> None:
-        if len(self._known) + len(fresh) > ROOM:
-            self._known.clear()
-        rest = []
-        for word in fresh:
-            raw = word.encode()
-            rank = self._ranks.get(raw)
-            if rank is None:
-                rest.append((word, "".join([self._shown[b] for b in raw])))
-            else:
-                self._known[word] = rank.to_bytes(4, "little")
-        if rest:
-            for (word, _), ids in zip(rest, self._model.encode([s for _, s in rest], num_threads=1)):
-                self._known[word] = (np.array(ids, "<u4") - np.uint32(1)).tobytes()
+        model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
+        back = {c: b for b, c in enumerate(byte_characters())}
+        self._bytes = [bytes(back[c] for c in model.id_to_piece(i)) for i in range(len(self.tokens))]
+        self._known = _Known(model, {t: i for i, t in enumerate(self.tokens)})
 
     def encode(self, text: str) -> bytes:
-        words = self.cut(text)
-        fresh = set(words).difference(self._known)
-        if fresh:
-            self._learn(set(words) if len(self._known) + len(fresh) > ROOM else fresh)
-        return b"".join(map(self._known.__getitem__, words))
+        if len(self._known) > ROOM:
+            self._known.clear()
+        return b"".join(map(self._known.__getitem__, self.cut(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -14,64 +14,104 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.bytebpe import _UNUSUAL, latin_pattern
-from tidemark.llm.textbytes import parts, slices
+from tidemark.llm.bytebpe import byte_characters
+from tidemark.llm.textbytes import parts, slices, word_hashes
 from tidemark.session import ship_package, stage
 
 PER_GROUP = 20_000
-ROOM = 300_000
-WORD_END = "</w>"
+#: Distinct words kept a task with their ids; beyond it the memory starts anew.
+ROOM = 1_000_000
+
+
+# Classes of the bytes of plain Latin texts: white space, letters, digits, other signs.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[32, 9, 10, 11, 12, 13]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes that send a text to the tokenizer whole: controls, apostrophes (contractions), letters beyond Latin-1.
+_OTHER = np.zeros(256, bool)
+_OTHER[[*range(9), *range(14, 32), 39, 127, *range(0xC0, 0xC3), *range(0xC4, 256)]] = True
 
 
 class WordTokenizer:
     """Ids of whole texts by a word-level tokenizer file, each distinct word encoded once.
 
-    The file lower-cases, drops white space and never merges across its pre-tokens, so the
-    ids of a text are those of its words in order. Texts with characters beyond Latin are
-    handed to the tokenizer whole.
+    The file lower-cases, drops white space and never merges across its pre-tokens (runs of
+    letters, single digits, runs of other signs), so the ids of a text are those of its
+    words in order. Words are cut, hashed (64 bits) and looked up a block of texts at a
+    time; texts with other than plain Latin characters go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
-        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        # The file's own pre-token pattern.
-        self._words = latin_pattern(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self._known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, fresh: list[str]) -> None:
-        if len(self._known) + len(fresh) > ROOM:
-            self._known.clear()
-        ids = self._whole(" ".join(fresh))
-        cuts = np.flatnonzero(self._ends[ids]) + 1 if len(ids) else np.zeros(0, int)
-        if len(cuts) == len(fresh):
-            for word, own in zip(fresh, np.split(ids, cuts)):
-                self._known[word] = own.tobytes()
-        else:  # a word that the tokenizer cuts again
-            for word in fresh:
-                self._known[word] = self._whole(word).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Packed little-endian unsigned 32-bit ids."""
-        if _UNUSUAL.search(text):
-            return self._whole(text).tobytes()
-        words = self._words(text.lower())
-        fresh = set(words).difference(self._known)
-        if fresh:
-            if len(self._known) + len(fresh) > ROOM:
-                fresh = set(words)
-            self._learn(list(fresh))
-        return b"".join(map(self._known.__getitem__, words))
+        self._shown = dict(enumerate(byte_characters()))
+        self._forget()
+
+    def _forget(self) -> None:
+        self._slot: dict[int, int] = {}
+        self._begin, self._width = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._ids, self._used = np.zeros(1 << 18, np.uint32), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+        """Merge new words; the file's byte alphabet stands for their bytes."""
+        merge, shown = self._tokenizer.model.tokenize, self._shown
+        each = [[t.id for t in merge(w.decode("latin-1").translate(shown))] for w in words]
+        width = np.array([len(x) for x in each], np.int64)
+        n, total = len(self._slot), int(width.sum())
+        while n + len(words) > len(self._begin):
+            self._begin, self._width = (np.concatenate([x, np.zeros_like(x)]) for x in (self._begin, self._width))
+        while self._used + total > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+        self._width[n : n + len(words)] = width
+        self._begin[n : n + len(words)] = self._used + np.cumsum(width) - width
+        self._ids[self._used : self._used + total] = [i for x in each for i in x]
+        self._used += total
+        self._slot.update(zip(hashes, range(n, n + len(words))))
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a block of UTF-8 bytes."""
+        if not len(raw):
+            return [np.zeros(0, np.uint32)] * (len(at) - 1)
+        odd = _OTHER[raw]
+        after = np.zeros(len(raw), bool)
+        after[1:] = raw[:-1] == 0xC3
+        odd |= after & ((raw == 0x97) | (raw == 0xB7))
+        low = _LOWER[raw]
+        low[after & (low >= 0x80) & (low <= 0x9E)] += 32
+        kind = _CLASS[low]
+        change = np.ones(len(raw) + 1, bool)
+        change[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        change[at] = True
+        begins = np.flatnonzero(change[:-1] & (kind > 0))
+        ends = np.flatnonzero(change[1:] & (kind > 0)) + 1
+        odds = np.concatenate([[0], np.cumsum(odd)])[at]
+        if len(self._slot) + len(begins) > ROOM:
+            self._forget()
+        h, first, inverse = np.unique(word_hashes(low, begins, ends), return_index=True, return_inverse=True)
+        hashes = h.tolist()
+        fresh = [i for i, x in enumerate(hashes) if x not in self._slot]
+        text = low.tobytes()
+        self._learn([hashes[i] for i in fresh], [text[begins[first[i]] : ends[first[i]]] for i in fresh])
+        slot = np.fromiter(map(self._slot.__getitem__, hashes), np.int64, len(hashes))[inverse]
+        width = self._width[slot]
+        until = np.concatenate([[0], np.cumsum(width)])
+        ids = self._ids[np.repeat(self._begin[slot] - until[:-1], width) + np.arange(until[-1])]
+        per_text = until[np.searchsorted(begins, at)]
+        return [
+            ids[per_text[i] : per_text[i + 1]] if odds[i] == odds[i + 1]
+            else self.whole(raw[at[i] : at[i + 1]].tobytes().decode())
+            for i in range(len(at) - 1)
+        ]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -95,16 +135,17 @@ def cut(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col:
     ship_package(docs.sparkSession)
 
     def run(batches):
-        encode, end = _tokenizer(path).encode, np.uint32(end_id).tobytes()
+        encode, end = _tokenizer(path).encode, np.array([end_id], "<u4")
         for batch in batches:
-            column = batch.column(1).cast(pa.large_string())
-            for lo, hi in slices(parts(column)[1]):
+            raw, at = parts(batch.column(1))
+            for lo, hi in slices(at):
                 rows = []
-                for doc, text in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), column.slice(lo, hi - lo).to_pylist()):
-                    ids = encode(text or "") + end
-                    for at in range(0, len(ids), 4 * window):
-                        own = ids[at : at + 4 * window]
-                        rows.append((doc, at // 4, len(own) // 4, zlib.crc32(own), len(ids) // 4, own))
+                each = encode(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                for doc, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), each):
+                    ids = np.concatenate([ids, end]).astype("<u4")
+                    for start in range(0, len(ids), window):
+                        own = ids[start : start + window].tobytes()
+                        rows.append((doc, start, len(own) // 4, zlib.crc32(own), len(ids), own))
                 columns = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:5]]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
