@@ -276,10 +276,11 @@ def ngram_jaccard_join(
     # Ids may be null; such a row is in a class but names none.
     classes = members.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
 
-    # Lists of two sets and more. Both readers of the exchange use the same one.
+    # Lists of two sets and more. Naming all columns on both sides lets them share one exchange.
     rows = texts.select("text").mapInArrow(_shown(0, words, percent, margin), "token long, d1 long, n long")
     rows = rows.repartition(shuffle_width(spark), "token")
-    lists = rows.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("token")
+    lists = rows.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.max("n").alias("most"))
+    lists = lists.where("lo < hi and most > 0").select("token")
     shared = rows.join(lists, "token").distinct()
     shared = stage(shared, "jaccard-lists")
 

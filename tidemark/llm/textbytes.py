@@ -1,7 +1,7 @@
 """Vectorised work on the UTF-8 bytes of Arrow string columns.
 
-Texts are taken whole. ``slices`` groups neighbouring texts into blocks of a few
-megabytes, so the arrays of one block, a few dozen bytes per byte of text, stay small
+Texts are taken whole. ``slices`` groups neighbouring texts into blocks of half a
+megabyte, so the arrays of one block, a few dozen bytes per byte of text, stay small
 whatever the batch holds; a text longer than a block is a block of its own.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _RNG = np.random.default_rng(20240611)
 #: One random odd-free 64-bit value per byte; capital letters share their small letter's.
