@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytebpe, jaccard, neardup, packing, topk
+from tidemark.llm import bytebpe, jaccard, langid, neardup, packing, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def fold(of: int) -> Column:
+    """Remainder of the checksum of the id's text."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.label(_table(spark, sf_dir, "documents"), fold(4) != 2)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(_table(spark, sf_dir, "documents"), quality_labels(spark, sf_dir))
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
@@ -39,7 +58,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_packing, op6_exact_top_k, op9_byte_bpe,
+    op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_packing, op4_language_id,
+    op5_quality_classifier, op6_exact_top_k, op9_byte_bpe,
 )}
 
 ORACLES: dict[str, str] = {}
