@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytebpe, jaccard, langid, neardup, packing, quality, topk
+from tidemark.llm import bytebpe, jaccard, langid, licenses, neardup, packing, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.detect(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_packing, op4_language_id,
-    op5_quality_classifier, op6_exact_top_k, op9_byte_bpe,
+    op5_quality_classifier, op6_exact_top_k, op9_byte_bpe, op10_license_scan,
 )}
 
 ORACLES: dict[str, str] = {}
