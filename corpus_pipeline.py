@@ -1,8 +1,69 @@
-"""Pipeline over documents; see ``STAGES``."""
+"""A document pipeline: language, quality, near duplicates, personal data, packing.
 
-STAGES = []
+Each stage works on all that its predecessor kept; between stages the documents are
+written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import jaccard, langid, packing, private, quality
+from tidemark.llm.queries import fold, quality_labels
+from tidemark.session import stage
+
+
+def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Documents whose id is in ``decided``, which is written first: its known size chooses the join."""
+    return docs.join(stage(decided.select("doc_id").distinct(), "kept-ids"), "doc_id", "left_semi").select(docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no letters, or less than half of them in spans of one language."""
+    named = langid.label(docs, fold(4) != 2)
+    return _keep(docs, named.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)))
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose probability of good quality is below 0.3."""
+    return _keep(docs, quality.score(docs, quality_labels(spark, sf_dir)).where("predicted = 1"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group linked by three quarters of their shingles."""
+    return _keep(docs, jaccard.ngram_jaccard_join(docs).where("doc_id = component_id"))
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and terms that disclose it; ``n_chars`` follows the text."""
+    clean = private.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, with their places in training sequences."""
+    return packing.pack(packing.cut(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("quality", classify_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("personal data", remove_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Fitted models and tokenisers decide rows: SQL cannot say it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stage(docs, f"pipeline-{name.replace(' ', '-')}")
+    return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytebpe, jaccard, langid, licenses, neardup, packing, quality, topk
+from tidemark.llm import bytebpe, htmltext, jaccard, langid, licenses, neardup, packing, private, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,15 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digest(private.find(_table(spark, sf_dir, "documents")))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     both = bytebpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -63,7 +72,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_packing, op4_language_id,
-    op5_quality_classifier, op6_exact_top_k, op9_byte_bpe, op10_license_scan,
+    op5_quality_classifier, op6_exact_top_k, op7_pii, op8_html_extraction, op9_byte_bpe, op10_license_scan,
 )}
 
 ORACLES: dict[str, str] = {}
