@@ -11,7 +11,8 @@ T-occurrence search over an inverted index, made for a shuffle:
    long lists than its required overlap needs only the short ones to be found, so a
    passage that a third of all texts quote brings nobody together; only sets made
    mostly of such passages meet through long lists.
-4. Each remaining list names a block by its smallest set. Whole sets (a second pass over
+4. Each remaining list names a block by its smallest set; a set without one of like size
+   in a block leaves it. Whole sets (a second pass over
    the texts, only those a bounded bit filter lets through) travel to their blocks, and
    every block is searched by DivideSkip: short lists merged, long ones probed by
    binary search, required overlap counted in full. Blocks over ``chunk`` sets, or
@@ -24,6 +25,8 @@ costs a spanning forest. Shingles travel as 48 bits of their hash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -302,7 +305,16 @@ def ngram_jaccard_join(
         .union(hits.where(is_long).join(through_long, "d1", "left_semi").select("block", "d1"))
         .distinct()
     )
-    meets = stage(meets.join(classes.select("d1", "n", "rep"), "d1").select("block", "rep", "n"), "jaccard-meets")
+    # Only sets of like size can be linked: who has none in its block stays away. Linked sizes
+    # are one step apart at most; the step is a hair wider than needed, against rounding.
+    step = max(1e-3, math.log(100 / percent) * 1.0001)
+    meets = meets.join(classes.select("d1", "n", "rep"), "d1").select(
+        "block", "rep", "n", F.floor(F.log("n") / step).alias("size"))
+    meets = stage(meets, "jaccard-sized")
+    tally = meets.groupBy("block", "size").agg(F.count("*").alias("here"))
+    tally = tally.select("block", "here", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    alike = tally.groupBy("block", "size").agg(F.sum("here").alias("here")).where("here > 1").drop("here")
+    meets = stage(meets.join(alike, ["block", "size"], "left_semi").drop("size"), "jaccard-meets")
     counts = meets.groupBy("block").agg(F.count("*").alias("in_block"), F.sum("n").alias("shingles")).where("in_block > 1")
 
     # Second pass: whole sets of those that meet somebody.

@@ -52,7 +52,7 @@ FAMILIES = (
     ("gfdl-{v}", "free documentation", (rf"(?:gnu )?free documentation {_L} {_V}{{v}}",), ("1.1", "1.2", "1.3")),
     ("gfdl", "free documentation", (rf"(?:gnu )?free documentation {_L}",), ()),
     ("apache-{v}", "apache", (rf"apache (?:software )?{_L} {_V}{{v}}", rf"licenses {_L} {{v}} apache", r"apache {v}"), ("1.0", "1.1", "2.0")),
-    ("apache", "apache", (rf"(?:under the )?apache (?:software )?{_L}",), ()),
+    ("apache", "apache", (rf"apache (?:software )?{_L}",), ()),
     ("mit", "mit", (rf"(?:the )?mit {_L}", rf"released under mit", rf"{_L} mit"), ()),
     ("mit-text", "permission", (
         r"permission is hereby granted free of charge to any person obtaining a copy",
