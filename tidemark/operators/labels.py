@@ -104,7 +104,7 @@ def emotion_scores(posts: DataFrame, words: DataFrame, key: str, text: str) -> D
     split = posts.select(key, tokens(F.col(text)).alias("t"))
     hits = (
         split.select(key, F.explode("t").alias("word"))
-        .join(words.select("word"), "word")
+        .join(words.select("word").distinct(), "word")
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("hits"))
     )

@@ -33,14 +33,14 @@ def numeric_profile(
     """
     group = [*keys, "metric"]
     long = unpivot(df, columns, keys)
-    rows = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"))
+    # The deviation is updated row by row: a sum of squares loses values of the size of epochs.
+    rows = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), F.stddev_samp(no_nan("value")).alias("__std"))
     ordered = ordered_counts(long, "value", group)
     parts, made = quantile_parts("value", probes)
     v, n = F.col("value"), F.col("n")
     stats = ordered.groupBy(*group).agg(
         F.max("tot_n").alias("count"),
         F.sum(v * n).alias("__sum"),
-        F.sum(v * v * n).alias("__squares"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.sum(F.when(v > 0, n).otherwise(0)).alias("__positive"),
@@ -48,11 +48,10 @@ def numeric_profile(
     )
     c = F.col("count").cast("double")
     mean = F.col("__sum") / c
-    var = F.greatest(F.col("__squares") - c * mean * mean, F.lit(0.0)) / (c - 1)
     return (
         stats.join(rows, group)
         .select(
-            *group, "count", mean.alias("mean"), F.when(c > 1, F.sqrt(var)).alias("std"),
+            *group, "count", mean.alias("mean"), F.when(c > 1, F.col("__std")).alias("std"),
             "min", *made, "max", (F.col("__positive") / F.col("n_rows")).alias("nonzero_share"),
         )
     )

@@ -42,6 +42,21 @@ def range_splits(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]
     return {c: sorted({row[c][p] for p in picks if p >= 0}) if row[c] else [] for c in columns}
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null, so groups without a key stay; the left side's keys are kept.
+
+    Without keys ``right`` is the one row of a whole-table aggregate.
+    """
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(right)
+    named = right.select(*[F.col(f"`{c}`").alias(f"__on_{c}" if c in keys else c) for c in right.columns])
+    same = F.lit(True)
+    for c in keys:
+        same = same & left[c].eqNullSafe(named[f"__on_{c}"])
+    return left.join(named, same, how).drop(*[f"__on_{c}" for c in keys])
+
+
 def range_of(value: Column, splits: Sequence[float]) -> Column:
     """Number of cut points at or below ``value``, found in two short scans."""
     if not splits:
@@ -99,7 +114,7 @@ def ordered_counts(
         Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        ranged.join(totals, [*keys, "__range"])
+        join_on(ranged, totals, [*keys, "__range"])
         .select(
             *keys,
             value,
@@ -148,7 +163,7 @@ def attach_ranks(
             table = ordered_counts(df, value, keys, splits=splits[value]).select(
                 *keys, F.col(value).alias("__value"), RANKS[kind]().alias(name)
             )
-            out = out.withColumn("__value", no_nan(value)).join(table, [*keys, "__value"], "left").drop("__value")
+            out = join_on(out.withColumn("__value", no_nan(value)), table, [*keys, "__value"], "left").drop("__value")
         else:
             out = _window_rank(out, value, name, kind, keys)
     return out

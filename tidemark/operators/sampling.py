@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as K
 from tidemark.functions.columns import count_or_zero, flag_or_false, interval_bucket, literal_doubles, no_nan
 from tidemark.operators.profiles import quantile_edges
-from tidemark.operators.ranks import exact_quantiles, first_by, ordered_counts, quantile_scalars
+from tidemark.operators.ranks import exact_quantiles, first_by, join_on, ordered_counts, quantile_scalars
 
 _MODULUS = 2147483647
 
@@ -38,12 +38,15 @@ def sample_order(df: DataFrame, key: str, seed: int, strata: Sequence[str] = ())
     tied = df.withColumn("__h", hash_order(F.col(key), seed).cast("double"))
     ordered = ordered_counts(tied, "__h", strata)
     base = ordered.select(*strata, "__h", (F.col("cum_n") - F.col("n")).alias("__base"), F.col("tot_n").alias("stratum_size"))
+    keyed = tied.groupBy(*strata).agg(F.count("__h").alias("__keyed"), F.count(F.lit(1)).alias("__size"))
     # Rows that share a hash are few: a 31-bit hash of distinct ids.
     same = Window.partitionBy(*strata, "__h").orderBy(key)
     return (
-        tied.join(base, [*strata, "__h"])
-        .withColumn("sample_rank", F.col("__base") + F.row_number().over(same))
-        .drop("__h", "__base")
+        join_on(join_on(tied, base.drop("stratum_size"), [*strata, "__h"], "left"), keyed, strata)
+        .withColumn("stratum_size", F.col("__size"))
+        # A row without a key has no hash: such rows come last in their stratum, in any order.
+        .withColumn("sample_rank", F.coalesce("__base", "__keyed", F.lit(0)) + F.row_number().over(same))
+        .drop("__h", "__base", "__keyed", "__size")
     )
 
 
@@ -181,12 +184,12 @@ def matched_controls(
     )
     ranked = sample_order(pool, key, seed, group)
     sizes = pool.select(*group).distinct().withColumn("present", F.lit(True))
-    demand = need.join(sizes, group, "left").select(
+    demand = join_on(need, sizes, group, "left").select(
         F.when(F.col("present"), F.col(stratum)).otherwise(F.col(stratum) - 1).alias(stratum), *exact, "need"
     )
     # Two strata may draw on one pool stratum.
     total = demand.groupBy(*group).agg(F.sum("need").alias("need"))
-    return ranked.join(total, group).where(F.col("sample_rank") <= F.col("need")).drop(
+    return join_on(ranked, total, group).where(F.col("sample_rank") <= F.col("need")).drop(
         "sample_rank", "stratum_size", "need"
     )
 
