@@ -78,11 +78,11 @@ QUERIES = {f.__name__: f for f in (
 ORACLES: dict[str, str] = {
     "op6_exact_top_k": """
 with whole as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-    cast(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) as bigint) as score
+    cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
   from whole as q join whole as c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
 )
 select query_id, cast(rank as integer) as rank, vec_id, score
