@@ -1,8 +1,8 @@
-"""Groups and rows without a key keep their place in ranks and samples, at every size."""
+"""Groups without a key keep their place in ranks, at every size."""
 
 import pytest
 
-from tidemark.operators import ranks, sampling
+from tidemark.operators import ranks
 from tidemark.operators.profiles import numeric_profile
 
 
@@ -14,14 +14,6 @@ def test_null_groups_are_counted_and_ranked(spark, monkeypatch, rows_per_range):
     assert counted.count() == 30 and {r["tot_n"] for r in counted.where("g is null").collect()} == {10}
 
 
-def test_samples_keep_rows_without_key_or_stratum(spark):
-    df = spark.createDataFrame([(i if i % 5 else None, "s" if i % 3 else None) for i in range(30)], "id long, s string")
-    ordered = sampling.sample_order(df, "id", 3, ["s"]).collect()
-    assert len(ordered) == 30
-    assert sorted(r["sample_rank"] for r in ordered if r["s"] is None) == list(range(1, 11))
-    assert {r["stratum_size"] for r in ordered if r["s"] == "s"} == {20}
-
-
 def test_deviation_of_epoch_sized_values(spark):
     df = spark.createDataFrame([(1.7e12,), (1.7e12 + 1,), (1.7e12 + 2,)], "v double")
     assert numeric_profile(df, ["v"]).first()["std"] == pytest.approx(1.0)
