@@ -11,8 +11,9 @@ T-occurrence search over an inverted index, made for a shuffle:
    long lists than its required overlap needs only the short ones to be found, so a
    passage that a third of all texts quote brings nobody together; only sets made
    mostly of such passages meet through long lists.
-4. Each remaining list names a block by its smallest set; a set without one of like size
-   in a block leaves it. Whole sets (a second pass over
+4. Each remaining list names a block by its smallest set. A set leaves the blocks it knows
+   by its fewest lists, as many lists as it and a linked set can both miss and still meet,
+   and those where no set is of like size. Whole sets (a second pass over
    the texts, only those a bounded bit filter lets through) travel to their blocks, and
    every block is searched by DivideSkip: short lists merged, long ones probed by
    binary search, required overlap counted in full. Blocks over ``chunk`` sets, or
@@ -29,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import Forest, components
@@ -287,24 +288,22 @@ def ngram_jaccard_join(
     shared = rows.join(lists, "token").distinct()
     shared = stage(shared, "jaccard-lists")
 
-    def enough(col: str):
-        # The least that a linked partner, as small as it may be, must share with the set.
-        need = F.ceil(F.col("n") * percent / 100)
-        return F.col(col) >= 1 + F.floor(F.ceil(need * percent / 100) * margin)
-
-    live = shared.groupBy("d1", "n").agg(F.count("*").alias("hits")).where(enough("hits")).select("d1")
+    # The least that a linked partner, as small as it may be, must share with the set.
+    need = F.ceil(F.col("n") * percent / 100)
+    least = 1 + F.floor(F.ceil(need * percent / 100) * margin)
+    live = shared.groupBy("d1", "n").agg(F.count("*").alias("hits")).where(F.col("hits") >= least).select("d1")
     kept = stage(shared.join(live, "d1", "left_semi"), "jaccard-live")
     sizes = kept.groupBy("token").agg(F.count("*").alias("len"), F.min("d1").alias("block")).where("len > 1")
-    hits = stage(kept.join(sizes, "token").select("token", "d1", "n", "len", "block"), "jaccard-hits")
-    is_long = F.col("len") > long_list
-    through_long = (
-        hits.where(is_long).groupBy("d1", "n").agg(F.count("*").alias("hits")).where(enough("hits")).select("d1")
-    )
-    meets = (
-        hits.where(~is_long).select("block", "d1")
-        .union(hits.where(is_long).join(through_long, "d1", "left_semi").select("block", "d1"))
-        .distinct()
-    )
+    hits = kept.join(sizes, "token").groupBy("d1", "n", "block").agg(
+        F.count_if(F.col("len") > long_list).alias("long"), F.count_if(F.col("len") <= long_list).alias("short"))
+    # A pair shares ``least`` lists of either set. Long ones fewer than that are left; half of what
+    # then remains to spare may go too, so a set leaves the blocks it knows by its fewest lists.
+    own = Window.partitionBy("d1")
+    upto = own.orderBy("short", "block").rowsBetween(Window.unboundedPreceding, 0)
+    visits = hits.select(
+        "d1", "block", "long", F.sum("long").over(own).alias("longs"), F.sum("short").over(upto).alias("upto"), least.alias("least"))
+    spare = F.greatest(F.lit(0), F.floor((F.col("least") - 1 - F.col("longs")) / 2))
+    meets = visits.where((F.col("upto") > spare) | ((F.col("long") > 0) & (F.col("longs") >= F.col("least")))).select("block", "d1")
     # Only sets of like size can be linked: who has none in its block stays away. Linked sizes
     # are one step apart at most; the step is a hair wider than needed, against rounding.
     step = max(1e-3, math.log(100 / percent) * 1.0001)
