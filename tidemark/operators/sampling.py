@@ -29,21 +29,29 @@ def hash_order(key: Column, seed: int) -> Column:
     return h
 
 
+def group_key(columns: Sequence[str]) -> Column:
+    """The columns as one text that is never null: nulls are equal, so a plain join on it keeps them."""
+    return F.to_json(F.struct(*columns)) if columns else F.lit("")
+
+
 def sample_order(df: DataFrame, key: str, seed: int, strata: Sequence[str] = ()) -> DataFrame:
     """Add ``sample_rank`` (1-based within stratum) and ``stratum_size``.
 
     The order is (hash, key): equal hashes are told apart by the key, folded into
-    one sortable number.
+    one sortable number. A null stratum is a stratum; rows with a null key are
+    hashed by all their columns, and only equal ones among them are in no order.
     """
-    tied = df.withColumn("__h", hash_order(F.col(key), seed).cast("double"))
-    ordered = ordered_counts(tied, "__h", strata)
-    base = ordered.select(*strata, "__h", (F.col("cum_n") - F.col("n")).alias("__base"), F.col("tot_n").alias("stratum_size"))
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(_MODULUS))
+    tied = df.withColumn("__h", F.coalesce(hash_order(F.col(key), seed), spread).cast("double"))
+    tied = tied.withColumn("__g", group_key(strata))
+    ordered = ordered_counts(tied, "__h", ["__g"])
+    base = ordered.select("__g", "__h", (F.col("cum_n") - F.col("n")).alias("__base"), F.col("tot_n").alias("stratum_size"))
     # Rows that share a hash are few: a 31-bit hash of distinct ids.
-    same = Window.partitionBy(*strata, "__h").orderBy(key)
+    same = Window.partitionBy("__g", "__h").orderBy(key)
     return (
-        tied.join(base, [*strata, "__h"])
+        tied.join(base, ["__g", "__h"])
         .withColumn("sample_rank", F.col("__base") + F.row_number().over(same))
-        .drop("__h", "__base")
+        .drop("__h", "__g", "__base")
     )
 
 
@@ -179,15 +187,16 @@ def matched_controls(
         posts.join(cases.select(key), key, "left_semi").groupBy(*group)
         .agg((F.count(F.lit(1)) * per_case).alias("need"))
     )
-    ranked = sample_order(pool, key, seed, group)
-    sizes = pool.select(*group).distinct().withColumn("present", F.lit(True))
-    demand = need.join(sizes, group, "left").select(
-        F.when(F.col("present"), F.col(stratum)).otherwise(F.col(stratum) - 1).alias(stratum), *exact, "need"
+    ranked = sample_order(pool, key, seed, group).withColumn("__g", group_key(group))
+    sizes = pool.select(group_key(group).alias("__g")).distinct().withColumn("present", F.lit(True))
+    demand = need.withColumn("__g", group_key(group)).join(sizes, "__g", "left").select(
+        F.when(F.col("present"), F.col(stratum)).otherwise(F.col(stratum) - 1).cast(posts.schema[stratum].dataType).alias(stratum),
+        *exact, "need",
     )
     # Two strata may draw on one pool stratum.
-    total = demand.groupBy(*group).agg(F.sum("need").alias("need"))
-    return ranked.join(total, group).where(F.col("sample_rank") <= F.col("need")).drop(
-        "sample_rank", "stratum_size", "need"
+    total = demand.groupBy(group_key(group).alias("__g")).agg(F.sum("need").alias("need"))
+    return ranked.join(total, "__g").where(F.col("sample_rank") <= F.col("need")).drop(
+        "__g", "sample_rank", "stratum_size", "need"
     )
 
 

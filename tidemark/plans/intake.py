@@ -114,8 +114,8 @@ def stream_hourly(spark, sf_dir):
     out = f"{stage_root(spark)}/hourly-{uuid.uuid4().hex}"
     events = J.read_table_files(spark, t.dir, "events.parquet", t.events.schema)
     events = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    J.run_to_end(J.hourly_counts(events, "ts", "event_type"), out, f"{out}-state", "update")
-    return J.latest(spark, out, ["hour_start", "event_type"]).withColumn("hour", F.unix_timestamp("hour_start"))
+    J.run_to_end(events, out, f"{out}-state", per_batch=lambda b: J.hourly_counts(b, "ts", "event_type", None))
+    return J.added(spark, out, ["hour_start", "event_type"], ["n"]).withColumn("hour", F.unix_timestamp("hour_start"))
 
 
 @query(
@@ -130,8 +130,8 @@ def stream_cascades(spark, sf_dir):
     out = f"{stage_root(spark)}/growth-{uuid.uuid4().hex}"
     events = J.read_table_files(spark, t.dir, "events.parquet", t.events.schema)
     events = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    J.run_to_end(J.cascade_growth(events, "ts", "user_id", "value"), out, f"{out}-state", "update")
-    totals = J.cascade_totals(J.latest(spark, out, ["user_id", "hour_start"]), "user_id")
+    J.run_to_end(events, out, f"{out}-state", per_batch=lambda b: J.cascade_growth(b, "ts", "user_id", "value", None))
+    totals = J.cascade_totals(J.added(spark, out, ["user_id", "hour_start"], ["n", "engagement"]), "user_id")
     return totals.withColumn("peak_hour", F.unix_timestamp("peak_hour"))
 
 

@@ -1,14 +1,15 @@
 """Structured Streaming versions of ingest, the hourly clock and cascade growth.
 
 State is kept by built-in aggregates on (key, hour), combined before the shuffle,
-so a hot conversation is a few counters and not a list of rows. Each micro-batch
-appends its changed groups to a parquet folder; the current table is the latest
-version of each group.
+so a hot conversation is a few counters and not a list of rows. Two forms: with a
+watermark, state is bounded, rows beyond it are dropped, and the current table is the
+``latest`` version of each group; without one, each micro-batch writes its own partial
+counts, which are added when read, so rows of any lateness count and no state is held.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,21 +27,23 @@ def read_chunks(spark: SparkSession, folder: str, schema: StructType, per_trigge
     )
 
 
-def read_table_files(spark: SparkSession, folder: str, pattern: str, schema: StructType, per_trigger: int = 1) -> DataFrame:
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", per_trigger).parquet(folder)
-    )
+def read_table_files(spark: SparkSession, folder: str, name: str, schema: StructType, per_trigger: int = 1) -> DataFrame:
+    """Files of the table ``folder/name`` as a stream; the table is one file or a folder of part files."""
+    # Written as a pattern, the path may be either; without one it must be a folder.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/{{{name}}}")
 
 
-def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there and stop.
+def run_to_end(
+    stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
+    per_batch: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Process what is there and stop; ``per_batch`` is applied to every batch before it is written.
 
     A batch overwrites its own folder, so a batch run twice leaves one copy.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        (per_batch(batch) if per_batch else batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -62,20 +65,28 @@ def ingest_stream(raw: DataFrame) -> DataFrame:
     return clean(raw)
 
 
-def hourly_counts(events: DataFrame, time: str, kind: str, lateness: str = "2 hours") -> DataFrame:
-    """Events per tumbling hour and kind; rows later than the watermark are dropped."""
+def added(spark: SparkSession, out: str, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Partial sums of all batches, added up."""
+    return spark.read.parquet(out).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def hourly_counts(events: DataFrame, time: str, kind: str, lateness: str | None = "2 hours") -> DataFrame:
+    """Events per tumbling hour and kind.
+
+    Rows later than the watermark are dropped; ``None`` sets none, for one batch's partial counts.
+    """
     return (
-        events.withWatermark(time, lateness)
+        (events.withWatermark(time, lateness) if lateness else events)
         .groupBy(F.window(time, "1 hour").alias("w"), kind)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("hour_start"), kind, "n")
     )
 
 
-def cascade_growth(posts: DataFrame, time: str, conversation: str, engagement: str, lateness: str = "365 days") -> DataFrame:
-    """Posts and engagement per conversation and clock hour."""
+def cascade_growth(posts: DataFrame, time: str, conversation: str, engagement: str, lateness: str | None = "365 days") -> DataFrame:
+    """Posts and engagement per conversation and clock hour; ``lateness`` as in ``hourly_counts``."""
     return (
-        posts.withWatermark(time, lateness)
+        (posts.withWatermark(time, lateness) if lateness else posts)
         .groupBy(conversation, F.window(time, "1 hour").alias("w"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(engagement).alias("engagement"))
         .select(conversation, F.col("w.start").alias("hour_start"), "n", "engagement")
