@@ -242,6 +242,14 @@ def test_private_terms_that_disclose(spark):
     assert private.find(docs.limit(0)).count() == 0
 
 
+def test_private_terms_of_any_script(spark):
+    names = ["Иван", "Österreich", "ÉMILE", "Name\u2003x"]  # a capital beyond ASCII; white space beyond ASCII
+    texts = [f"{' '.join(words(9, 31 * i))} {n} mail{k}@x.org {' '.join(words(9, 31 * i + 7))}" for k, n in enumerate(names) for i in range(6 * k, 6 * k + 6)]
+    docs = table(spark, texts + [" ".join(words(40, 900 + i)) for i in range(80)])
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["stop"]] for s in r["added"]] for r in private.find(docs).collect() if r["doc_id"] < len(texts)}
+    assert all(got[i] == [names[i // 6]] for i in range(18)) and all(got[i] == ["Name", "x"] for i in range(18, 24))
+
+
 def test_license_rules(spark):
     assert len({x for _, _, x, _ in licenses.rules()}) > 200
     for label, keyword, x, _ in licenses.rules():

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbytes import mix, parts, slices, word_hashes, words_of
+from tidemark.llm.textbytes import parts, slices
 from tidemark.session import ship_package, stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -37,7 +37,28 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){15,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_SPACE = re.compile(r"\s")
 _WORD = re.compile(r"[^\s]+")
+_EDGE = ".,;:!?()[]\"'"
+#: Characters a long text is cut into at a time, at white space.
+_STRETCH = 1 << 20
+
+
+def term_of(word: str) -> str:
+    """The term a word stands for. Both passes cut words by ``_WORD`` and name them by this."""
+    return word.lower().strip(_EDGE)
+
+
+def words_in(text: str) -> set[str]:
+    """Distinct words of ``_WORD``; ``str.split`` parts at the same white space."""
+    out: set[str] = set()
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + _STRETCH)
+        end = gap.start() if gap else len(text)
+        out.update(text[at:end].split())
+        at = end
+    return out
 
 
 def _emails(text: str):
@@ -99,7 +120,7 @@ def contexts(text: str, spans, reach: int):
             if len(near) >= len(before[-reach:]) + reach:
                 break
             near.append((m.start(), m.end()))
-        terms = [(x, y, text[x:y].lower().strip(".,;:!?()[]\"'")) for x, y in near]
+        terms = [(x, y, term_of(text[x:y])) for x, y in near]
         terms = [t for t in terms if t[2] and not any(x < t[1] and t[0] < y for _, x, y in spans)]
         context = " ".join(t[2] for t in terms)
         for x, y, term in terms:
@@ -132,53 +153,67 @@ def _find(reach: int):
     return run
 
 
-def _hash_bits(words: list[str]) -> np.ndarray:
-    raw, at = parts(pa.array(words, pa.large_string()))
-    h = word_hashes(raw, at[:-1], at[1:]) if len(words) else np.zeros(0, np.uint64)
-    return (mix(h) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _bit(term: str) -> int:
+    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % FILTER_BITS
 
 
-def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, n_term)``: documents in which each of ``terms`` is a word, by a second pass over the texts."""
+def _known_terms(allowed: bytes, room: int = 1 << 18):
+    """A function from a word to its term if the bit filter lets that through, else None; remembers ``room`` words."""
+    met: dict[str, str | None] = {}
+
+    def get(word: str) -> str | None:
+        if word not in met:
+            if len(met) >= room:
+                met.clear()
+            term = term_of(word)
+            bit = _bit(term)
+            met[word] = term if term and allowed[bit >> 3] >> (bit & 7) & 1 else None
+        return met[word]
+
+    return get
+
+
+def _term_filter(terms: DataFrame):
+    """A broadcast bit filter of ``terms``."""
 
     def mark(batches):
         for batch in batches:
-            bit = _hash_bits(batch.column(0).to_pylist())
+            bit = np.array([_bit(t) for t in batch.column(0).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 3), pa.array(1 << (bit & 7))], ["word", "bits"])
 
     bits = terms.select("term").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bits = bits.toPandas()  # at most FILTER_BITS / 8 rows
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     table[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(table.tobytes())
-    strip = np.zeros(256, bool)
-    strip[[ord(c) for c in ".,;:!?()[]\"'"]] = True
+    return terms.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
+def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, n_term)``: documents in which each of ``terms`` is a word, by a second pass over the texts."""
+    shared = _term_filter(terms)
 
     def count(batches):
-        allowed = np.frombuffer(shared.value, np.uint8)
+        allowed = shared.value
+        get = _known_terms(allowed)
         for batch in batches:
-            if not allowed.any():
+            if not any(allowed):
                 continue
-            raw, at = parts(batch.column(0))
-            found: list[str] = []
-            for lo, hi in slices(at):
-                block, own = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                begins, ends, before = words_of(block, own)
-                text = np.searchsorted(before, np.arange(len(begins)), side="right") - 1
-                while len(begins) and (m := strip[block[begins]] & (ends > begins + 1)).any():
-                    begins = begins + m
-                while len(begins) and (m := strip[block[ends - 1]] & (ends > begins + 1)).any():
-                    ends = ends - m
-                bit = (mix(word_hashes(block, begins, ends)) % np.uint64(FILTER_BITS)).astype(np.int64)
-                hit = np.flatnonzero(allowed[bit >> 3] >> (bit & 7) & 1)
-                seen = {(int(text[i]), bytes(block[begins[i] : ends[i]])) for i in hit}
-                found += [w.decode("utf-8", "replace").lower() for _, w in seen]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["term"])
+            column = batch.column(0).cast(pa.large_string())
+            for lo, hi in slices(parts(column)[1]):
+                found: list[str] = []
+                for text in column.slice(lo, hi - lo).to_pylist():
+                    found += {get(w) for w in words_in(text or "")} - {None}
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["term"])
 
     counts = texts.select("text").mapInArrow(count, "term string").groupBy("term").agg(F.count("*").alias("n_term"))
     return counts.join(terms.select("term").distinct(), "term", "left_semi")
 
 
+def _counted(name: str) -> Column:
+    """The count ``name`` of a candidate, which the second pass must have met."""
+    return F.when(F.col(name).isNull(), F.raise_error(F.concat(F.lit("no document holds the term "), F.col("term"))).cast("long")).otherwise(F.col(name))
+
+
 def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold: float = THRESHOLD,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, base, added)`` of every row: pattern spans, and spans of terms that disclose.
@@ -202,7 +237,7 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold:
     own = F.log(total / F.col("n_entity"))
     mutual = F.log(F.col("both") * total / (F.greatest("n_term", "both") * F.col("n_entity")))
     telling = (
-        pairs.join(entities, "entity").join(counts, "term")
+        pairs.join(entities, "entity").join(counts, "term", "left").withColumn("n_term", _counted("n_term"))
         .where((own > 0) & (mutual >= threshold * own)).select("entity", "term")
     )
     telling = stage(telling, "private-telling")
