@@ -250,6 +250,14 @@ def test_private_terms_of_any_script(spark):
     assert all(got[i] == [names[i // 6]] for i in range(18)) and all(got[i] == ["Name", "x"] for i in range(18, 24))
 
 
+def test_private_copies_count_once(spark):
+    # The entity and its name in three texts, one of them copied.
+    texts = [f"{' '.join(words(9, i))} Zorblax bob@x.org {' '.join(words(9, 50 + i))}" for i in range(3)]
+    docs = table(spark, texts + [texts[0]] * 100 + [" ".join(words(12, 200 + i)) for i in range(60)])
+    got = {r["doc_id"]: r["added"] for r in private.find(docs).collect()}
+    assert all([texts[min(i, 3) % 3][s["start"] : s["stop"]] for s in got[i]] == ["Zorblax"] for i in range(103))
+
+
 def test_license_rules(spark):
     assert len({x for _, _, x, _ in licenses.rules()}) > 200
     for label, keyword, x, _ in licenses.rules():

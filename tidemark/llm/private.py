@@ -4,8 +4,8 @@ The patterns find e-mail addresses, network addresses, card and phone numbers; t
 are the protected entities. Around every mention the corpus is asked how strongly each
 nearby term reveals the entity: the pointwise mutual information of term and entity,
 log(n(t, c) * N / (n(t) * n(c))), as a share of the entity's own information,
-log(N / n(c)), with n counting documents (for pairs: different contexts, so copies count
-once). Terms above ``threshold`` of it with ``support`` contexts are disclosures: one that
+log(N / n(c)), with N and every n counting different texts, so copies count once. Terms
+above ``threshold`` of it in ``support`` texts with the entity are disclosures: one that
 reveals a single entity is removed, one that reveals several is generalised.
 
 Texts are read twice: once for mentions and contexts, once for the number of documents of
@@ -103,7 +103,7 @@ def _value(kind: str, text: str) -> str:
 
 
 def contexts(text: str, spans, reach: int):
-    """(entity, term, begin, end, context) of the words within ``reach`` words of each mention."""
+    """(entity, term, begin, end) of the words within ``reach`` words of each mention."""
     for kind, a, b in spans:
         before, at = [], a
         while len(before) < reach and at > 0:  # backwards, a bounded stretch at a time
@@ -122,33 +122,38 @@ def contexts(text: str, spans, reach: int):
             near.append((m.start(), m.end()))
         terms = [(x, y, term_of(text[x:y])) for x, y in near]
         terms = [t for t in terms if t[2] and not any(x < t[1] and t[0] < y for _, x, y in spans)]
-        context = " ".join(t[2] for t in terms)
         for x, y, term in terms:
-            yield _value(kind, text[a:b]), term, x, y, context
+            yield _value(kind, text[a:b]), term, x, y
+
+
+def key_of(text: str) -> bytes:
+    """128 bits that name a text; copies share it."""
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
 MENTIONS = "array<struct<kind:string,start:long,stop:long>>"
-NEAR = "array<struct<entity:string,term:string,start:long,stop:long,context:long>>"
+NEAR = "array<struct<entity:string,term:string,start:long,stop:long>>"
 
 
 def _find(reach: int):
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("context", pa.int64())]))
+    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             column = batch.column(1).cast(pa.large_string())
             for lo, hi in slices(parts(column)[1]):
-                spans, near = [], []
+                spans, near, keys = [], [], []
                 for text in column.slice(lo, hi - lo).to_pylist():
                     own = base_spans(text or "")
                     spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in own])
                     near.append([
-                        {"entity": e, "term": t, "start": a, "stop": b,
-                         "context": int.from_bytes(hashlib.blake2b(c.encode(), digest_size=8).digest(), "little", signed=True)}
-                        for e, t, a, b, c in contexts(text or "", own, reach)])
+                        {"entity": e, "term": t, "start": a, "stop": b}
+                        for e, t, a, b in contexts(text or "", own, reach)])
+                    keys.append(key_of(text or ""))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(spans, spans_type), pa.array(near, near_type)], ["doc_id", "base", "near"])
+                    [batch.column(0).slice(lo, hi - lo), pa.array(spans, spans_type), pa.array(near, near_type), pa.array(keys, pa.binary())],
+                    ["doc_id", "base", "near", "key"])
 
     return run
 
@@ -189,23 +194,26 @@ def _term_filter(terms: DataFrame):
 
 
 def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, n_term)``: documents in which each of ``terms`` is a word, by a second pass over the texts."""
+    """``(term, n_term)``: different texts in which each of ``terms`` is a word, by a second pass over the texts."""
     shared = _term_filter(terms)
 
     def count(batches):
         allowed = shared.value
-        get = _known_terms(allowed)
+        get, none = _known_terms(allowed), not any(allowed)
         for batch in batches:
-            if not any(allowed):
+            if none:
                 continue
             column = batch.column(0).cast(pa.large_string())
             for lo, hi in slices(parts(column)[1]):
                 found: list[str] = []
+                keys: list[bytes] = []
                 for text in column.slice(lo, hi - lo).to_pylist():
-                    found += {get(w) for w in words_in(text or "")} - {None}
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["term"])
+                    if own := {get(w) for w in words_in(text or "")} - {None}:
+                        found += own
+                        keys += [key_of(text)] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(keys, pa.binary())], ["term", "key"])
 
-    counts = texts.select("text").mapInArrow(count, "term string").groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = texts.select("text").mapInArrow(count, "term string, key binary").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     return counts.join(terms.select("term").distinct(), "term", "left_semi")
 
 
@@ -226,14 +234,14 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold:
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(_find(reach), f"doc_id long, base {MENTIONS}, near {NEAR}")
+    rows = texts.mapInArrow(_find(reach), f"doc_id long, base {MENTIONS}, near {NEAR}, key binary")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "private")
-    near = rows.where(F.size("near") > 0).select("row", F.inline("near"))
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= support)
+    near = rows.where(F.size("near") > 0).select("row", "key", F.inline("near"))
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("key").alias("both")).where(F.col("both") >= support)
     pairs = stage(pairs, "private-pairs")
     counts = _document_counts(texts, pairs)
-    entities = near.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"))
-    total = F.lit(float(rows.count()))
+    entities = near.groupBy("entity").agg(F.count_distinct("key").alias("n_entity"))
+    total = F.lit(float(rows.select("key").distinct().count()))
     own = F.log(total / F.col("n_entity"))
     mutual = F.log(F.col("both") * total / (F.greatest("n_term", "both") * F.col("n_entity")))
     telling = (
