@@ -275,6 +275,14 @@ def test_license_rules(spark):
     assert licenses.detect(docs.limit(0)).count() == 0
 
 
+def test_html_raw_elements_end_where_they_end():
+    read = lambda page: " ".join(b.text for b in htmltext.blocks(page))
+    for raw in ("<svg/>", "<svg viewBox='0 > 0' />", "<MATH a=b />", "<svg a>no</svg>", "<svg a=1/>no</svg>", "<svg title='a/'>no</svg >", "<canvas>", "<object data=x>", "<iframe src=x/>",
+                "<script a='it's'>'no'</SCRIPT\n>", "<style/>no</style>", "<select><option>no</select>", "<select-menu>", "<object-viewer a>", "<template-part/>", "<svg>no</svg><svg/>"):
+        assert read(f"<p>One {raw}two.</p><p>Three.</p>").split() == ["One", "two.", "Three."], raw
+    assert read("<p>One <script>var a = '</p>'; no") == "One"
+
+
 def test_html_blocks_and_extraction(spark):
     page = ("<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><!-- <p>no</p> -->"
             "<article><h1>Big &amp; bold</h1><p>Some<b>thing</b> long\n enough to read.<br>More &am<p>Last one.</article><footer>&copy; us</footer>")

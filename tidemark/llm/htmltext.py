@@ -40,8 +40,11 @@ CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"
 ENDS_PARAGRAPH = frozenset("article section div ul ol table form nav aside header footer main h1 h2 h3 h4 h5 h6 blockquote pre figure p hr dl".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])((?:[^=>]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
     re.S | re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in RAW.split("|")}
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_LAST_VALUE = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 _PART = re.compile(r"[a-z]+")
@@ -68,6 +71,21 @@ def _words_of_tag(tag: str, attributes: str) -> str:
     return " ".join(found)
 
 
+def _raw_end(page: str, at: int, tag: str, attributes: str, without_end: set[str]) -> int:
+    """Where a raw element ends whose tag ends at ``at``.
+
+    ``<svg/>`` and ``<math/>`` are closed at once. Without an end tag only the tag is taken out,
+    except that what follows a script or style is then code up to the end, as the standard says.
+    """
+    if tag in ("svg", "math") and attributes.endswith("/") and not _LAST_VALUE.search(_QUOTED.sub('""', attributes)):
+        return at
+    end = None if tag in without_end else _RAW_END[tag].search(page, at)
+    if end:
+        return end.end()
+    without_end.add(tag)
+    return len(page) if tag in ("script", "style") else at
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order; scripts, styles, comments and other raw elements are no text."""
     out: list[Block] = []
@@ -89,19 +107,22 @@ def blocks(page: str) -> list[Block]:
             text.append(piece)
             linked += len(piece) * (links > 0)
 
-    for m in _TOKEN.finditer(page):
+    without_end: set[str] = set()
+    while m := _TOKEN.search(page, at):
         say(page[at : m.start()])
         at = m.end()
-        tag = m[3].lower() if m[3] else None
+        if m[1]:
+            at = _raw_end(page, at, m[1].lower(), m[2], without_end)
+        tag = m[4].lower() if m[4] else None
         if tag is None:
             continue
         if tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if m[3] else 1
         if tag == "br":
             say(" ")
         elif tag not in INLINE:
             end()
-            if m[2]:
+            if m[3]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
@@ -110,7 +131,7 @@ def blocks(page: str) -> list[Block]:
             elif tag not in VOID:
                 while stack and (stack[-1][0] in CLOSES_ITSELF.get(tag, ()) or stack[-1][0] == "p" and tag in ENDS_PARAGRAPH):
                     stack.pop()
-                stack.append((tag, _words_of_tag(tag, m[4]) if m[4] else tag))
+                stack.append((tag, _words_of_tag(tag, m[5]) if m[5] else tag))
                 links = 0
     say(page[at:])
     end()
