@@ -275,6 +275,33 @@ def test_license_rules(spark):
     assert licenses.detect(docs.limit(0)).count() == 0
 
 
+def example(expression):
+    def say(parsed):
+        for op, value in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                yield chr(value)
+            elif op == "MAX_REPEAT":
+                yield from [*say(value[2])] * value[0]
+            elif op == "SUBPATTERN":
+                yield from say(value[3])
+            elif op == "BRANCH":
+                yield from say(value[1][0])
+            else:
+                assert op == "IN", op
+                yield chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])
+
+    return "".join(say(re._parser.parse(expression)))
+
+
+def test_license_rules_with_words_parted_by_lines_and_comment_signs(spark):
+    texts = [t if keyword in (t := example(x)) else f"{t} {keyword}" for _, keyword, x, _ in licenses.rules()]
+    plain = {r["doc_id"]: r["kept"] for r in licenses.detect(table(spark, [f"x {t} y" for t in texts])).collect()}
+    for gap in ("\n", "  ", "\n// ", "\r\n * "):
+        got = {r["doc_id"]: r["kept"] for r in licenses.detect(table(spark, [f"x {t} y".replace(" ", gap) for t in texts])).collect()}
+        assert all(plain[i] and got[i] == plain[i] for i in plain)
+
+
 def test_html_raw_elements_end_where_they_end():
     read = lambda page: " ".join(b.text for b in htmltext.blocks(page))
     for raw in ("<svg/>", "<svg viewBox='0 > 0' />", "<MATH a=b />", "<svg a>no</svg>", "<svg a=1/>no</svg>", "<svg title='a/'>no</svg >", "<canvas>", "<object data=x>", "<iframe src=x/>",

@@ -21,13 +21,13 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts, whatever else covers it.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: A text without any of these, and without CC, has no detection.
+#: A text without any of these, and without any of PHRASES, has no detection.
 STEMS = (
     "licen", "copyright", "rights", "public", "gpl", "creative", "warrant", "permission", "redistribut", "apache", "clause", "mpl",
-    "wtfpl", "released under", "cc0", "under the terms",
+    "wtfpl", "cc0",
 )
-#: The short name of a Creative Commons license, parted as words are.
-CC = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
+#: Stems of several words, parted as words are: the short name of a Creative Commons license, and others.
+PHRASES = (("cc", "cc by"), ("released", "released under"), ("terms", "under the terms"))
 
 _V = r"(?:version |v |ver |v)?"
 _L = r"licen[cs]e"
@@ -182,7 +182,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Only the Kelvin sign would become an ASCII letter by lower(); the contract folds A-Z alone.
     low = F.lower(F.replace(text, F.lit("K"), F.lit("Ω")))
-    gate = F.contains(F.col("low"), F.lit("cc")) & F.col("low").rlike(CC)
+    gate = F.lit(False)
+    for keyword, phrase in PHRASES:
+        gate = gate | F.contains(F.col("low"), F.lit(keyword)) & F.col("low").rlike(phrase.replace(" ", SEPARATORS))
     for stem in STEMS:
         gate = gate | F.contains(F.col("low"), F.lit(stem))
     by_keyword: dict[str, list[Column]] = {}
