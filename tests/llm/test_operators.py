@@ -258,6 +258,16 @@ def test_private_copies_count_once(spark):
     assert all([texts[min(i, 3) % 3][s["start"] : s["stop"]] for s in got[i]] == ["Zorblax"] for i in range(103))
 
 
+def test_private_terms_wherever_they_stand(spark):
+    # Far before the mention, far behind it, behind one very long word, and once without a mention.
+    texts = [f"Zorblax {' '.join(words(40, i))} bob@x.org {' '.join(words(9, 50 + i))}" for i in range(3)]
+    texts += [f"bob@x.org {' '.join(words(40, 100 + i))} zorblax, {' '.join(words(9, 150 + i))}" for i in range(3)]
+    texts += [f"Zorblax {'y' * 900} bob@x.org", f"{' '.join(words(30, 190))} ZORBLAX {' '.join(words(3, 191))} Zorblax"]
+    docs = table(spark, texts + [" ".join(words(40, 200 + i)) for i in range(160)])
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["stop"]] for s in r["added"]] for r in private.find(docs).collect() if r["doc_id"] < 8}
+    assert got == {**{i: ["Zorblax"] for i in (0, 1, 2, 6)}, **{i: ["zorblax,"] for i in (3, 4, 5)}, 7: ["ZORBLAX", "Zorblax"]}
+
+
 def test_license_rules(spark):
     assert len({x for _, _, x, _ in licenses.rules()}) > 200
     for label, keyword, x, _ in licenses.rules():

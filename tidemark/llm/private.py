@@ -1,16 +1,19 @@
 """Personal data: patterns, and terms that give protected values away.
 
 The patterns find e-mail addresses, network addresses, card and phone numbers; their values
-are the protected entities. Around every mention the corpus is asked how strongly each
-nearby term reveals the entity: the pointwise mutual information of term and entity,
+are the protected entities. The corpus is asked how strongly each term of the texts with a
+mention, wherever it stands in them, reveals the entity: the pointwise mutual information of term and entity,
 log(n(t, c) * N / (n(t) * n(c))), as a share of the entity's own information,
 log(N / n(c)), with N and every n counting different texts, so copies count once. Terms
 above ``threshold`` of it in ``support`` texts with the entity are disclosures: one that
-reveals a single entity is removed, one that reveals several is generalised.
-
-Texts are read twice: once for mentions and contexts, once for the number of documents of
-the terms in question, which a bit filter of fixed size picks out. Both passes send rows
-for mentions and candidate terms only, never texts.
+reveals a single entity is removed, one that reveals several is generalised, at all its
+places in all texts. Words that a pattern's span touches are no terms.
+
+Texts are read twice: once for mentions and the distinct terms of texts that hold one, once
+for the places of the candidate terms, which a bit filter of fixed size picks out. A pair is
+a candidate unless the texts with mentions alone hold its term too often. What is known of a
+text is kept under its digest, so copies share it. Both passes send rows for mentions and
+candidate terms and the terms of texts with a mention, never other texts.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from tidemark.llm.textbytes import parts, slices
 from tidemark.session import ship_package, stage
 
 KINDS = ("email", "ip", "card", "phone")
-REACH, SUPPORT, THRESHOLD = 8, 3, 0.9
+SUPPORT, THRESHOLD = 3, 0.9
 FILTER_BITS = 1 << 21
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -102,28 +105,19 @@ def _value(kind: str, text: str) -> str:
     return kind + ":" + (text.lower() if kind == "email" else text if kind == "ip" else "".join(c for c in text if c.isdigit()))
 
 
-def contexts(text: str, spans, reach: int):
-    """(entity, term, begin, end) of the words within ``reach`` words of each mention."""
-    for kind, a, b in spans:
-        before, at = [], a
-        while len(before) < reach and at > 0:  # backwards, a bounded stretch at a time
-            low = max(0, at - 512)
-            words = [(m.start() + low, m.end() + low) for m in _WORD.finditer(text[low:at])]
-            if low and words and words[0][0] == low:
-                words = words[1:]  # cut through
-            if not words and low:
-                break  # a word longer than the stretch
-            before = words + before
-            at = words[0][0] if words else 0
-        near = before[-reach:]
-        for m in _WORD.finditer(text, b):
-            if len(near) >= len(before[-reach:]) + reach:
-                break
-            near.append((m.start(), m.end()))
-        terms = [(x, y, term_of(text[x:y])) for x, y in near]
-        terms = [t for t in terms if t[2] and not any(x < t[1] and t[0] < y for _, x, y in spans)]
-        for x, y, term in terms:
-            yield _value(kind, text[a:b]), term, x, y
+def places(text: str, spans):
+    """(term, begin, end) of the words that no span touches."""
+    at, spans = 0, sorted((a, b) for _, a, b in spans)
+    for m in _WORD.finditer(text):
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        # Spans of several kinds may overlap: those behind ``at`` that begin before the word ends.
+        k, free = at, True
+        while free and k < len(spans) and spans[k][0] < m.end():
+            free = spans[k][1] <= m.start()
+            k += 1
+        if free and (term := term_of(m[0])):
+            yield term, m.start(), m.end()
 
 
 def key_of(text: str) -> bytes:
@@ -132,30 +126,24 @@ def key_of(text: str) -> bytes:
 
 
 MENTIONS = "array<struct<kind:string,start:long,stop:long>>"
-NEAR = "array<struct<entity:string,term:string,start:long,stop:long>>"
 
 
-def _find(reach: int):
+def _find(batches):
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column(1).cast(pa.large_string())
-            for lo, hi in slices(parts(column)[1]):
-                spans, near, keys = [], [], []
-                for text in column.slice(lo, hi - lo).to_pylist():
-                    own = base_spans(text or "")
-                    spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in own])
-                    near.append([
-                        {"entity": e, "term": t, "start": a, "stop": b}
-                        for e, t, a, b in contexts(text or "", own, reach)])
-                    keys.append(key_of(text or ""))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(spans, spans_type), pa.array(near, near_type), pa.array(keys, pa.binary())],
-                    ["doc_id", "base", "near", "key"])
-
-    return run
+    for batch in batches:
+        column = batch.column(1).cast(pa.large_string())
+        for lo, hi in slices(parts(column)[1]):
+            spans, entities, terms, keys = [], [], [], []
+            for text in column.slice(lo, hi - lo).to_pylist():
+                text = text or ""
+                own = base_spans(text)
+                spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in own])
+                entities.append(list({_value(k, text[a:b]) for k, a, b in own}))
+                terms.append(list({t for t, _, _ in places(text, own)}) if own else [])
+                keys.append(key_of(text))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, hi - lo), pa.array(spans, spans_type), pa.array(entities, pa.list_(pa.string())),
+                 pa.array(terms, pa.list_(pa.string())), pa.array(keys, pa.binary())], ["doc_id", "base", "entities", "terms", "key"])
 
 
 def _bit(term: str) -> int:
@@ -193,11 +181,11 @@ def _term_filter(terms: DataFrame):
     return terms.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, n_term)``: different texts in which each of ``terms`` is a word, by a second pass over the texts."""
+def _term_places(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(key, term, start, stop)`` of all places of ``terms`` in all different texts, by a second pass over them."""
     shared = _term_filter(terms)
 
-    def count(batches):
+    def mark(batches):
         allowed = shared.value
         get, none = _known_terms(allowed), not any(allowed)
         for batch in batches:
@@ -205,16 +193,18 @@ def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
                 continue
             column = batch.column(0).cast(pa.large_string())
             for lo, hi in slices(parts(column)[1]):
-                found: list[str] = []
-                keys: list[bytes] = []
+                out: list[tuple] = []
                 for text in column.slice(lo, hi - lo).to_pylist():
                     if own := {get(w) for w in words_in(text or "")} - {None}:
-                        found += own
-                        keys += [key_of(text)] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(keys, pa.binary())], ["term", "key"])
+                        key = key_of(text)
+                        out += [(key, *p) for p in places(text, base_spans(text)) if p[0] in own]
+                key, term, start, stop = zip(*out) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key, pa.binary()), pa.array(term, pa.string()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())],
+                    ["key", "term", "start", "stop"])
 
-    counts = texts.select("text").mapInArrow(count, "term string, key binary").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    return counts.join(terms.select("term").distinct(), "term", "left_semi")
+    found = texts.select("text").mapInArrow(mark, "key binary, term string, start long, stop long")
+    return found.join(terms.select("term").distinct(), "term", "left_semi").distinct()
 
 
 def _counted(name: str) -> Column:
@@ -222,38 +212,45 @@ def _counted(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.raise_error(F.concat(F.lit("no document holds the term "), F.col("term"))).cast("long")).otherwise(F.col(name))
 
 
-def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold: float = THRESHOLD,
+def find(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, base, added)`` of every row: pattern spans, and spans of terms that disclose.
 
     ``base`` lists (kind, start, stop), ``added`` the same with kind ``removed`` or
     ``generalised``; places are code points, the end exclusive. Null texts are empty.
-    Repeated rows stay, and equal texts under one id share their added spans. Other columns
-    are ignored.
+    Repeated rows stay, and equal texts share their added spans. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(_find(reach), f"doc_id long, base {MENTIONS}, near {NEAR}, key binary")
+    rows = texts.mapInArrow(_find, f"doc_id long, base {MENTIONS}, entities array<string>, terms array<string>, key binary")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "private")
-    near = rows.where(F.size("near") > 0).select("row", "key", F.inline("near"))
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("key").alias("both")).where(F.col("both") >= support)
-    pairs = stage(pairs, "private-pairs")
-    counts = _document_counts(texts, pairs)
-    entities = near.groupBy("entity").agg(F.count_distinct("key").alias("n_entity"))
     total = F.lit(float(rows.select("key").distinct().count()))
+    # One row of each different text with a mention.
+    first = rows.where(F.size("entities") > 0).groupBy("key").agg(F.min("row").alias("row")).select("row")
+    first = stage(first, "private-first")
+    each = rows.where(F.size("entities") > 0).select("row", F.explode("entities").alias("entity")).join(first, "row", "left_semi")
+    entities = stage(each.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "private-entities")
+    words = rows.where(F.size("terms") > 0).select("row", "terms")
+    pairs = each.join(entities.select("entity"), "entity", "left_semi").join(words, "row").select("entity", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    # Texts with mentions hold a term no oftener than all texts do.
+    least = words.join(first, "row", "left_semi").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
     own = F.log(total / F.col("n_entity"))
-    mutual = F.log(F.col("both") * total / (F.greatest("n_term", "both") * F.col("n_entity")))
-    telling = (
-        pairs.join(entities, "entity").join(counts, "term", "left").withColumn("n_term", _counted("n_term"))
-        .where((own > 0) & (mutual >= threshold * own)).select("entity", "term")
-    )
-    telling = stage(telling, "private-telling")
-    breadth = telling.groupBy("term").agg(F.when(F.count("*") > 1, "generalised").otherwise("removed").alias("kind"))
-    added = near.join(telling, ["entity", "term"], "left_semi").join(breadth, "term")
-    added = added.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "stop"))).alias("added"))
+
+    def tells(n: str) -> Column:
+        return (own > 0) & (F.log(F.col("both") * total / (F.col(n) * F.col("n_entity"))) >= threshold * own)
+
+    pairs = pairs.join(entities, "entity").join(least, "term").where(tells("least")).drop("least")
+    pairs = stage(pairs, "private-pairs")
+    hits = stage(_term_places(texts, pairs), "private-places")
+    counts = hits.groupBy("term").agg(F.count_distinct("key").alias("n_term"))
+    telling = pairs.join(counts, "term", "left").withColumn("n_term", _counted("n_term")).where(tells("n_term")).select("entity", "term")
+    breadth = stage(
+        telling.groupBy("term").agg(F.when(F.count("*") > 1, "generalised").otherwise("removed").alias("kind")), "private-telling")
+    added = hits.join(breadth, "term").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "stop"))).alias("added"))
     none = F.expr(f"cast(array() as {MENTIONS})")
-    return rows.join(added, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
+    return rows.join(added, "key", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
