@@ -268,6 +268,16 @@ def test_private_terms_wherever_they_stand(spark):
     assert got == {**{i: ["Zorblax"] for i in (0, 1, 2, 6)}, **{i: ["zorblax,"] for i in (3, 4, 5)}, 7: ["ZORBLAX", "Zorblax"]}
 
 
+def test_sanitise_null_and_repeated_ids(spark):
+    texts = [f"{words(i, 500 + i) and ' '.join(words(i, 500 + i)) + ' ' or ''}Zorblax {' '.join(words(9, i))} bob@x.org" for i in range(6)]
+    rows = [(i // 2 if i < 4 else None, t) for i, t in enumerate(texts)]
+    rows += [(0, " ".join(words(40, 200 + i))) for i in range(60)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(str(r) for r in private.sanitise(docs).collect())
+    want = [(i, t and t.replace("Zorblax", "").replace("bob@x.org", "[email]")) for i, t in rows]
+    assert got == sorted(str(r) for r in spark.createDataFrame(want, docs.schema).collect())
+
+
 def test_license_rules(spark):
     assert len({x for _, _, x, _ in licenses.rules()}) > 200
     for label, keyword, x, _ in licenses.rules():

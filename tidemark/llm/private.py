@@ -121,8 +121,8 @@ def places(text: str, spans):
 
 
 def key_of(text: str) -> bytes:
-    """128 bits that name a text; copies share it."""
-    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+    """128 bits that name a text; copies share it. ``sanitise`` makes the same in Spark."""
+    return hashlib.md5(text.encode(), usedforsecurity=False).digest()
 
 
 MENTIONS = "array<struct<kind:string,start:long,stop:long>>"
@@ -212,14 +212,9 @@ def _counted(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.raise_error(F.concat(F.lit("no document holds the term "), F.col("term"))).cast("long")).otherwise(F.col(name))
 
 
-def find(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, base, added)`` of every row: pattern spans, and spans of terms that disclose.
-
-    ``base`` lists (kind, start, stop), ``added`` the same with kind ``removed`` or
-    ``generalised``; places are code points, the end exclusive. Null texts are empty.
-    Repeated rows stay, and equal texts share their added spans. Other columns are ignored.
-    """
+def _found(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD,
+         id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, base, key)`` of every row, and ``(key, added)`` of the texts with added spans."""
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -249,6 +244,18 @@ def find(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD,
     breadth = stage(
         telling.groupBy("term").agg(F.when(F.count("*") > 1, "generalised").otherwise("removed").alias("kind")), "private-telling")
     added = hits.join(breadth, "term").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "stop"))).alias("added"))
+    return rows.select("doc_id", "base", "key"), added
+
+
+def find(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD,
+         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, base, added)`` of every row: pattern spans, and spans of terms that disclose.
+
+    ``base`` lists (kind, start, stop), ``added`` the same with kind ``removed`` or
+    ``generalised``; places are code points, the end exclusive. Null texts are empty.
+    Repeated rows stay, and equal texts share their added spans. Other columns are ignored.
+    """
+    rows, added = _found(docs, support, threshold, id_col, text_col)
     none = F.expr(f"cast(array() as {MENTIONS})")
     return rows.join(added, "key", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
@@ -268,12 +275,13 @@ def digest(found: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **settings) -> DataFrame:
     """``docs`` with every span replaced: ``[email]`` and so on, ``[term]`` for generalised terms, nothing for removed ones.
 
-    A null text stays null. Columns and rows are those of ``docs``.
+    A null text stays null. Columns and rows are those of ``docs``. Spans belong to texts, so rows
+    with null ids and different texts under one id are treated like all others.
     """
     ship_package(docs.sparkSession)
     names = docs.columns
-    found = find(docs, id_col=id_col, text_col=text_col, **settings).where(F.size("added") > 0)
-    extra = stage(found.groupBy("doc_id").agg(F.first("added").alias("_added")), "private-added").withColumnRenamed("doc_id", "_id")
+    _, added = _found(docs, id_col=id_col, text_col=text_col, **settings)
+    extra = stage(added.select(F.col("key").alias("_key"), F.col("added").alias("_added")), "private-added")
 
     def run(batches):
         for batch in batches:
@@ -295,5 +303,6 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
     # The table of added spans is written, so its size is known: small ones are broadcast, large ones shuffled.
-    rows = docs.join(extra, docs[id_col] == extra["_id"], "left").drop("_id").withColumn("_text", F.col(text_col).cast("string"))
+    rows = docs.withColumn("_text", F.col(text_col).cast("string")).withColumn("_key", F.unhex(F.md5(F.col("_text").cast("binary"))))
+    rows = rows.join(extra, "_key", "left").drop("_key")
     return rows.mapInArrow(run, docs.schema)
