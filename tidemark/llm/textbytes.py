@@ -17,6 +17,7 @@ BLOCK_BYTES = 1 << 19
 _RNG = np.random.default_rng(20240611)
 #: One random odd-free 64-bit value per byte; capital letters share their small letter's.
 BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+EXACT_VALUE = BYTE_VALUE.copy()  # the same without folding
 BYTE_VALUE[65:91] = BYTE_VALUE[97:123]
 _STEP = 0x9E3779B97F4A7C15
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
@@ -87,8 +88,8 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return begins, ends, np.searchsorted(begins, at, side="left")
 
 
-def word_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, ASCII capitals folded. Words may be of any length."""
+def word_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """A 64-bit hash of each word, ASCII capitals folded unless ``values`` tell them apart. Words may be of any length."""
     out = np.empty(len(begins), np.uint64)
     lo = 0
     while lo < len(begins):
@@ -97,7 +98,7 @@ def word_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nda
         size = int(ends[hi - 1]) - base
         up, down = (_UP, _DOWN) if size <= BLOCK_BYTES else (powers(_STEP, size), powers(_STEP_INVERSE, size))
         sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[raw[base : base + size]] * up[:size], out=sums[1:])
+        np.cumsum(values[raw[base : base + size]] * up[:size], out=sums[1:])
         b, e = begins[lo:hi] - base, ends[lo:hi] - base
         out[lo:hi] = mix((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64))
         lo = hi

@@ -27,3 +27,13 @@ def matrix(column, dtype) -> np.ndarray:
     out = np.zeros((len(width), width.max()), dtype)
     out[np.arange(out.shape[1]) < width[:, None]] = flat
     return out
+
+
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of whole-number rows, exact, as 64-bit integers; what 64 bits cannot hold stops at their ends."""
+    bound = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * max(1, right.shape[1])
+    if bound < 2.0**53:
+        kind = np.float32 if bound < 2.0**24 else np.float64
+        return (left.astype(kind) @ right.astype(kind).T).astype(np.int64)
+    exact = [[min(max(sum(int(a) * int(b) for a, b in zip(x, y)), -(2**63)), 2**63 - 1) for y in right] for x in left]
+    return np.array(exact, np.int64).reshape(len(left), len(right))
