@@ -21,7 +21,8 @@ T-occurrence search over an inverted index, made for a shuffle:
 5. Links become components (see ``components``).
 
 Sets within one component are not compared again, so a group of thousands of near copies
-costs a spanning forest. Shingles travel as 48 bits of their hash.
+costs a spanning forest. Shingles travel as 48 bits of their hash. Sets are named by 64 bits of their digest and their size
+until they have numbers, and by all 128 where they are fetched.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import Forest, components
+from tidemark.llm.sparse import BitFilter, bit_filter, row_key, split
 from tidemark.llm.textbytes import mix, parts, slices, word_hashes, words_of
 from tidemark.session import ship_package, shuffle_width, stage
 
@@ -41,7 +43,6 @@ MARGIN = 0.13
 LONG_LIST = 32
 CHUNK = 1024
 CHUNK_SHINGLES = 1 << 20
-FILTER_BITS = 1 << 21
 _PLACE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -100,33 +101,35 @@ def shown(n: int, percent: int, margin: float) -> int:
     return min(n, n - need + int(margin_of(np.int64(n), percent, margin)))
 
 
-def _digests(id_at: int, text_at: int, words: int):
+def _digests(words: int):
+    """Rows with their text, the last column, replaced by size and digest of its set."""
+
     def run(batches):
         for batch in batches:
-            rows = [(len(s), *digest(s)) for s in shingle_sets(batch.column(text_at), words)]
+            rows = [(len(s), *digest(s)) for s in shingle_sets(batch.column(batch.num_columns - 1), words)]
             n, d1, d2 = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_at), *(pa.array(x, pa.int64()) for x in (n, d1, d2))], ["doc_id", "n", "d1", "d2"])
+                [*batch.columns[:-1], *(pa.array(x, pa.int64()) for x in (n, d1, d2))], [*batch.schema.names[:-1], "n", "d1", "d2"])
 
     return run
 
 
-def _shown(text_at: int, words: int, percent: int, margin: float, room: int = 1 << 20):
+def _shown(words: int, percent: int, margin: float, room: int = 1 << 17):
     """Rows (shingle, set) of what each set shows; a set met before in the task is passed over."""
 
     def run(batches):
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             tokens, owners, sizes = [], [], []
-            for s in shingle_sets(batch.column(text_at), words):
-                if not len(s) or (d := digest(s)[0]) in met:
+            for s in shingle_sets(batch.column(0), words):
+                if not len(s) or (d := digest(s)) in met:
                     continue
                 if len(met) >= room:
                     met.clear()
                 met.add(d)
                 p = shown(len(s), percent, margin)
                 tokens.append(s[:p])
-                owners.append(np.full(p, d, np.int64))
+                owners.append(np.full(p, d[0], np.int64))
                 sizes.append(np.full(p, len(s), np.int64))
                 if len(sizes) >= 512:
                     yield _rows(tokens, owners, sizes)
@@ -143,31 +146,27 @@ def _rows(tokens, owners, sizes):
         ["token", "d1", "n"])
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return (mix(x.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _filter_words(batches):
-    """The filter's words that hold a bit of the batch's ids."""
-    for batch in batches:
-        bit = _bits(batch.column(0).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(bit >> 3), pa.array(1 << (bit & 7))], ["word", "bits"])
-
-
-def _whole_sets(id_at: int, text_at: int, words: int, allowed):
-    """(doc_id, members as 6-byte numbers) of the texts whose id passes the filter."""
+def _whole_sets(words: int, allowed, room: int = 1 << 17):
+    """(d1, d2, members as 6-byte numbers) of the texts whose key the filter lets through, each set once a task or so."""
 
     def run(batches):
-        bits = np.frombuffer(allowed.value, np.uint8)
+        keys, met = BitFilter(allowed.value), set()
         for batch in batches:
-            b = _bits(batch.column(id_at).to_numpy(zero_copy_only=False))
-            keep = np.flatnonzero(bits[b >> 3] >> (b & 7) & 1)
+            keep = np.flatnonzero(keys.may_hold(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
             if not len(keep):
                 continue
-            texts = batch.column(text_at).cast(pa.large_string()).take(pa.array(keep))
-            packed = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets(texts, words)]
+            texts = batch.column(1).cast(pa.large_string()).take(pa.array(keep))
+            names, packed = [], []
+            for s in shingle_sets(texts, words):
+                if (d := digest(s)) not in met:
+                    if len(met) >= room:
+                        met.clear()
+                    met.add(d)
+                    names.append(d)
+                    packed.append(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            d1, d2 = zip(*names) if names else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_at).take(pa.array(keep)), pa.array(packed, pa.large_binary())], ["rep", "members"])
+                [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(packed, pa.binary())], ["d1", "d2", "members"])
 
     return run
 
@@ -242,7 +241,7 @@ def _search(percent: int):
     """One block, or one pair of chunks of a large block: links as ``(a, b)``."""
 
     def run(table: pa.Table) -> pa.Table:
-        reps = table.column("rep").to_pylist()
+        reps = table.column("cid").to_pylist()
         part = np.array(table.column("part").to_pylist(), np.int64)
         block = np.array(table.column("block").to_pylist(), np.int64)
         wanted = np.array(table.column("crossed").to_pylist(), bool)
@@ -262,26 +261,18 @@ def _search(percent: int):
     return run
 
 
-def ngram_jaccard_join(
-    docs: DataFrame, words: int = 5, percent: int = 75, margin: float = MARGIN, long_list: int = LONG_LIST, chunk: int = CHUNK,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row: set size and smallest id reachable by links.
-
-    ASCII capitals are folded; words are cut at space and the bytes 9 to 13. Null, empty and
-    wordless texts have an empty set and are linked with nothing; shorter texts than ``words``
-    are one shingle. Repeated rows of one id give repeated rows. Other columns are ignored.
-    Lists of any length, groups of any size and texts of any length are handled in full.
-    """
-    spark = docs.sparkSession
+def _linked(texts: DataFrame, words: int, percent: int, margin: float, long_list: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``n, d1, d2`` for their ``text``, the last column; and ``(d1, d2, n, component)``, a number, of every set that has a shingle."""
+    spark = texts.sparkSession
     ship_package(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = stage(texts.mapInArrow(_digests(0, 1, words), "doc_id long, n long, d1 long, d2 long"), "jaccard-sets")
-    # Ids may be null; such a row is in a class but names none.
-    classes = members.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.drop("text").schema.fields)
+    members = stage(texts.mapInArrow(_digests(words), f"{kept}, n long, d1 long, d2 long"), "jaccard-sets")
+    # Classes have numbers of their own: ids may be null, or stand for different texts.
+    classes = members.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("t").alias("t"))
+    classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
     # Lists of two sets and more. Naming all columns on both sides lets them share one exchange.
-    rows = texts.select("text").mapInArrow(_shown(0, words, percent, margin), "token long, d1 long, n long")
+    rows = texts.select("text").mapInArrow(_shown(words, percent, margin), "token long, d1 long, n long")
     rows = rows.repartition(shuffle_width(spark), "token")
     lists = rows.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.max("n").alias("most"))
     lists = lists.where("lo < hi and most > 0").select("token")
@@ -291,24 +282,23 @@ def ngram_jaccard_join(
     # The least that a linked partner, as small as it may be, must share with the set.
     need = F.ceil(F.col("n") * percent / 100)
     least = 1 + F.floor(F.ceil(need * percent / 100) * margin)
-    live = shared.groupBy("d1", "n").agg(F.count("*").alias("hits")).where(F.col("hits") >= least).select("d1")
-    kept = stage(shared.join(live, "d1", "left_semi"), "jaccard-live")
+    live = shared.groupBy("d1", "n").agg(F.count("*").alias("hits")).where(F.col("hits") >= least).select("d1", "n")
+    kept = stage(shared.join(live, ["d1", "n"], "left_semi"), "jaccard-live")
     sizes = kept.groupBy("token").agg(F.count("*").alias("len"), F.min("d1").alias("block")).where("len > 1")
     hits = kept.join(sizes, "token").groupBy("d1", "n", "block").agg(
         F.count_if(F.col("len") > long_list).alias("long"), F.count_if(F.col("len") <= long_list).alias("short"))
     # A pair shares ``least`` lists of either set. Long ones fewer than that are left; half of what
     # then remains to spare may go too, so a set leaves the blocks it knows by its fewest lists.
-    own = Window.partitionBy("d1")
+    own = Window.partitionBy("d1", "n")
     upto = own.orderBy("short", "block").rowsBetween(Window.unboundedPreceding, 0)
     visits = hits.select(
-        "d1", "block", "long", F.sum("long").over(own).alias("longs"), F.sum("short").over(upto).alias("upto"), least.alias("least"))
+        "d1", "n", "block", "long", F.sum("long").over(own).alias("longs"), F.sum("short").over(upto).alias("upto"), least.alias("least"))
     spare = F.greatest(F.lit(0), F.floor((F.col("least") - 1 - F.col("longs")) / 2))
-    meets = visits.where((F.col("upto") > spare) | ((F.col("long") > 0) & (F.col("longs") >= F.col("least")))).select("block", "d1")
+    meets = visits.where((F.col("upto") > spare) | ((F.col("long") > 0) & (F.col("longs") >= F.col("least")))).select("block", "d1", "n")
     # Only sets of like size can be linked: who has none in its block stays away. Linked sizes
     # are one step apart at most; the step is a hair wider than needed, against rounding.
     step = max(1e-3, math.log(100 / percent) * 1.0001)
-    meets = meets.join(classes.select("d1", "n", "rep"), "d1").select(
-        "block", "rep", "n", F.floor(F.log("n") / step).alias("size"))
+    meets = meets.join(classes, ["d1", "n"]).select("block", "cid", "n", F.floor(F.log("n") / step).alias("size"))
     meets = stage(meets, "jaccard-sized")
     tally = meets.groupBy("block", "size").agg(F.count("*").alias("here"))
     tally = tally.select("block", "here", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
@@ -316,30 +306,74 @@ def ngram_jaccard_join(
     meets = stage(meets.join(alike, ["block", "size"], "left_semi").drop("size"), "jaccard-meets")
     counts = meets.groupBy("block").agg(F.count("*").alias("in_block"), F.sum("n").alias("shingles")).where("in_block > 1")
 
-    # Second pass: whole sets of those that meet somebody.
-    words_set = meets.select("rep").distinct().mapInArrow(_filter_words, "word long, bits long")
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    bits = words_set.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most FILTER_BITS / 8 rows
-    table[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    allowed = spark.sparkContext.broadcast(table.tobytes())
-    sets = texts.mapInArrow(_whole_sets(0, 1, words, allowed), "rep long, members binary")
+    # Second pass: whole sets of those that meet somebody. The filter names texts; digests, read anew, name sets.
+    wanted = stage(meets.select("cid").distinct().join(classes, "cid").select("t", "cid", "d1", "d2"), "jaccard-wanted")
+    sets = texts.select("t", "text").mapInArrow(_whole_sets(words, bit_filter(wanted.select("t"))), "d1 long, d2 long, members binary")
+    sets = wanted.join(sets.groupBy("d1", "d2").agg(F.first("members").alias("members")), ["d1", "d2"]).select("cid", "members")
 
     # A block of c chunks is c * (c + 1) / 2 tasks; a set goes to the c that name its chunk.
     dealt = (
         meets.join(counts, "block")
         .withColumn("chunks", F.ceil(F.greatest(F.col("in_block") / chunk, F.col("shingles") / CHUNK_SHINGLES)).cast("long"))
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+        .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("chunks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .select(
-            "rep", "block", "part", (F.col("part") != F.col("other")).alias("crossed"),
+            "cid", "block", "part", (F.col("part") != F.col("other")).alias("crossed"),
             (F.least("part", "other") * F.col("chunks") + F.greatest("part", "other")).alias("task"),
         )
     )
-    work = dealt.join(sets, "rep").withColumn("bin", F.pmod(F.xxhash64("block", "task"), F.lit(64 * shuffle_width(spark))))
+    work = dealt.join(sets, "cid").withColumn("bin", F.pmod(F.xxhash64("block", "task"), F.lit(64 * shuffle_width(spark))))
     links = work.groupBy("bin").applyInArrow(_search(percent), "a long, b long")
     found = components(links, "jaccard-components")
+    return members, classes.join(found, classes["cid"] == found["node"], "left").select(
+        "d1", "d2", "n", F.coalesce("component", "cid").alias("component"))
+
 
-    classes = classes.join(found, classes["rep"] == found["node"], "left").select(
-        "d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    return members.join(classes, ["d1", "d2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+def ngram_jaccard_join(
+    docs: DataFrame, words: int = 5, percent: int = 75, margin: float = MARGIN, long_list: int = LONG_LIST, chunk: int = CHUNK,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every row: set size and smallest id reachable by links.
+
+    ASCII capitals are folded; words are cut at space and the bytes 9 to 13. Null, empty and
+    wordless texts have an empty set and are linked with nothing; shorter texts than ``words``
+    are one shingle. Rows are linked by their texts: repeated rows give repeated rows, rows of
+    one id with different texts have components each, and rows with null ids link others and
+    get the smallest id reachable, null where all are null. Other columns are ignored.
+    Lists of any length, groups of any size and texts of any length are handled in full.
+    """
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    members, classes = _linked(texts, words, percent, margin, long_list, chunk)
+    rows = members.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")).join(classes, ["d1", "d2", "n"])
+    rows = stage(rows, "jaccard-named")
+    names = rows.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = rows.join(names, "component").select("d1", "d2", "n", "component_id", F.lit(True).alias("linked"))
+    return members.join(named, ["d1", "d2", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 75, margin: float = MARGIN, long_list: int = LONG_LIST, chunk: int = CHUNK,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group that links join: that of the smallest id, null ids last, ties by a hash of the row.
+
+    Rows without words are in no group and stay, repeated ones too. Of equal rows in a group
+    one stays. Whole rows are shuffled only if they may leave: the others are told by a filter.
+    """
+    text = F.col(text_col).cast("string")
+    columns = docs.columns
+    keys = {"_k1": row_key(columns, 1), "_k2": row_key(columns, 2)}
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[k.alias(n) for n, k in keys.items()], F.xxhash64(text).alias("t"), text.alias("text"))
+    members, classes = _linked(texts, words, percent, margin, long_list, chunk)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")
+    each = members.where("n > 0").groupBy("d1", "d2", "n", "doc_id", "_k1", "_k2").agg(F.count("*").alias("copies"))
+    each = stage(each.join(classes, ["d1", "d2", "n"]).select("component", order.alias("row"), "copies"), "jaccard-rows")
+    first = each.groupBy("component").agg(F.min("row").alias("first"))
+    # What the filter must find: rows that go, and those of which copies go.
+    facts = each.join(first, "component").where((F.col("row") != F.col("first")) | (F.col("copies") > 1)).select(
+        F.col("row._k1").alias("_k1"), F.col("row._k2").alias("_k2"), (F.col("row") == F.col("first")).alias("_one"))
+    facts = stage(facts, "jaccard-facts")
+    rest, some = split(docs.withColumns(keys), "_k1", facts)
+    some = some.join(facts, ["_k1", "_k2"], "left")
+    one = some.where("_one").groupBy("_k1", "_k2").agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*")
+    return rest.select(columns).union(some.where("_one is null").select(columns)).union(one.select(columns))
