@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.textbytes import parts, slices, words_of
 from tidemark.session import ship_package
 
-SLOTS, FIT_ROWS, PENALTY, BLOCK = 1 << 16, 3000, 12.0, 1 << 22
+SLOTS, FIT_ROWS, PENALTY, BLOCK = 1 << 16, 3000, 12.0, 1 << 21
 NEVER = -1e4
 
 # Scripts by first code point of their ranges; 0 is no letter. Fixed values of the public character database.
@@ -90,7 +90,7 @@ def viterbi(scores: np.ndarray, before: np.ndarray, penalty: float) -> np.ndarra
     start, n = before[:-1][order], n[order]
     active = np.searchsorted(-n, -np.arange(n[0] if len(n) else 0), side="left")
     k = scores.shape[1]
-    stay, came = np.zeros((len(scores), k), bool), np.zeros(len(scores), np.uint8)
+    stay, came = np.zeros((len(scores), k), bool), np.zeros(len(scores), np.int32)
     best = np.zeros((len(n), k))
     for t, a in enumerate(active):
         d, w = best[:a], start[:a] + t
@@ -99,7 +99,7 @@ def viterbi(scores: np.ndarray, before: np.ndarray, penalty: float) -> np.ndarra
         stay[w] = d >= change
         np.maximum(d, change, out=d)
         d += scores[w]
-    label, now = np.zeros(len(scores), np.uint8), best.argmax(1)
+    label, now = np.zeros(len(scores), np.int32), best.argmax(1)
     for t in range(len(active) - 1, -1, -1):
         a = active[t]
         w, c = start[:a] + t, now[:a]
@@ -150,6 +150,46 @@ def fit(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS):
     return langs, scores, (scripts >= 0.01 * np.maximum(scripts.sum(1, keepdims=True), 1)).T & (scripts.T > 0)
 
 
+def _rate(column: pa.Array, langs: list[str], scores: np.ndarray, writes: np.ndarray, penalty: float) -> list[tuple[str, float, str]]:
+    """(language, score, spans) of every text of an Arrow column."""
+    k, out = len(langs), []
+    raw, at = parts(column)
+    for lo, hi in slices(at, BLOCK):
+        block, own = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        each, kinds, letters, before = [], [], [], [np.zeros(1, np.int64)]
+        for a, b in slices(own):
+            slot, word, kind, letter, words = features(block[own[a] : own[b]], own[a : b + 1] - own[a])
+            each.append(np.stack([np.bincount(word, scores[slot, j], len(kind)) for j in range(k)], 1) if k else np.zeros((len(kind), 0)))
+            kinds.append(kind)
+            letters.append(letter)
+            before.append(words[1:] + before[-1][-1])
+        value, kind, letter, first = map(np.concatenate, (each, kinds, letters, before))
+        may = writes[kind] & (kind > 0)[:, None]
+        known = may.any(1)
+        value = np.where(may, value, np.where(known[:, None], NEVER, 0.0))
+        named = viterbi(value, first, penalty) if k else np.zeros(len(kind), np.int32)
+        for i in range(hi - lo):
+            a, b = first[i], first[i + 1]
+            text = block[own[i] : own[i + 1]]
+            if not k or not _has_letter(text, letter[a:b]):
+                out.append(("und", 0.0, ""))
+                continue
+            weight = letter[a:b] * known[a:b]
+            share = np.bincount(named[a:b], weights=weight, minlength=k)
+            best = int(share.argmax())
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(named[a:b])) + 1, [b - a]])
+            spans = ",".join(f"{langs[named[a + x]]}:{x}:{y}" for x, y in zip(cuts[:-1], cuts[1:]))
+            out.append((langs[best], float(share[best] / max(1, letter[a:b].sum())), spans))
+    return out
+
+
+def _model(docs: DataFrame, learn: Column, fit_rows: int, id_col: str, text_col: str, lang_col: str):
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    langs, scores, writes = fit(rows, learn, fit_rows)
+    return rows, langs, docs.sparkSession.sparkContext.broadcast((scores.astype(np.float32), writes))
+
+
 def label(docs: DataFrame, learn: Column, penalty: float = PENALTY, fit_rows: int = FIT_ROWS,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, lang_pred, score, spans)`` of every row; ``learn`` names the rows whose language may be learned.
@@ -160,51 +200,32 @@ def label(docs: DataFrame, learn: Column, penalty: float = PENALTY, fit_rows: in
     ``spans`` lists ``language:begin:end`` in words, comma-joined, empty for ``und``. Ties go to
     the more frequent language. Repeated rows are labelled each; other columns are ignored.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    langs, scores, writes = fit(rows, learn, fit_rows)
-    model = spark.sparkContext.broadcast((scores.astype(np.float32), writes))
+    rows, langs, model = _model(docs, learn, fit_rows, id_col, text_col, lang_col)
 
     def run(batches):
-        scores, writes = model.value
-        k = len(langs)
         for batch in batches:
-            raw, at = parts(batch.column(1))
-            out = []
-            for lo, hi in slices(at, BLOCK):
-                block, own = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                each, kinds, letters, before = [], [], [], [np.zeros(1, np.int64)]
-                for a, b in slices(own):
-                    slot, word, kind, letter, words = features(block[own[a] : own[b]], own[a : b + 1] - own[a])
-                    each.append(np.stack([np.bincount(word, scores[slot, j], len(kind)) for j in range(k)], 1) if k else np.zeros((len(kind), 0)))
-                    kinds.append(kind)
-                    letters.append(letter)
-                    before.append(words[1:] + before[-1][-1])
-                value, kind, letter, first = map(np.concatenate, (each, kinds, letters, before))
-                may = writes[kind] & (kind > 0)[:, None]
-                known = may.any(1)
-                value = np.where(may, value, np.where(known[:, None], NEVER, 0.0))
-                named = viterbi(value, first, penalty) if k else np.zeros(len(kind), np.uint8)
-                for i in range(hi - lo):
-                    a, b = first[i], first[i + 1]
-                    text = block[own[i] : own[i + 1]]
-                    if not k or not _has_letter(text, letter[a:b]):
-                        out.append(("und", 0.0, ""))
-                        continue
-                    weight = letter[a:b] * known[a:b]
-                    share = np.bincount(named[a:b], weights=weight, minlength=k)
-                    best = int(share.argmax())
-                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(named[a:b])) + 1, [b - a]])
-                    spans = ",".join(f"{langs[named[a + x]]}:{x}:{y}" for x, y in zip(cuts[:-1], cuts[1:]))
-                    out.append((langs[best], float(share[best] / max(1, letter[a:b].sum())), spans))
             if len(batch):
-                cols = [pa.array(c) for c in zip(*out)]
+                cols = [pa.array(c) for c in zip(*_rate(batch.column(1), langs, *model.value, penalty))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "lang_pred", "score", "spans"])
 
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans string")
 
 
+def keep_identified(docs: DataFrame, learn: Column, least: float = 0.5, penalty: float = PENALTY, fit_rows: int = FIT_ROWS,
+                    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is not ``und`` and whose score is ``least`` or more.
+
+    Each row is decided where it is read, by its own text: null and repeated ids do not matter.
+    """
+    _, langs, model = _model(docs, learn, fit_rows, id_col, text_col, lang_col)
+
+    @F.arrow_udf("boolean")
+    def sure(texts: pa.Array) -> pa.Array:
+        return pa.array([lang != "und" and score >= least for lang, score, _ in _rate(texts, langs, *model.value, penalty)], pa.bool_())
+
+    return docs.where(sure(F.col(text_col)))
+
+
 def _has_letter(text: np.ndarray, letters: np.ndarray) -> bool:
     """By Unicode category where letters beyond ASCII decide it."""
     small = text | 32
