@@ -154,20 +154,41 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows:
     Null texts score as empty ones: by the bias alone. Labels of documents that are not there
     and null labels teach nothing; repeated ones count each. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    labels = labels.where("label is not null").select(F.col("doc_id").cast("long"), F.col("label").cast("long"))
-    model = spark.sparkContext.broadcast(fit(rows, labels, fit_rows).weights)
+    rows, model = _model(docs, labels, fit_rows, id_col, text_col)
 
     def run(batches):
-        network = Network()
-        network.weights = model.value
         for batch in batches:
-            raw, at = parts(batch.column(1))
-            found = [network.scores(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in slices(at)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate([np.zeros(0), *found]))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_rate(batch.column(1), model.value))], ["doc_id", "score"])
 
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more.
+
+    Each row is decided where it is read, by its own text: null and repeated ids do not matter.
+    """
+    _, model = _model(docs, labels, fit_rows, id_col, text_col)
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(_rate(texts, model.value) >= threshold)
+
+    return docs.where(good(F.col(text_col)))
+
+
+def _model(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str, text_col: str):
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    labels = labels.where("label is not null").select(F.col("doc_id").cast("long"), F.col("label").cast("long"))
+    return rows, docs.sparkSession.sparkContext.broadcast(fit(rows, labels, fit_rows).weights)
+
+
+def _rate(texts: pa.Array, weights: dict[str, np.ndarray]) -> np.ndarray:
+    network = Network()
+    network.weights = weights
+    raw, at = parts(texts)
+    found = [network.scores(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in slices(at)]
+    return np.concatenate([np.zeros(0), *found])
