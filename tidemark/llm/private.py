@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.sparse import split
 from tidemark.llm.textbytes import parts, slices
 from tidemark.session import ship_package, stage
 
@@ -150,7 +151,7 @@ def _bit(term: str) -> int:
     return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % FILTER_BITS
 
 
-def _known_terms(allowed: bytes, room: int = 1 << 18):
+def _known_terms(allowed: bytes, room: int = 1 << 16):
     """A function from a word to its term if the bit filter lets that through, else None; remembers ``room`` words."""
     met: dict[str, str | None] = {}
 
@@ -279,30 +280,36 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
     with null ids and different texts under one id are treated like all others.
     """
     ship_package(docs.sparkSession)
-    names = docs.columns
     _, added = _found(docs, id_col=id_col, text_col=text_col, **settings)
-    extra = stage(added.select(F.col("key").alias("_key"), F.col("added").alias("_added")), "private-added")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text, added in zip(batch.column("_text").to_pylist(), batch.column("_added").to_pylist()):
-                if text is not None:
-                    spans = base_spans(text) + [(s["kind"], s["start"], s["stop"]) for s in added or []]
-                    done, kept = 0, []
-                    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
-                        if a < done:
-                            done = max(done, b)
-                            continue
-                        kept += [text[done:a], "" if kind == "removed" else "[term]" if kind == "generalised" else f"[{kind}]"]
-                        done = b
-                    text = "".join(kept) + text[done:]
-                out.append(text)
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("_added", "_text")}
-            columns[text_col] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
-
-    # The table of added spans is written, so its size is known: small ones are broadcast, large ones shuffled.
-    rows = docs.withColumn("_text", F.col(text_col).cast("string")).withColumn("_key", F.unhex(F.md5(F.col("_text").cast("binary"))))
-    rows = rows.join(extra, "_key", "left").drop("_key")
-    return rows.mapInArrow(run, docs.schema)
+    text = F.col(text_col).cast("string")
+    # Few texts have added spans: a filter by a hash tells the others, which are not shuffled.
+    extra = stage(added.select(F.col("key").alias("_key"), _half(F.col("key")).alias("_half"), F.col("added").alias("_added")), "private-added")
+    named = docs.withColumn("_key", F.unhex(F.md5(text.cast("binary"))))
+    rest, some = split(named.withColumn("_half", _half(F.col("_key"))), "_half", extra)
+    some = some.drop("_half").join(extra.drop("_half"), "_key", "left")
+    none = F.lit(None).cast(MENTIONS)
+
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array, added: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else replaced(t, a or []) for t, a in zip(texts.to_pylist(), added.to_pylist())], pa.string())
+
+    return rest.withColumn("_added", none).withColumn(text_col, cleaned(text, F.col("_added"))).select(docs.columns).union(
+        some.withColumn(text_col, cleaned(text, F.col("_added"))).select(docs.columns))
+
+
+def _half(key: Column) -> Column:
+    """64 bits of a text's 128; -1 for a null text, which has no spans."""
+    return F.coalesce(F.xxhash64(key), F.lit(-1))
+
+
+def replaced(text: str, added: list[dict]) -> str:
+    """``text`` with its pattern spans and the ``added`` ones replaced; overlapping spans go together, named by the first."""
+    spans = base_spans(text) + [(s["kind"], s["start"], s["stop"]) for s in added]
+    done, kept = 0, []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a < done:
+            done = max(done, b)
+            continue
+        kept += [text[done:a], "" if kind == "removed" else "[term]" if kind == "generalised" else f"[{kind}]"]
+        done = b
+    return "".join(kept) + text[done:]
