@@ -12,8 +12,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -24,7 +24,7 @@ from tidemark.session import ship_package, stage
 
 PER_GROUP = 20_000
 #: Distinct words kept a task with their ids; beyond it the memory starts anew.
-ROOM = 1_000_000
+ROOM = 1 << 18
 
 
 # Classes of the bytes of plain Latin texts: white space, letters, digits, other signs.
@@ -210,7 +210,9 @@ def pack(pieces: DataFrame, window: int = 2048, per_group: int = PER_GROUP) -> D
     """``pieces`` with ``sequence_id`` and ``offset``: gapless from 0 in every sequence.
 
     Pieces of no length get no place and are not expected. A sequence id holds the group in
-    its upper bits. The result depends on the rows alone, not on their order or partitioning.
+    its upper bits. Pieces are dealt by their values and their place in the written table, so
+    pieces of one id, of null ids or of copies spread like all others. Repeated rows are
+    pieces each, and null ids stay null.
     """
     spark = pieces.sparkSession
     ship_package(spark)
@@ -218,12 +220,14 @@ def pack(pieces: DataFrame, window: int = 2048, per_group: int = PER_GROUP) -> D
     groups = max(1, round(pieces.count() / per_group))
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        sequence, offset = best_fit(rows["length"].tolist(), window)
-        rows["sequence_id"] = (np.array(sequence, np.int64) + (rows.pop("bin").to_numpy(np.int64) << 32)) if len(rows) else []
-        rows["offset"] = np.array(offset, np.int64)
-        return rows
+    order = [("length", "descending")] + [(c, "ascending") for c in ("doc_id", "start", "ids_crc32") if c in pieces.columns]
 
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return dealt.groupBy("bin").applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=order))
+        sequence, offset = best_fit(table.column("length").to_pylist(), window)
+        group = table.column("bin").to_numpy().astype(np.int64) << 32
+        table = table.drop_columns(["bin"]).append_column("sequence_id", pa.array(np.array(sequence, np.int64) + group))
+        return table.append_column("offset", pa.array(np.array(offset, np.int64)))
+
+    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
+    return dealt.groupBy("bin").applyInArrow(run, f"{schema}, sequence_id long, offset long")
