@@ -35,9 +35,14 @@ def plan_tables(n: int, cosine: float, recall: float) -> tuple[int, int]:
 
 
 def signatures(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    """A whole number of ``bits`` bits for every vector and table."""
-    planes = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], bits * tables))
-    signs = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
+    """A whole number of ``bits`` bits for every vector and table.
+
+    Vectors and hyperplanes are rounded to whole numbers whose products floats hold exactly,
+    so a vector has the same signature in every matrix that it is a row of.
+    """
+    planes = np.rint(np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], bits * tables)) * 2**10)
+    whole = np.rint(vectors / np.maximum(np.abs(vectors).max(1, keepdims=True), np.finfo(float).tiny) * 2**20)
+    signs = (whole @ planes > 0).reshape(len(vectors), tables, bits)
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -62,18 +67,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
 
     Null and zero vectors and those with null or non-finite components link with nothing, nor
     do vectors of different lengths. Rows of equal vectors link with each other, whatever
-    their ids. Other columns are ignored.
+    their ids: rows of one id with different vectors have links and components each, and rows
+    with null ids link others and get the smallest id reachable, null where all are null (so is
+    ``kept``). Other columns are ignored.
     """
     spark = vectors.sparkSession
     ship_package(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Floats travel as floats; all arithmetic is in doubles.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     fit = usable(F.col("v")) & F.exists("v", lambda x: x != 0)
     # Adding zero makes -0.0 and 0.0 the same.
-    text = F.to_json(F.struct(F.transform("v", lambda x: x + F.lit(0.0)).alias("v")))
+    text = F.to_json(F.struct(F.transform("v", lambda x: x.cast("double") + F.lit(0.0)).alias("v")))
     keyed = stage(rows.select("vec_id", F.when(fit, F.sha2(text, 256)).alias("key"), F.when(fit, F.col("v")).alias("v")), "vectors")
     classes = keyed.where("key is not null").groupBy("key").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = stage(classes, "vector-classes")
+    # Classes have numbers of their own: ids may be null, or stand for different vectors.
+    classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     bits, tables = plan_tables(classes.count(), cosine, recall)
 
     def sign(batches):
@@ -84,24 +94,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
                 own = np.flatnonzero(np.array(width.to_pylist()) == w)
                 sigs[own] = signatures(matrix(v.take(pa.array(own)), np.float64), bits, tables, seed)
             out = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * tables, pa.int32()), pa.array(sigs.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), v, out], ["rep", "copies", "v", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), v, out], ["cid", "copies", "v", "sigs"])
 
-    signed = stage(classes.select("rep", "copies", "v").mapInArrow(sign, "rep long, copies long, v array<double>, sigs array<long>"),
-                   "vector-signatures", spread_by="rep")
-    placed = signed.select("rep", "copies", "v", F.size("v").alias("dim"), F.posexplode("sigs").alias("t", "sig"))
+    signed = stage(classes.select("cid", "copies", "v").mapInArrow(sign, f"cid long, copies long, v {kind}, sigs array<long>"),
+                   "vector-signatures", spread_by="cid")
+    placed = signed.select("cid", "copies", "v", F.size("v").alias("dim"), F.posexplode("sigs").alias("t", "sig"))
     sizes = placed.groupBy("t", "dim", "sig").agg(F.count("*").alias("n")).where("n > 1")
     dealt = (
         placed.join(sizes, ["t", "dim", "sig"])
         .withColumn("chunks", F.ceil(F.col("n") / chunk).cast("long"))
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+        .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("chunks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .withColumn("task", F.least("part", "other") * F.col("chunks") + F.greatest("part", "other"))
-        .select("rep", "copies", "v", "t", "dim", "sig", "part", "task", (F.col("part") != F.col("other")).alias("crossed"))
+        .select("cid", "copies", "v", "t", "dim", "sig", "part", "task", (F.col("part") != F.col("other")).alias("crossed"))
         .withColumn("bin", F.pmod(F.xxhash64("t", "dim", "sig", "task"), F.lit(16 * shuffle_width(spark))))
     )
 
     def search(table: pa.Table) -> pa.Table:
-        get = {c: np.array(table.column(c).to_pylist()) for c in ("rep", "copies", "t", "dim", "sig", "part", "task", "crossed")}
+        get = {c: np.array(table.column(c).to_pylist()) for c in ("cid", "copies", "t", "dim", "sig", "part", "task", "crossed")}
         order = np.lexsort((get["task"], get["sig"], get["dim"], get["t"]))
         change = sum(np.diff(get[c][order]) != 0 for c in ("task", "sig", "dim", "t"))
         vs, out = table.column("v").combine_chunks(), []
@@ -114,16 +124,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
             v /= np.sqrt((v * v).sum(1, keepdims=True))
             side = get["part"][own] if get["crossed"][own[0]] else None
             links, found = _compare(v, sigs, int(get["t"][own[0]]), get["copies"][own], cosine, side)
-            rep = get["rep"][own]
+            rep = get["cid"][own]
             out += [(int(rep[i]), None, int(links[i])) for i in np.flatnonzero(links)]
             out += [(int(rep[i]), int(rep[j]), 0) for i, j in found]
         return pa.table({c: pa.array([o[i] for o in out], pa.int64()) for i, c in enumerate(("a", "b", "links"))})
 
     found = stage(dealt.groupBy("bin").applyInArrow(search, "a long, b long, links long"), "vector-links")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    joined = components(found.where("b is not null").select("a", "b"), "vector-components").withColumnRenamed("node", "rep")
-    per_class = classes.select("key", "rep", "copies").join(links, "rep", "left").join(joined, "rep", "left").select(
-        "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    joined = components(found.where("b is not null").select("a", "b"), "vector-components").withColumnRenamed("node", "cid")
+    named = classes.select("key", "cid", "rep", "copies").join(links, "cid", "left").join(joined, "cid", "left").select(
+        "key", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
+    named = stage(named, "vector-named")
+    per_class = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("key", "n_links", "component_id")
     out = keyed.select("vec_id", "key").join(per_class, "key", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
