@@ -1,7 +1,8 @@
 """A document pipeline: language, quality, near duplicates, personal data, packing.
 
 Each stage works on all that its predecessor kept; between stages the documents are
-written as Parquet and read again.
+written as Parquet and read again. Stages decide rows by their texts, never by their ids:
+null ids, ids that several rows share and repeated rows are kept or dropped as they merit.
 """
 
 from __future__ import annotations
@@ -15,25 +16,19 @@ from tidemark.llm.queries import fold, quality_labels
 from tidemark.session import stage
 
 
-def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Documents whose id is in ``decided``, which is written first: its known size chooses the join."""
-    return docs.join(stage(decided.select("doc_id").distinct(), "kept-ids"), "doc_id", "left_semi").select(docs.columns)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or less than half of them in spans of one language."""
-    named = langid.label(docs, fold(4) != 2)
-    return _keep(docs, named.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)))
+    return langid.keep_identified(docs, fold(4) != 2, 0.5)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose probability of good quality is below 0.3."""
-    return _keep(docs, quality.score(docs, quality_labels(spark, sf_dir)).where("predicted = 1"))
+    return quality.keep_good(docs, quality_labels(spark, sf_dir), 0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group linked by three quarters of their shingles."""
-    return _keep(docs, jaccard.ngram_jaccard_join(docs).where("doc_id = component_id"))
+    """Keeps one row of each group linked by three quarters of their shingles: that of the smallest id, null ids last."""
+    return jaccard.keep_one(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
