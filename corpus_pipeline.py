@@ -16,29 +16,42 @@ from tidemark.llm.queries import fold, quality_labels
 from tidemark.session import stage
 
 
+#: Rows of an Arrow batch. Texts are long: the default of 10,000 rows holds tens of megabytes, several times over in every worker.
+BATCH_ROWS = 1024
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or less than half of them in spans of one language."""
+    _bounded_batches(spark)
     return langid.keep_identified(docs, fold(4) != 2, 0.5)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose probability of good quality is below 0.3."""
+    _bounded_batches(spark)
     return quality.keep_good(docs, quality_labels(spark, sf_dir), 0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group linked by three quarters of their shingles: that of the smallest id, null ids last."""
+    _bounded_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and terms that disclose it; ``n_chars`` follows the text."""
+    _bounded_batches(spark)
     clean = private.sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents left, with their places in training sequences."""
+    _bounded_batches(spark)
     return packing.pack(packing.cut(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
