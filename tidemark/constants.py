@@ -211,4 +211,5 @@ PUBLIC_SUFFIXES = (
     "me", "news", "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au",
     "org.au", "gov.au", "co.nz", "co.jp", "co.in", "co.kr", "com.br", "com.mx",
     "com.cn", "co.za",
+    "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck",
 )

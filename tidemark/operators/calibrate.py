@@ -42,16 +42,19 @@ def observed_moments(observed: DataFrame, value: str = "reply_count") -> DataFra
         (F.sum(v * n) / F.sum(n)).alias("mean"),
         (F.sum(F.when(v == 0, n).otherwise(0)) / F.sum(n)).alias("p_zero"),
     ).select(F.struct("n_observed", "mean", "p_zero").alias("o")).scalar()
+    cut = positive.withColumn("__cut", cutoff)
     kept = F.when(v <= F.col("__cut"), n)
-    sums = positive.withColumn("__cut", cutoff).agg(
-        F.sum(n).cast("double").alias("n"), F.sum(v * n).alias("s"), F.sum(v * v * n).alias("ss"),
-        F.sum(kept).cast("double").alias("tn"), F.sum(v * kept).alias("ts"), F.sum(v * v * kept).alias("tss"),
-    )
+    sums = cut.agg(
+        F.sum(n).cast("double").alias("n"), F.sum(v * n).alias("s"), F.sum(kept).cast("double").alias("tn"), F.sum(v * kept).alias("ts"))
+    means = sums.select(F.struct("n", "s", "tn", "ts").alias("m")).scalar()
+    # Around the means, found before: a sum of squares loses what large values have in common.
+    off, trimmed_off = v - F.try_divide(F.col("__m.s"), F.col("__m.n")), v - F.try_divide(F.col("__m.ts"), F.col("__m.tn"))
+    sums = cut.withColumn("__m", means).agg(
+        F.max("__m.n").alias("n"), F.max("__m.s").alias("s"), F.max("__m.tn").alias("tn"), F.max("__m.ts").alias("ts"),
+        F.sum(off * off * n).alias("ss"), F.sum(trimmed_off * trimmed_off * kept).alias("tss"))
 
     def variance(c: str, s: str, ss: str):
-        return F.when(
-            F.col(c) >= 2, (F.col(ss) - F.col(s) * F.col(s) / F.col(c)) / (F.col(c) - 1)
-        )
+        return F.when(F.col(c) >= 2, F.col(ss) / (F.col(c) - 1))
 
     trimmed = F.col("n") >= K.CALIBRATION_MIN_ROWS
     return sums.withColumn("o", overall).select(

@@ -81,8 +81,8 @@ def node_levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
     A post normally has one parent, so its path up is unique and can be shortened
     by pointer doubling: after k rounds each post knows its ancestor 2^k up, and
     rounds grow with the logarithm of the depth. Conversations where a post
-    appears with several parents need shortest paths and go by frontier instead.
-    Each round is written to the shared folder, so a lost executor costs a re-read.
+    appears with several parents need shortest paths, which double as well (see
+    ``shortest_levels``). Each round is written to the shared folder, so a lost executor costs a re-read.
     """
     links = edges.where("attached").select("conversation_id", "parent", "child").join(
         roots.select("conversation_id", "root_id"), "conversation_id"
@@ -96,7 +96,7 @@ def node_levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
     start = roots.select("conversation_id", F.col("root_id").alias("node"), F.lit(0).alias("level"))
     reached = start.unionByName(_double(links.join(several, "conversation_id", "left_anti")))
     if not several.isEmpty():
-        reached = reached.unionByName(_frontier(links.join(several, "conversation_id", "left_semi")))
+        reached = reached.unionByName(shortest_levels(links.join(several, "conversation_id", "left_semi")).where("level > 0"))
     return reached
 
 
@@ -132,23 +132,52 @@ def _double(links: DataFrame) -> DataFrame:
         open_rows = left["n"]
 
 
-def _frontier(links: DataFrame) -> DataFrame:
-    """Shortest distance by breadth: one round per level, visited posts left out."""
-    links = stage(links, "multi-links")
-    seen = links.select("conversation_id", F.col("root_id").alias("node")).distinct().withColumn("level", F.lit(0))
-    frontier, level = seen, 0
+def shortest_levels(links: DataFrame, most_pairs: int = 256) -> DataFrame:
+    """Distance from the root of every post it reaches, roots included, by min-plus doubling.
+
+    After k rounds the distances below 2^k are known, and ``hops`` holds, for every post
+    without one, its ancestors exactly 2^k replies up, over any of its parents. One join adds
+    the distances up to 2^(k+1): 2^k more than the least known one among those ancestors;
+    another doubles the hops. So rounds grow with the logarithm of the depth. Posts with many
+    parents at many depths have many ancestors at one distance: should ``hops`` outgrow
+    ``most_pairs`` times the links, the distances still open go on a level at a time.
+    """
+    links = stage(links.select("conversation_id", "parent", "child", "root_id").distinct(), "multi-links")
+    bound = most_pairs * links.count()
+    levels = links.select("conversation_id", F.col("root_id").alias("node")).distinct().withColumn("level", F.lit(0))
+    hops = links.where(F.col("child") != F.col("root_id")).select("conversation_id", F.col("child").alias("node"), F.col("parent").alias("up"))
+    hops, step = stage(hops, "hops"), 1
+    on = ["conversation_id", "up"]
+    while True:
+        known = levels.select("conversation_id", F.col("node").alias("up"), "level")
+        found = hops.join(known, on).groupBy("conversation_id", "node").agg((F.min("level") + step).alias("level"))
+        found = stage(found, "levels")
+        # A post farther up the shortest path than these would have one of these on it.
+        if found.isEmpty():
+            return levels
+        levels = levels.unionByName(found)
+        far = hops.join(found, ["conversation_id", "node"], "left_anti")
+        ahead = hops.select("conversation_id", F.col("node").alias("up"), F.col("up").alias("further"))
+        hops = stage(far.join(ahead, on).select("conversation_id", "node", F.col("further").alias("up")).distinct(), "hops")
+        step *= 2
+        if hops.count() > bound:
+            return _by_level(links, levels, step)
+
+
+def _by_level(links: DataFrame, levels: DataFrame, level: int) -> DataFrame:
+    """Distances from ``level`` on, a round each; smaller ones are known."""
+    frontier = levels.where(F.col("level") == level - 1)
     while True:
-        level += 1
         nxt = (
             links.join(frontier.select("conversation_id", F.col("node").alias("parent")), ["conversation_id", "parent"])
             .select("conversation_id", F.col("child").alias("node")).distinct()
-            .join(seen.select("conversation_id", "node"), ["conversation_id", "node"], "left_anti")
+            .join(levels.select("conversation_id", "node"), ["conversation_id", "node"], "left_anti")
             .withColumn("level", F.lit(level))
         )
-        nxt = stage(nxt, "frontier")
-        if nxt.isEmpty():
-            return seen.where("level > 0")
-        seen, frontier = seen.unionByName(nxt), nxt
+        frontier = stage(nxt, "frontier")
+        if frontier.isEmpty():
+            return levels
+        levels, level = levels.unionByName(frontier), level + 1
 
 
 def peak_hours(rows: DataFrame, roots: DataFrame) -> DataFrame:

@@ -6,13 +6,16 @@ in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import constants as K
 from tidemark.functions import pvalues
-from tidemark.operators.ranks import attach_ranks, average_rank, ordered_counts, quantile_parts
+from tidemark.operators.contrasts import bootstrap_mean_difference
+from tidemark.operators.ranks import attach_ranks, average_rank, ordered_counts, quantile_parts, unpivot
+from tidemark.session import stage
 
 
 def _sides(side: str) -> dict[str, Column]:
@@ -231,3 +234,29 @@ def input_separability(df: DataFrame, inputs: Sequence[str], flag: str) -> DataF
         "z_two_sided",
         "z_greater",
     )
+
+
+def note_flags(notes: DataFrame, key: str, flags: Mapping[str, Column]) -> DataFrame:
+    """One row per noted post: ``n_notes`` and, per flag, whether any note sets it. Notes without a key are out."""
+    return notes.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_notes"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()])
+
+
+def compare_arms(rows: DataFrame, key: str, values: Sequence[str], comparisons: Mapping[str, tuple[Column, Column]],
+                 n: int = 1000, seed: int = K.SEED) -> DataFrame:
+    """Two-sample statistics and a bootstrap interval of the mean difference, per comparison and value.
+
+    ``comparisons`` maps a name to (is a case, is a control) over ``rows``; a row may serve in
+    several. One pass makes its memberships, one keyed job each the ranks and the draws; a row
+    has the same weight in every comparison. Columns: comparison, metric, those of
+    ``two_sample``, diff, ci_lo, ci_hi.
+    """
+    cells = F.array(*[
+        F.when(case | control, F.struct(F.lit(name).alias("comparison"), F.coalesce(case, F.lit(False)).alias("side")))
+        for name, (case, control) in ((k, (F.coalesce(a, F.lit(False)), F.coalesce(b, F.lit(False)))) for k, (a, b) in comparisons.items())
+    ])
+    arms = stage(rows.select(key, *values, F.inline(F.filter(cells, lambda c: c.isNotNull()))), "arms")
+    stats = two_sample(unpivot(arms, values, ["comparison", "side"]), "value", "side", ["comparison", "metric"])
+    drawn = bootstrap_mean_difference(arms, key, "side", values, n, seed, ["comparison"])
+    drawn = drawn.select("comparison", F.col("name").alias("metric"), F.col("point").alias("diff"), "ci_lo", "ci_hi")
+    return stats.join(drawn, ["comparison", "metric"])

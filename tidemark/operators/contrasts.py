@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
+from tidemark.operators.ranks import join_on
+from tidemark.session import stage
 
 _MODULUS = 2147483647
 
@@ -254,11 +256,51 @@ def _summaries(rows, values, wanted, n, seed, keys, label) -> DataFrame:
         F.sum(F.when(F.col(label) == K.LOW, F.col("w")).otherwise(0)).cast("long").alias("n_low"),
         F.sum(F.when(F.col(label) == K.HIGH, F.col("w")).otherwise(0)).cast("long").alias("n_high"),
     ).select(*keys, F.inline(cells({"n_low": "n_low", "n_high": "n_high"})))
-    return actual.withColumnRenamed("value", "point").join(intervals, [*keys, "name"]).select(
+    return join_on(actual.withColumnRenamed("value", "point"), intervals, [*keys, "name"]).select(
         *keys, "name", "n_low", "n_high", "point", "ci_lo", "ci_hi"
     )
 
 
+def stage2(panel: DataFrame, metrics: Mapping[str, Column], regimes: Sequence[str], n: int = 1000, baseline: str = "additive",
+           seed: int = K.SEED, label: str = "label") -> DataFrame:
+    """Gaps of every metric and regime and their contrasts with the baseline, over replicates and by bootstrap.
+
+    Rows (kind, metric, regime, n_low, n_high, point, ci_lo, ci_hi) of four kinds: the mean over
+    replicates with the percentiles of its replicates (``gap``, ``contrast``), and the same of
+    replicate means with paired bootstrap intervals (``boot_gap``, ``boot_contrast``). All
+    metrics and regimes share one matrix of weights.
+    """
+    def cells(kinds) -> Column:
+        return F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("double").alias("__v")) for m, c in kinds.items()])
+
+    long = stage(panel.select("regime", "replicate", label, F.inline(cells(metrics))), "stage2-long")
+    low, high = F.col(label) == K.LOW, F.col(label) == K.HIGH
+    per = long.where(low | high).groupBy("metric", "regime", "replicate").agg(
+        (F.avg(F.when(low, F.col("__v"))) - F.avg(F.when(high, F.col("__v")))).alias("gap"),
+        F.count_if(low).alias("n_low"), F.count_if(high).alias("n_high"))
+    per = stage(per.select(
+        "metric", "regime", "replicate", "n_low", "n_high",
+        F.when(F.col("gap").isNull(), F.raise_error(F.lit("a replicate lacks a class")).cast("double")).otherwise(F.col("gap")).alias("gap")), "stage2-gaps")
+
+    def over_replicates(kind: str, rows: DataFrame) -> DataFrame:
+        q = F.percentile("gap", F.array(F.lit(0.025), F.lit(0.975)))
+        return rows.groupBy("metric", "regime").agg(
+            F.median("n_low").cast("long").alias("n_low"), F.median("n_high").cast("long").alias("n_high"),
+            F.avg("gap").alias("point"), q[0].alias("ci_lo"), q[1].alias("ci_hi")).select(F.lit(kind).alias("kind"), "*")
+
+    base = per.where(F.col("regime") == baseline).select("metric", "replicate", F.col("gap").alias("__base"))
+    paired = per.where(F.col("regime") != baseline).join(base, ["metric", "replicate"]).withColumn("gap", F.col("gap") - F.col("__base")).drop("__base")
+    wide = stage(replicate_means(panel, metrics, regimes, label), "stage2")
+    names = {f"{m}__{r}": (m, r) for m in metrics for r in regimes}
+    values = list(names)
+    others = [v for v in values if names[v][1] != baseline]
+    gaps = bootstrap_gaps(wide, values, n, seed, label=label).withColumn("kind", F.lit("boot_gap"))
+    contrasts = bootstrap_contrasts(wide, {v: (f"{names[v][0]}__{baseline}", v) for v in others}, n, seed, label=label).withColumn("kind", F.lit("boot_contrast"))
+    booted = gaps.unionByName(contrasts).select(
+        "kind", F.split("name", "__")[0].alias("metric"), F.split("name", "__")[1].alias("regime"), "n_low", "n_high", "point", "ci_lo", "ci_hi")
+    return over_replicates("gap", per).unionByName(over_replicates("contrast", paired)).unionByName(booted)
+
+
 def bootstrap_mean_difference(df: DataFrame, key: str, side: str, values: Sequence[str], n: int = 1000,
                               seed: int = K.SEED, keys: Sequence[str] = ()) -> DataFrame:
     """Interval of mean(value | side) - mean(value | not side), per key and value."""
@@ -332,24 +374,23 @@ def clip_counts(clipped: DataFrame, values: Sequence[str], label: str = "label")
     return clipped.groupBy("quantile", "cap").agg(*aggs).select("quantile", "cap", F.inline(cells))
 
 
+#: How an interval's sign may move, by the signs before and after; 0 stands for an interval around 0.
+_MOVES = {"0,-1": "strengthens", "0,1": "reverses", "-1,0": "weakens", "1,0": "weakens", "-1,1": "reverses", "1,-1": "reverses"}
+
+
 def shift_verdict(base_lo: Column, base_hi: Column, lo: Column, hi: Column, margin: float = 0.5) -> Column:
-    """How a truncated interval moved against the untruncated one."""
+    """How a truncated interval moved against the untruncated one: by its signs, else by its nearer end's distance from 0."""
     def sign(a: Column, b: Column) -> Column:
-        return F.when(b < 0, -1).when(a > 0, 1).otherwise(0)
+        return F.when(b < 0, "-1").when(a > 0, "1").otherwise("0")
 
-    s0, s1 = sign(base_lo, base_hi), sign(lo, hi)
-    d0 = F.least(F.abs(base_lo), F.abs(base_hi))
-    d1 = F.least(F.abs(lo), F.abs(hi))
-    same = (
-        F.when(F.abs(d1 - d0) < margin, "similar").when(d1 > d0, "further from 0").otherwise("closer to 0")
-    )
-    return (
-        F.when(s0 == s1, same)
-        .when((s0 == 0) & (s1 == -1), "strengthens")
-        .when((s0 != 0) & (s1 == 0), "weakens")
-        .when(s1 != 0, "reverses")
-        .otherwise("shift")
-    )
+    def distance(a: Column, b: Column) -> Column:
+        return F.least(F.abs(a), F.abs(b))
+
+    moves = F.create_map(*[F.lit(x) for pair in _MOVES.items() for x in pair])
+    moved = F.try_element_at(moves, F.concat_ws(",", sign(base_lo, base_hi), sign(lo, hi)))
+    change = distance(lo, hi) - distance(base_lo, base_hi)
+    nearer = F.when(F.abs(change) < margin, "similar").when(change > 0, "further from 0").otherwise("closer to 0")
+    return F.coalesce(moved, nearer)
 
 
 def sweep_summary(table: DataFrame, keys: Sequence[str] = ("metric",)) -> DataFrame:

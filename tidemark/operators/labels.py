@@ -18,27 +18,29 @@ def host_of(url: Column) -> Column:
     return F.lower(F.rtrim(F.regexp_extract(F.trim(url), _HOST, 1), F.lit(".")))
 
 
-def registered_domains(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """(host, domain) for distinct hosts: longest public suffix plus one label.
-
-    Hosts without a known suffix, equal to a suffix, or with characters no host
-    has get no row. Every host yields one candidate suffix per label, matched by
-    an equi-join, so the suffix table may have any size.
+def registered_domains(hosts: DataFrame, suffixes: DataFrame, unlisted: bool = True) -> DataFrame:
+    """(host, domain) for distinct hosts: the public suffix plus one label.
+
+    ``suffixes`` holds rules of a public-suffix list (see ``sources.lists.suffix_rules``): plain
+    ones, ``*.`` rules that take one more label, and ``!`` rules that take one less and win over
+    all. Else the longest rule decides; a host that no rule meets has its last label for a
+    suffix, unless ``unlisted`` is off. Hosts equal to a suffix, addresses, and texts with
+    characters no host has get no row. Every host yields one candidate suffix per label,
+    matched by an equi-join, so the rule table may have any size.
     """
-    distinct = hosts.select("host").where(F.col("host").rlike(r"^[^\s]+\.[^\s]+$")).distinct()
-    labels = distinct.withColumn("labels", F.split("host", r"\."))
-    starts = F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("start")
-    candidates = labels.select("host", "labels", starts).select(
-        "host",
-        F.when(F.col("start") > 1, F.try_element_at("labels", F.col("start") - 1)).alias("name"),
-        F.concat_ws(".", F.slice("labels", F.col("start"), F.size("labels"))).alias("suffix"),
-        "start",
-    )
-    # The longest suffix decides; at the very start it is the whole host.
-    longest = candidates.join(suffixes, "suffix").groupBy("host").agg(
-        F.min_by(F.struct("name", "suffix"), "start").alias("m")
-    )
-    return longest.where("m.name <> ''").select("host", F.concat_ws(".", "m.name", "m.suffix").alias("domain"))
+    distinct = hosts.select("host").where(F.col("host").rlike(r"^[^\s]+\.[^\s]+$") & ~F.col("host").rlike(r"\.[0-9]+$")).distinct()
+    labels = distinct.select("host", F.split("host", r"\.").alias("labels"))
+    candidates = labels.select("host", F.posexplode(
+        F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.concat_ws(".", F.slice("labels", i, F.size("labels"))))).alias("at", "suffix"))
+    rules = suffixes if "kind" in suffixes.columns else suffixes.withColumn("kind", F.lit("plain"))
+    # Where the public suffix begins, counted from 0.
+    begins = F.col("at") + F.when(F.col("kind") == "exception", 1).when(F.col("kind") == "wildcard", -1).otherwise(0)
+    met = candidates.join(rules, "suffix").where(begins >= 0).groupBy("host").agg(
+        F.min(F.struct((F.col("kind") != "exception").alias("listed"), begins.alias("begin"))).alias("m"))
+    begin = F.coalesce("m.begin", F.size("labels") - 1) if unlisted else F.col("m.begin")
+    placed = labels.join(met, "host", "left" if unlisted else "inner").select("host", "labels", begin.alias("begin"))
+    named = placed.where((F.col("begin") >= 1) & (F.get("labels", F.col("begin") - 1) != ""))
+    return named.select("host", F.concat_ws(".", F.slice("labels", F.col("begin"), F.size("labels"))).alias("domain"))
 
 
 def url_labels(

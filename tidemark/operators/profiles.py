@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.columns import equal_width_bucket, flag_or_false, no_nan, share
-from tidemark.operators.ranks import exact_quantiles, ordered_counts, quantile_parts, unpivot
+from tidemark.operators.ranks import join_on, exact_quantiles, ordered_counts, quantile_parts, unpivot
 
 PROFILE_PROBES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -49,7 +49,7 @@ def numeric_profile(
     c = F.col("count").cast("double")
     mean = F.col("__sum") / c
     return (
-        stats.join(rows, group)
+        join_on(stats, rows, group)
         .select(
             *group, "count", mean.alias("mean"), F.when(c > 1, F.col("__std")).alias("std"),
             "min", *made, "max", (F.col("__positive") / F.col("n_rows")).alias("nonzero_share"),

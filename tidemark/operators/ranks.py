@@ -2,8 +2,8 @@
 
 A window without partition keys would sort the table in one task. Here equal
 values are first summed (so a value shared by a third of the rows is one row),
-then the distinct values are cut into ranges small enough for one task each, and
-each range adds the totals of the ranges before it.
+then a range exchange deals the distinct values, in order, to as many tasks as their
+number asks for, and each range adds the totals of the ranges before it.
 """
 
 from __future__ import annotations
@@ -13,35 +13,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import literal_doubles, no_nan
+from tidemark.functions.columns import no_nan
+from tidemark.session import stage
 
 ROWS_PER_RANGE = 1_000_000
-_PROBES = 1024
-_STRIDE = 32
 _MAX_KEYS = 1000
 
 
-def range_splits(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
-    """Cut points per column, a driver-side list of at most 1,023 numbers each.
-
-    One pass over the columns; no cut points when the table fits in one range.
-    """
-    probes = ",".join(f"{i / _PROBES!r}D" for i in range(1, _PROBES))
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.expr(f"percentile_approx(nanvl(cast(`{c}` as double), null), array({probes}), 20000)").alias(c)
-            for c in columns
-        ],
-    ).first()
-    pieces = min(_PROBES, -(-row["n"] // ROWS_PER_RANGE))
-    if pieces <= 1:
-        return {c: [] for c in columns}
-    step = _PROBES / pieces
-    picks = sorted({int(step * i) - 1 for i in range(1, pieces)})
-    return {c: sorted({row[c][p] for p in picks if p >= 0}) if row[c] else [] for c in columns}
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` with null equal to null, so groups without a key stay; the left side's keys are kept.
 
@@ -57,17 +35,9 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(named, same, how).drop(*[f"__on_{c}" for c in keys])
 
 
-def range_of(value: Column, splits: Sequence[float]) -> Column:
-    """Number of cut points at or below ``value``, found in two short scans."""
-    if not splits:
-        return F.lit(0)
-    every = literal_doubles(splits)
-    coarse_points = splits[_STRIDE - 1 :: _STRIDE]
-    if not coarse_points:
-        return F.size(F.filter(every, lambda s: s <= value))
-    coarse = F.size(F.filter(literal_doubles(coarse_points), lambda s: s <= value))
-    fine = F.slice(every, coarse * _STRIDE + 1, F.lit(_STRIDE))
-    return coarse * _STRIDE + F.size(F.filter(fine, lambda s: s <= value))
+def fits_one_task(df: DataFrame) -> bool:
+    """Is the table counted small enough for a plain window?"""
+    return df.count() <= ROWS_PER_RANGE
 
 
 def ordered_counts(
@@ -75,21 +45,27 @@ def ordered_counts(
     value: str,
     keys: Sequence[str] = (),
     measures: Mapping[str, Column] | None = None,
-    splits: Sequence[float] | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Distinct values in order with, per measure, its sum, running sum and total.
 
     Columns: keys, ``value``, then ``m``, ``cum_m`` (this value included) and
-    ``tot_m`` for each measure ``m`` (default: the row count ``n``).
+    ``tot_m`` for each measure ``m`` (default: the row count ``n``). ``small`` says
+    whether the table fits one task; it is counted otherwise. A larger table's distinct
+    values are written in ranges, one for every ``ROWS_PER_RANGE`` of them.
     """
     measures = dict(measures or {"n": F.count(F.lit(1))})
     keys = list(keys)
     src = df.withColumn(value, no_nan(value)).where(F.col(value).isNotNull())
-    if splits is None:
-        splits = range_splits(df, [value])[value]
+    small = fits_one_task(src) if small is None else small
     counted = src.groupBy(*keys, value).agg(*[m.alias(n) for n, m in measures.items()])
     group = keys or [F.lit(1)]
-    if not splits:
+    pieces = 1
+    if not small:
+        # Written first: finding the ranges reads the values once more.
+        counted = stage(counted, "distinct-values")
+        pieces = -(-counted.count() // ROWS_PER_RANGE)
+    if pieces <= 1:
         running = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*group)
         return counted.select(
@@ -97,7 +73,9 @@ def ordered_counts(
             *[F.sum(n).over(running).alias(f"cum_{n}") for n in measures],
             *[F.sum(n).over(whole).alias(f"tot_{n}") for n in measures],
         )
-    ranged = counted.withColumn("__range", range_of(F.col(value), splits))
+    # The keys too: many of them may share one value.
+    ranged = counted.repartitionByRange(pieces, value, *keys).withColumn("__range", F.spark_partition_id())
+    ranged = stage(ranged, "value-ranges")
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     totals = (
@@ -152,15 +130,15 @@ def attach_ranks(
 ) -> DataFrame:
     """Add rank columns: ``columns`` maps a value column to the name of its rank.
 
-    A table counted small enough for one range is ranked by plain windows. Beyond
+    A table counted small enough for one task is ranked by plain windows. Beyond
     that the rank table has one row per distinct value, and the join back is an
     equi-join that adaptive execution broadcasts or splits when a value is hot.
     """
-    splits = range_splits(df, list(columns))
+    small = fits_one_task(df)
     out = df
     for value, name in columns.items():
-        if splits[value]:
-            table = ordered_counts(df, value, keys, splits=splits[value]).select(
+        if not small:
+            table = ordered_counts(df, value, keys, small=False).select(
                 *keys, F.col(value).alias("__value"), RANKS[kind]().alias(name)
             )
             out = join_on(out.withColumn("__value", no_nan(value)), table, [*keys, "__value"], "left").drop("__value")
@@ -170,7 +148,7 @@ def attach_ranks(
 
 
 def _window_rank(df: DataFrame, value: str, name: str, kind: str, keys: Sequence[str]) -> DataFrame:
-    """Ranks of a table known to fit in one range; nulls stay apart and get none."""
+    """Ranks of a table known to fit in one task; nulls stay apart and get none."""
     part = [*keys, F.col("__value").isNull()]
     upto = Window.partitionBy(*part).orderBy("__value").rangeBetween(Window.unboundedPreceding, 0)
     ranked = df.withColumn("__value", no_nan(value)).select(

@@ -1,8 +1,10 @@
 """Repeatable samples: rows are ordered by a hash of (id, seed).
 
-A sample depends on ids and seed alone, not on partitioning or run. Ranks inside
-a stratum come from ordered counts of the hash, so a stratum of any size is
-spread over tasks.
+A sample depends on ids and seed alone, not on partitioning or run. A sample of n
+rows is the n least hashes of its stratum: counts of the hash's leading bits, merged
+over tasks, give a bound that few more than n rows pass, and only those are shuffled.
+Ranks inside a stratum come from ordered counts of the hash, so a stratum of any size
+is spread over tasks.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from tidemark import constants as K
 from tidemark.functions.columns import count_or_zero, flag_or_false, interval_bucket, literal_doubles, no_nan
 from tidemark.operators.profiles import quantile_edges
 from tidemark.operators.ranks import exact_quantiles, first_by, ordered_counts, quantile_scalars
+from tidemark.session import stage
 
 _MODULUS = 2147483647
+#: A hash has 31 bits; its leading 12 are counted.
+_TAIL_BITS = 19
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -41,9 +46,15 @@ def sample_order(df: DataFrame, key: str, seed: int, strata: Sequence[str] = ())
     one sortable number. A null stratum is a stratum; rows with a null key are
     hashed by all their columns, and only equal ones among them are in no order.
     """
+    return _ranked(_hashed(df, key, seed, strata), key).drop("__h", "__g")
+
+
+def _hashed(df: DataFrame, key: str, seed: int, strata: Sequence[str]) -> DataFrame:
     spread = F.pmod(F.xxhash64(*df.columns), F.lit(_MODULUS))
-    tied = df.withColumn("__h", F.coalesce(hash_order(F.col(key), seed), spread).cast("double"))
-    tied = tied.withColumn("__g", group_key(strata))
+    return df.withColumn("__h", F.coalesce(hash_order(F.col(key), seed), spread).cast("double")).withColumn("__g", group_key(strata))
+
+
+def _ranked(tied: DataFrame, key: str) -> DataFrame:
     ordered = ordered_counts(tied, "__h", ["__g"])
     base = ordered.select("__g", "__h", (F.col("cum_n") - F.col("n")).alias("__base"), F.col("tot_n").alias("stratum_size"))
     # Rows that share a hash are few: a 31-bit hash of distinct ids.
@@ -51,10 +62,32 @@ def sample_order(df: DataFrame, key: str, seed: int, strata: Sequence[str] = ())
     return (
         tied.join(base, ["__g", "__h"])
         .withColumn("sample_rank", F.col("__base") + F.row_number().over(same))
-        .drop("__h", "__g", "__base")
+        .drop("__base")
     )
 
 
+def least_ranked(df: DataFrame, key: str, seed: int, strata: Sequence[str], limits: int | DataFrame) -> DataFrame:
+    """The rows that ``sample_order`` ranks up to a limit, with the same ``sample_rank`` and ``stratum_size``.
+
+    ``limits`` is one number or a table ``(__g, limit)`` by ``group_key`` of the strata. No
+    row beyond a stratum's bound leaves its task: the counts that give the bounds are at
+    most 4,096 a stratum, and a bound lets through its n rows and about n_stratum / 4,096 more.
+    """
+    tied = _hashed(df, key, seed, strata)
+    cell = F.shiftright(F.col("__h").cast("long"), _TAIL_BITS)
+    counts = tied.groupBy("__g", cell.alias("__cell")).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("__g")
+    counts = counts.select(
+        "__g", "__cell", F.sum("n").over(own.orderBy("__cell")).alias("upto"), F.sum("n").over(own).alias("__size"))
+    counts = counts.withColumn("limit", F.lit(limits)) if isinstance(limits, int) else counts.join(limits, "__g")
+    enough = F.min(F.when(F.col("upto") >= F.col("limit"), F.col("__cell")))
+    bounds = counts.groupBy("__g").agg(
+        F.coalesce(enough, F.max("__cell")).alias("__bound"), F.max("__size").alias("__size"), F.max("limit").alias("__limit"))
+    kept = tied.join(stage(bounds, "sample-bounds"), "__g").where(cell <= F.col("__bound")).drop("__bound")
+    ranked = _ranked(stage(kept, "sample-rows"), key).withColumn("stratum_size", F.col("__size"))
+    return ranked.where(F.col("sample_rank") <= F.col("__limit")).drop("__h", "__g", "__size", "__limit")
+
+
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = K.SEED) -> DataFrame:
     """``n`` rows without replacement; a smaller pool is repeated until n are drawn."""
     if n <= 0:
@@ -80,8 +113,7 @@ def stratified_sample(
     A stratum smaller than ``n`` is used again and again in hash order when
     ``replacement``, otherwise taken whole.
     """
-    ranked = sample_order(df, key, seed, strata)
-    first = ranked.where(F.col("sample_rank") <= n)
+    first = least_ranked(df, key, seed, strata, n)
     if not replacement:
         return first.withColumn("draw", F.lit(1)).drop("sample_rank", "stratum_size")
     copies = F.floor((F.lit(n) - F.col("sample_rank")) / F.col("stratum_size")) + 1
@@ -115,6 +147,11 @@ def claim_sample(posts: DataFrame, n: int, key: str, text: str, label: str = "cr
     return stratified_sample(usable, n, key, [label], seed, replacement=False)
 
 
+def baseline_sample(posts: DataFrame, n: int, key: str, part: str, seed: int = K.SEED) -> DataFrame:
+    """Up to ``n`` rows of every part, never repeated."""
+    return stratified_sample(posts, n, key, [part], seed, replacement=False)
+
+
 def follower_strata(users: DataFrame, count: str, key: str, bins: int = 5, seed: int = K.SEED) -> DataFrame:
     """Add ``stratum``: equal-frequency follower bin, right-closed, equal edges collapsed.
 
@@ -155,19 +192,20 @@ def user_sample(
     celled = follower_strata(users, followers, "__key", bins, seed).withColumn(
         "cell", F.concat_ws("_", F.col("stratum").cast("string"), flag_or_false(blue).cast("int").cast("string"))
     )
-    ranked = sample_order(celled, "__key", seed, ["cell"])
+    celled = stage(celled, "celled-users")
     # At most bins x 2 cells: an allocation table, not data.
     in_order = Window.partitionBy(F.lit(1)).orderBy("cell")
-    cells = ranked.select("cell").distinct().withColumn("__i", F.row_number().over(in_order))
+    cells = celled.select("cell").distinct().withColumn("__i", F.row_number().over(in_order))
     n_cells = F.max("__i").over(Window.partitionBy(F.lit(1)))
     quota = cells.withColumn("__n", n_cells).select(
-        "cell",
-        (F.floor(F.lit(n) / F.col("__n")) + F.when(F.col("__i") <= F.pmod(F.lit(n), F.col("__n")), 1).otherwise(0)).alias("quota"),
+        group_key(["cell"]).alias("__g"),
+        (F.floor(F.lit(n) / F.col("__n")) + F.when(F.col("__i") <= F.pmod(F.lit(n), F.col("__n")), 1).otherwise(0)).alias("limit"),
     )
-    picked = ranked.join(quota, "cell").where(F.col("sample_rank") <= F.col("quota"))
-    copies = F.floor((F.col("quota") - F.col("sample_rank")) / F.col("stratum_size")) + 1
+    quota = stage(quota, "quota")
+    picked = least_ranked(celled, "__key", seed, ["cell"], quota).withColumn("__g", group_key(["cell"])).join(quota, "__g")
+    copies = F.floor((F.col("limit") - F.col("sample_rank")) / F.col("stratum_size")) + 1
     return picked.withColumn("draw", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop(
-        "sample_rank", "stratum_size", "quota", "__key"
+        "sample_rank", "stratum_size", "limit", "__g", "__key"
     )
 
 
@@ -187,17 +225,14 @@ def matched_controls(
         posts.join(cases.select(key), key, "left_semi").groupBy(*group)
         .agg((F.count(F.lit(1)) * per_case).alias("need"))
     )
-    ranked = sample_order(pool, key, seed, group).withColumn("__g", group_key(group))
     sizes = pool.select(group_key(group).alias("__g")).distinct().withColumn("present", F.lit(True))
     demand = need.withColumn("__g", group_key(group)).join(sizes, "__g", "left").select(
         F.when(F.col("present"), F.col(stratum)).otherwise(F.col(stratum) - 1).cast(posts.schema[stratum].dataType).alias(stratum),
         *exact, "need",
     )
     # Two strata may draw on one pool stratum.
-    total = demand.groupBy(group_key(group).alias("__g")).agg(F.sum("need").alias("need"))
-    return ranked.join(total, "__g").where(F.col("sample_rank") <= F.col("need")).drop(
-        "__g", "sample_rank", "stratum_size", "need"
-    )
+    total = demand.groupBy(group_key(group).alias("__g")).agg(F.sum("need").alias("limit"))
+    return least_ranked(pool, key, seed, group, total).drop("sample_rank", "stratum_size")
 
 
 def train_split(df: DataFrame, key: str, val_share: float = 0.1, seed: int = K.SEED) -> DataFrame:

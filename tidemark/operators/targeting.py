@@ -246,6 +246,29 @@ def ratio_branch(low: Column, high: Column) -> Column:
     )
 
 
-def claim_verdict() -> Column:
-    """Does the form demote flagged rows more (``diff`` above zero)?"""
-    return F.col("diff") > 0
+def claim_flags(answer: str) -> dict[str, Column]:
+    """A rater's answer as 0/1 columns: each answer, and ``misinfo`` for yes or unclear; an error or no answer is not rated."""
+    value = F.upper(F.trim(F.col(answer)))
+
+    def is_one(*answers: str) -> Column:
+        return F.coalesce(value.isin(*answers), F.lit(False)).cast("int")
+
+    return {
+        "yes": is_one("YES"), "no": is_one("NO"), "unclear": is_one("UNCLEAR"), "misinfo": is_one("YES", "UNCLEAR"),
+        "rated": is_one("YES", "NO", "UNCLEAR"), "strict": F.when(value == "YES", 1).when(value == "NO", 0),
+    }
+
+
+def claim_verdict(diff: Column) -> Column:
+    """Does the form demote flagged rows more (``diff`` above zero)? Null-safe."""
+    return F.when(diff.isNull(), "indeterminate").when(diff > 0, "flagged demoted more").otherwise("not demoted more")
+
+
+def survival(truncated: DataFrame, keys: Sequence[str] = ("name",), at: str = "quantile") -> DataFrame:
+    """Per key, the caps whose interval stays wholly below zero, and those where it no longer does, ascending."""
+    below = F.col("ci_hi") < 0
+
+    def caps(hit: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when(hit, F.col(at))))  # a cap grid, not data
+
+    return truncated.groupBy(*keys).agg(caps(below).alias("survives"), caps(~F.coalesce(below, F.lit(False))).alias("not_below"))

@@ -7,7 +7,7 @@ the task and only per-vector sums leave it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.scoring import Regime, score_long, weighted
-from tidemark.operators.ranks import attach_ranks, average_rank, ordered_counts
-from tidemark.operators.reach import class_means, with_reach
-from tidemark.session import stage
+from tidemark.operators.contrasts import bootstrap_contrasts
+from tidemark.operators.ranks import attach_ranks, average_rank, fits_one_task, ordered_counts
+from tidemark.operators.reach import class_means, exposure, with_reach
+from tidemark.session import shuffle_width, stage
 
 _P = [f"p_{h}" for h in K.HEADS]
 _SLICES = 256
@@ -54,6 +55,10 @@ def named_weights() -> dict[str, dict[str, float]]:
     }
 
 
+#: Another published weight vector. Fixed values.
+PUBLISHED_2026 = {"reply": 5.0, "retweet": 1.0, "like": 0.5, "deep": 5.0}
+
+
 def describe_weights(weights: dict[str, float]) -> dict[str, float | None]:
     """Normalised weights and the shares they came from; null where undefined."""
     total = sum(weights[h] for h in K.HEADS)
@@ -230,18 +235,61 @@ def closure_table(
 
 
 def rank_agreement(seeds: DataFrame, vectors: Sequence[dict[str, float]]) -> DataFrame:
-    """Spearman correlation of every vector's score with the published score.
+    """Spearman correlation of every vector's score with the published score: rows (v, rho).
 
-    Exact ranks need every (vector, score) pair, so this shuffles rows times
-    vectors, combined per distinct score before it moves. Pass a shorter list of
-    vectors, or the list in pieces, on a very large table.
+    Exact ranks under a vector need all scores under it. A table counted to fit one task
+    (at most ``ROWS_PER_RANGE`` rows of five numbers) is sent to every executor once, and the
+    vectors are spread: each is ranked inside a task, and two numbers a vector leave it. On a
+    larger table scores are shuffled, combined per distinct score before they move.
     """
-    ranked = stage(
-        attach_ranks(
-            seeds.select(*_P, weighted(K.WEIGHTS, K.HEADS).alias("__pub")), {"__pub": "rank_pub"}
-        ),
-        "published-rank",
-    )
+    ranked = attach_ranks(seeds.select(*_P, weighted(K.WEIGHTS, K.HEADS).alias("__pub")), {"__pub": "rank_pub"})
+    ranked = stage(ranked.select("rank_pub", *_P), "published-rank")
+    if not fits_one_task(ranked):
+        return _shuffled_agreement(ranked, vectors)
+    spark = seeds.sparkSession
+    table = spark.sparkContext.broadcast(ranked.toPandas().to_numpy(np.float64))
+    weights = np.array([[v[h] for h in K.HEADS] for v in vectors])
+
+    def run(frames):
+        y = table.value[:, 0]
+        p = [np.ascontiguousarray(table.value[:, 1 + h]) for h in range(len(_P))]
+        y_off = y - y.mean() if len(y) else y
+        y_norm = np.sqrt((y_off * y_off).sum())
+        for frame in frames:
+            rho = []
+            for v in frame["id"]:
+                w = weights[v]
+                s = p[0] * w[0]
+                for h in range(1, len(p)):
+                    s = s + p[h] * w[h]
+                _, group, n = np.unique(s, return_inverse=True, return_counts=True)
+                x = (np.cumsum(n) - (n - 1) / 2.0)[group]
+                x = x - x.mean() if len(x) else x
+                norm = np.sqrt((x * x).sum()) * y_norm
+                rho.append(float((x * y_off).sum() / norm) if norm > 0 else None)
+            yield pd.DataFrame({"v": frame["id"].astype("int32"), "rho": pd.array(rho, "Float64")})
+
+    return spark.range(0, len(vectors), 1, 4 * shuffle_width(spark)).mapInPandas(run, "v int, rho double")
+
+
+def closure_intervals(
+    seeds: DataFrame, vectors: Mapping[str, dict[str, float]], n: int = 1000, baseline: float = K.BASELINE_EXPOSURES, seed: int = K.SEED,
+) -> DataFrame:
+    """(name, point, ci_lo, ci_hi): each vector's closure against the published weights, with its paired bootstrap interval.
+
+    Medians are those of the whole pool, which a resample does not change. All vectors are
+    columns of one matrix that a batch's draws meet once.
+    """
+    each = {"published": dict(K.WEIGHTS), **vectors}
+    w = np.array([[v[h] for v in each.values()] for h in K.HEADS])
+    medians = vector_medians(seeds, w)  # a number a vector
+    reach = [exposure(weighted(v, K.HEADS), F.lit(float(m)), baseline).alias(f"reach{i}") for i, (v, m) in enumerate(zip(each.values(), medians))]
+    wide = stage(seeds.select(F.col("id").alias("cascade_id"), "label", *reach), "closure-reach")
+    pairs = {name: ("reach0", f"reach{i}") for i, name in enumerate(each)}
+    return bootstrap_contrasts(wide, pairs, n, seed).select("name", "point", "ci_lo", "ci_hi").where(F.col("name").isin(list(vectors)))
+
+
+def _shuffled_agreement(ranked: DataFrame, vectors: Sequence[dict[str, float]]) -> DataFrame:
     cells = ", ".join(
         f"struct({i} as v, " + ", ".join(f"{float(w[h])!r}D as w_{h}" for h in K.HEADS) + ")"
         for i, w in enumerate(vectors)

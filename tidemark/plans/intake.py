@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.operators import cascades as C
+from tidemark.operators import sampling as S
+from tidemark.operators import targeting
 from tidemark.operators.joins import lookup, one_to_one
 from tidemark.operators.ranks import first_by
 from tidemark.plans.registry import query
 from tidemark.plans.views import Tables, with_ctes
 from tidemark.session import stage, stage_root
 from tidemark.sources import posts as R
-from tidemark.sources import sinks
+from tidemark.sources import lists, sinks
 from tidemark.streaming import jobs as J
+from tidemark.streaming import state as ST
 
 
 def raw_rows(t: Tables):
@@ -135,6 +138,29 @@ def stream_cascades(spark, sf_dir):
     return totals.withColumn("peak_hour", F.unix_timestamp("peak_hour"))
 
 
+@query(
+    "stream_keyed_state",
+    "user_id:i n_posts:i engagement:f peak_hour:i",
+    """select user_id, sum(c) as n_posts, sum(v) as engagement, arg_max(h, (c, -h)) as peak_hour from (
+      select user_id, epoch(date_trunc('hour', ts)) as h, count(*) as c, sum(value) as v from events group by 1, 2) group by 1""",
+)
+def stream_keyed_state(spark, sf_dir):
+    """The same totals in keyed state with timers; the events come as files that overlap in time, a few at a trigger."""
+    t = Tables(spark, sf_dir)
+    base = f"{stage_root(spark)}/keyed-{uuid.uuid4().hex}"
+    events = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", (F.hash("event_id") % 6).alias("part"))
+    events.repartition(6, "part").write.parquet(f"{base}-files")
+    stream = J.read_table_files(spark, stage_root(spark), base.rsplit("/", 1)[1] + "-files", spark.read.parquet(f"{base}-files").schema, 2)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.PROVIDER)
+    try:
+        J.run_to_end(ST.conversation_totals(stream, "ts", "user_id", "value", "36500 days"), base, f"{base}-state", "update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    totals = J.latest(spark, base, ["conversation"])
+    return totals.withColumnRenamed("conversation", "user_id").withColumn("peak_hour", F.unix_timestamp("peak_hour"))
+
+
 # ---- joins and set operations --------------------------------------------
 
 
@@ -222,3 +248,95 @@ def partitioned_sink(spark, sf_dir):
   from posts p join posts q on q.conversationId = p.conversationId and q.id = p.in_reply_to_status_id_str"""))
 def edge_list(spark, sf_dir):
     return C.reply_edges(C.reply_rows(Tables(spark, sf_dir).view("posts"))).where("attached")
+
+
+# ---- lists, unions and text sinks ----------------------------------------
+
+
+@query(
+    "list_scans",
+    "source:s entry:s",
+    """select distinct 'low' as source, lower(trim(c_mktsegment)) || '.example' as entry from customer
+      union all select distinct 'high', 'site' || s_suppkey % 50 || '.example' from supplier where s_suppkey % 5 <> 0
+      union all select distinct 'lexicon', lower(p_brand) from part where p_partkey % 2 = 1 and p_partkey % 3 < 2""",
+)
+def list_scans(spark, sf_dir):
+    """The two domain lists and the lexicon, written as the files they come in and scanned: headers, comments, case, flags, repeats."""
+    t = Tables(spark, sf_dir)
+    base = f"{stage_root(spark)}/lists-{uuid.uuid4().hex}"
+    t.customer.select(F.concat(F.lit(" "), F.upper("c_mktsegment"), F.lit(".Example ")).alias("Domain"), F.lit("x").alias("Reason")).write.csv(f"{base}/low", header=True)
+    line = F.when(F.col("s_suppkey") % 5 == 0, F.lit("# comment")).otherwise(
+        F.concat(F.lit("Site"), (F.col("s_suppkey") % 50).cast("string"), F.lit(".example  # noted")))
+    t.supplier.select(line.alias("value")).write.text(f"{base}/high")
+    kind = F.when(F.col("p_partkey") % 3 == 0, "anger").when(F.col("p_partkey") % 3 == 1, "disgust").otherwise("joy")
+    t.part.select(F.col("p_brand"), kind.alias("e"), (F.col("p_partkey") % 2).cast("string").alias("flag")).write.csv(f"{base}/words", sep="\t")
+    parts = {
+        "low": lists.low_credibility_domains(spark, f"{base}/low").select(F.col("domain").alias("entry")),
+        "high": lists.high_credibility_domains(spark, f"{base}/high").select(F.col("domain").alias("entry")),
+        "lexicon": lists.emotion_words(spark, f"{base}/words").select(F.col("word").alias("entry")),
+    }
+    out = None
+    for name, rows in parts.items():
+        rows = rows.select(F.lit(name).alias("source"), "entry")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "multi_part_scan",
+    "id_str:s replyCount:f extra:i",
+    with_ctes("activity", "select cast(id as varchar) as id_str, replyCount, case when id % 2 = 1 then id % 10 end as extra from activity"),
+)
+def multi_part_scan(spark, sf_dir):
+    """Parts with unlike columns read as one table; a part that is not there is left out."""
+    rows = Tables(spark, sf_dir).view("activity").select("id", "id_str", "replyCount")
+    base = f"{stage_root(spark)}/parts-{uuid.uuid4().hex}"
+    rows.where("id % 2 = 0").drop("id").write.parquet(f"{base}/part_1")
+    rows.where("id % 2 = 1").select("id_str", "replyCount", (F.col("id") % 10).alias("extra")).write.parquet(f"{base}/part_2")
+    return R.load_parts(spark, R.existing_parts(spark, [f"{base}/part_1", f"{base}/part_2", f"{base}/part_3"]))
+
+
+@query(
+    "text_sinks",
+    "format:s label:s n:i",
+    with_ctes("seeds", """select format, label, count(*) as n from seeds, (values ('csv'), ('json')) as f(format) where label is not null group by 1, 2"""),
+)
+def text_sinks(spark, sf_dir):
+    """A result table through the CSV and the JSON sink, partitioned, and back."""
+    base = f"{stage_root(spark)}/sinks-{uuid.uuid4().hex}"
+    s = Tables(spark, sf_dir).view("seeds").where("label is not null")
+    counts = stage(s.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "counts")
+    out = None
+    for fmt in ("csv", "json"):
+        sinks.write_table(counts, f"{base}/{fmt}", ["label"], fmt)
+        reader = spark.read.schema("n long, label string").option("header", True)
+        rows = reader.format(fmt).load(f"{base}/{fmt}").select(F.lit(fmt).alias("format"), "label", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "seed_projection",
+    "id_str:s epoch:f user_followersCount:i n_columns:i",
+    with_ctes("activity", """select id_str, epoch, user_followersCount, 17 as n_columns from activity where is_original"""),
+)
+def seed_projection(spark, sf_dir):
+    """Original posts, cut to the seed columns the table has."""
+    seeds = S.seed_columns(S.originals(Tables(spark, sf_dir).view("activity")))
+    return seeds.withColumn("n_columns", F.lit(len(seeds.columns)))
+
+
+@query(
+    "claim_flags",
+    "id:i yes:i no:i unclear:i misinfo:i rated:i strict:i",
+    """select doc_id as id, (k = 0)::int as yes, (k = 1)::int as no, (k = 2)::int as unclear, (k = 0 or k = 2)::int as misinfo, (k < 3)::int as rated,
+      case k when 0 then 1 when 1 then 0 end as strict from (select doc_id, case when quality = 0 then 0 when toxic = 1 then 2 when doc_id % 9 = 0 then 3 when doc_id % 11 = 0 then 4 else 1 end as k from labels)""",
+)
+def claim_flags(spark, sf_dir):
+    """Raters' answers as numbers: both readings of an unclear one, and errors apart."""
+    answer = (
+        F.when(F.col("quality") == 0, "yes").when(F.col("toxic") == 1, " UNCLEAR").when(F.col("doc_id") % 9 == 0, "ERROR")
+        .when(F.col("doc_id") % 11 == 0, F.lit(None)).otherwise("No")
+    )
+    rows = Tables(spark, sf_dir).labels.select(F.col("doc_id").alias("id"), answer.alias("answer"))
+    return rows.select("id", *[c.alias(n) for n, c in targeting.claim_flags("answer").items()])

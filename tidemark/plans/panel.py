@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.scoring import Regime, all_regimes, mechanism, score_long
-from tidemark.operators.reach import with_reach
+from tidemark.operators.profiles import diurnal_weights
+from tidemark.operators.reach import hourly_plan, with_reach
 from tidemark.plans.views import N_REPLICATES, PANEL_REGIMES, Tables
 from tidemark.session import stage
 
@@ -50,8 +51,22 @@ def panel(t: Tables) -> DataFrame:
     )
 
 
-def hourly_panel(rows: DataFrame, n_bins: int = 6) -> DataFrame:
-    """Replies of each cascade dealt over hours by a fixed integer pattern."""
-    hours = rows.select("regime", "replicate", "cascade_id", "n_reply", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("t_hour"))
-    part = (F.col("cascade_id") * 3 + F.col("replicate") * 5 + F.col("t_hour") * 7) % 11
-    return hours.select("regime", "replicate", "cascade_id", "t_hour", F.floor(F.col("n_reply") * part / F.lit(11.0)).alias("n_reply"))
+#: Each seed's share of exposure in each of the 24 hours after it; a fixed number of decimals, so that floors agree.
+PLAN_SHARES_SQL = """clock as (select cast(floor(epoch / 36e2) as bigint) % 24 as hour, count(*) as n from posts group by 1),
+    weights as (select h as hour, coalesce(n, 0) * (24e0 / sum(n) over ()) as weight from range(24) as r(h) left join clock on h = hour),
+    shape as (select s.id, b.t as t_hour, exp(-b.t / 6e0) * w.weight as part from seeds s, range(24) as b(t)
+      join weights w on w.hour = (cast(floor(s.epoch / 36e2) as bigint) + b.t) % 24),
+    shares as (select id, t_hour, round(part / sum(part) over (partition by id) + 3e-13, 9) as share from shape)"""
+
+
+def plan_shares(t: Tables) -> DataFrame:
+    """``(cascade_id, t_hour, share)``: the hourly plan of one unit of exposure."""
+    rows = t.view("seeds").select(F.col("id").alias("cascade_id"), "epoch", F.lit(1.0).alias("reach"))
+    plan = hourly_plan(rows, diurnal_weights(t.view("posts")), keep=["cascade_id"])
+    return plan.select("cascade_id", "t_hour", F.round(F.col("planned") + F.lit(3e-13), 9).alias("share"))
+
+
+def hourly_panel(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """Replies of each cascade dealt over hours by the exposure plan, whole ones counted."""
+    hours = rows.select("regime", "replicate", "cascade_id", "n_reply").join(shares, "cascade_id")
+    return hours.select("regime", "replicate", "cascade_id", "t_hour", F.floor(F.col("n_reply") * F.col("share")).alias("n_reply"))

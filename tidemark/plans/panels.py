@@ -9,14 +9,14 @@ from tidemark.operators import cascades as T
 from tidemark.operators import contrasts as C
 from tidemark.operators import sampling as A
 from tidemark.operators.ranks import exact_quantiles
-from tidemark.plans.panel import hourly_panel, mechanism_seeds, panel, seeds
+from tidemark.plans.panel import PLAN_SHARES_SQL, hourly_panel, mechanism_seeds, panel, plan_shares, seeds
 from tidemark.plans.registry import query
-from tidemark.plans.views import PANEL_REGIMES, Tables, with_ctes
+from tidemark.plans.views import N_BOOT, PANEL_REGIMES, Tables, poisson_draws_sql, with_ctes
 from tidemark.session import stage
 
+TARGETING_DRAWS = 10_000
 _SIZE = "(n_reply + n_retweet + n_deep)"
 _OTHERS = [r for r in PANEL_REGIMES if r != "additive"]
-N_BOOT = 200
 
 
 def _rep(metric: str) -> str:
@@ -73,16 +73,17 @@ def panel_metrics(spark, sf_dir):
     )
 
 
-_HOURLY = with_ctes("panel", "").rstrip() + """, hourly as (select regime, replicate, cascade_id, t as t_hour,
-      floor(n_reply * ((cascade_id * 3 + replicate * 5 + t * 7) % 11 / 11e0)) as n_reply from panel, range(6) as r(t)),
+_HOURLY = with_ctes("panel posts", "").rstrip() + f""", {PLAN_SHARES_SQL},
+    hourly as (select regime, replicate, cascade_id, t_hour, floor(n_reply * share) as n_reply from panel join shares on shares.id = cascade_id),
     peaks as (select regime, replicate, cascade_id, arg_max(t_hour, (n_reply, -t_hour)) as t_peak from hourly group by regime, replicate, cascade_id)"""
 
 
-@query("panel_peaks", "regime:s t_peak:i n:i", _HOURLY.replace("* ((cascade_id", "* ((cascade_id") + " select regime, t_peak, count(*) as n from peaks group by regime, t_peak")
+@query("panel_peaks", "regime:s t_peak:i n:i", _HOURLY + " select regime, t_peak, count(*) as n from peaks group by regime, t_peak")
 def panel_peaks(spark, sf_dir):
-    """Distribution of peak hours after the left join back to the panel."""
-    rows = stage(panel(Tables(spark, sf_dir)), "panel")
-    peaks = C.with_peaks(rows, hourly_panel(rows))
+    """Distribution of peak hours over the 24-hour plan, after the left join back to the panel."""
+    t = Tables(spark, sf_dir)
+    rows = stage(panel(t), "panel")
+    peaks = C.with_peaks(rows, hourly_panel(rows, plan_shares(t)))
     return peaks.groupBy("regime", "t_peak").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -90,33 +91,24 @@ def panel_peaks(spark, sf_dir):
 
 # The draw is integer arithmetic, so the oracle repeats it: weights, sums and
 # percentiles must all agree.
-_DRAWS = f"""
-  mixed as (select *, (cascade_id % 2147483647) as a, (replicate * 1103515245 + {K.SEED}) % 2147483647 as b from src, range({N_BOOT}) as r(replicate)),
-  h1 as (select *, (a * 48271 + b) % 2147483647 as h from mixed),
-  h2 as (select * exclude h, (xor(h, h >> 15) * 69621 + b) % 2147483647 as h from h1),
-  h3 as (select * exclude h, (xor(h, h >> 13) * 1103515245 + 12345) % 2147483647 as h from h2),
-  h4 as (select * exclude h, xor(h, h >> 16) / 2147483647e0 as u from h3),
-  steps as (select list_transform(range(13), lambda k: list_sum(list_transform(range(k + 1), lambda j: exp(-1e0) / factorial(j::integer)))) as s),
-  drawn as (select *, len(list_filter(s, lambda x: x <= u)) as w from h4, steps)"""
+def _boot(keys: str, values: dict[str, str], n: int = N_BOOT) -> str:
+    """Points and intervals of named gaps (a column) and contrasts (two columns, ``b-a``) of ``src``, from one pass of draws."""
+    k = f"{keys}, " if keys else ""
+    by = f" group by {keys}" if keys else ""
+    low, high = "filter (label = 'low_credibility')", "filter (label = 'high_credibility')"
 
+    def gaps(w: str) -> str:
+        each = sorted({v for e in values.values() for v in e.split("-")})
+        return ", ".join(f"sum({w} * {v}) {low} / sum({w}) {low} - sum({w} * {v}) {high} / sum({w}) {high} as g_{v}" for v in each)
 
-def _boot(keys: str, values: dict[str, str]) -> str:
-    k = f"{keys}, " if keys else ""
-    using = f"using ({keys}, name)" if keys else "using (name)"
-    gap = "sum(w * {v}) filter (label = 'low_credibility') / sum(w) filter (label = 'low_credibility') - sum(w * {v}) filter (label = 'high_credibility') / sum(w) filter (label = 'high_credibility')"
-    cells = " union all ".join(
-        f"select {k}replicate, '{n}' as name, {' - '.join('(' + gap.format(v=v) + ')' for v in e.split('-'))} as g from drawn group by {k}replicate"
-        for n, e in values.items()
-    )
-    plain = "avg({v}) filter (label = 'low_credibility') - avg({v}) filter (label = 'high_credibility')"
-    points = " union all ".join(
-        f"select {k}'{n}' as name, {' - '.join('(' + plain.format(v=v) + ')' for v in e.split('-'))} as point, count(*) filter (label = 'low_credibility') as n_low, count(*) filter (label = 'high_credibility') as n_high from src"
-        + (f" group by {keys}" if keys else "")
-        for n, e in values.items()
-    )
-    return f"""{_DRAWS}, cells as ({cells}), points as ({points}),
-      ci as (select {k}name, quantile_cont(g, 0.025) as ci_lo, quantile_cont(g, 0.975) as ci_hi from cells group by {k}name)
-      select * from points join ci {using}"""
+    cells = ", ".join(f"('{name}', {' - '.join('g_' + v for v in e.split('-'))})" for name, e in values.items())
+    return f"""
+      drawn as (select {k}replicate, {gaps("w")} from ({poisson_draws_sql("src", n)}) group by {k}replicate),
+      cells as (select {k}unnest([{cells}]) as c from drawn),
+      points as (select {k}unnest([{cells}]) as c, n_low, n_high from (
+        select {k}{gaps("1e0")}, count(*) {low} as n_low, count(*) {high} as n_high from src{by})),
+      ci as (select {k}c[1] as name, quantile_cont(c[2], 0.025) as ci_lo, quantile_cont(c[2], 0.975) as ci_hi from cells group by {k}c[1])
+      select {k}name, n_low, n_high, c[2] as point, ci_lo, ci_hi from (select *, c[1] as name from points) as p join ci using ({k}name)"""
 
 
 _BOOT_SPEC = "name:s n_low:i n_high:i point:f ci_lo:f ci_hi:f"
@@ -138,26 +130,36 @@ def bootstrap_contrast(spark, sf_dir):
     return C.bootstrap_contrasts(wide, _PAIRS, N_BOOT).withColumn("sign", C.interval_sign())
 
 
-_METRICS = {"size": _SIZE, "reach": "total_exposures"}
+_METRICS = {"size": _SIZE, "reach": "total_exposures", "ratio": "n_reply / (n_retweet + n_deep + 1e0)"}
 _STAGE2_WIDE = with_ctes("panel", "").rstrip() + ", src as (select cascade_id, label, " + ", ".join(
     f"avg({e}) filter (regime = '{r}') as {m}__{r}" for m, e in _METRICS.items() for r in PANEL_REGIMES
-) + " from panel where label in ('low_credibility', 'high_credibility') group by cascade_id, label),"
+) + " from panel where label in ('low_credibility', 'high_credibility') group by cascade_id, label)"
+_STAGE2_LOW, _STAGE2_HIGH = "filter (label = 'low_credibility')", "filter (label = 'high_credibility')"
+_STAGE2_NAMES = {f"boot_gap__{m}__{r}": f"{m}__{r}" for m in _METRICS for r in PANEL_REGIMES} | {
+    f"boot_contrast__{m}__{r}": f"{m}__{r}-{m}__additive" for m in _METRICS for r in _OTHERS}
 
 
-def _stage2(t: Tables):
-    metrics = {"size": C.cascade_size(), "reach": C.audience_reach()}
-    return stage(C.replicate_means(panel(t), metrics, PANEL_REGIMES), "stage2")
+def _metric_columns():
+    return {"size": C.cascade_size(), "reach": C.audience_reach(), "ratio": C.panel_ratio()}
 
 
 @query(
     "stage2_table",
-    _BOOT_SPEC,
-    _STAGE2_WIDE + _boot("", {f"{m}__{r}": f"{m}__{r}-{m}__additive" for m in _METRICS for r in _OTHERS}),
+    "kind:s metric:s regime:s n_low:i n_high:i point:f ci_lo:f ci_hi:f",
+    "select * from (with booted as (select * from (" + _STAGE2_WIDE + ", " + _boot("", _STAGE2_NAMES) + ")),"
+    + with_ctes("panel", "").strip().removeprefix("with") + ", per as (" + " union all ".join(
+        f"select '{m}' as metric, regime, replicate, avg({e}) {_STAGE2_LOW} - avg({e}) {_STAGE2_HIGH} as gap, count(*) {_STAGE2_LOW} as n_low, count(*) {_STAGE2_HIGH} as n_high"
+        " from panel group by regime, replicate" for m, e in _METRICS.items()
+    ) + """), both_ as (select 'gap' as kind, * from per union all
+      select 'contrast', p.metric, p.regime, p.replicate, p.gap - b.gap, p.n_low, p.n_high
+      from per p join per b on b.metric = p.metric and b.replicate = p.replicate and b.regime = 'additive' where p.regime <> 'additive')
+    select kind, metric, regime, cast(quantile_cont(n_low, 0.5) as bigint) as n_low, cast(quantile_cont(n_high, 0.5) as bigint) as n_high,
+      avg(gap) as point, quantile_cont(gap, 0.025) as ci_lo, quantile_cont(gap, 0.975) as ci_hi from both_ group by 1, 2, 3
+    union all select split_part(name, '__', 1), split_part(name, '__', 2), split_part(name, '__', 3), n_low, n_high, point, ci_lo, ci_hi from booted)""",
 )
 def stage2_table(spark, sf_dir):
-    """Every metric's contrast for every regime, from one pass of draws."""
-    pairs = {f"{m}__{r}": (f"{m}__additive", f"{m}__{r}") for m in _METRICS for r in _OTHERS}
-    return C.bootstrap_contrasts(_stage2(Tables(spark, sf_dir)), pairs, N_BOOT)
+    """Gaps and contrasts of all three metrics under every regime, over replicates and by bootstrap."""
+    return C.stage2(stage(panel(Tables(spark, sf_dir)), "panel"), _metric_columns(), PANEL_REGIMES, N_BOOT)
 
 
 @query(
@@ -165,12 +167,11 @@ def stage2_table(spark, sf_dir):
     "metric:s n_points:i n_negative:i n_strictly_negative:i all_negative:b all_strictly_negative:b min_point:f max_point:f",
     "select metric, count(*) as n_points, count(*) filter (point < 0) as n_negative, count(*) filter (ci_hi < 0) as n_strictly_negative,"
     " bool_and(point < 0) as all_negative, bool_and(ci_hi < 0) as all_strictly_negative, min(point) as min_point, max(point) as max_point"
-    " from (select split_part(name, '__', 1) as metric, * from (" + _STAGE2_WIDE
+    " from (select split_part(name, '__', 1) as metric, * from (" + _STAGE2_WIDE + ", "
     + _boot("", {f"{m}__{r}": f"{m}__{r}-{m}__additive" for m in _METRICS for r in _OTHERS}) + ")) group by metric",
 )
 def sweep_summary(spark, sf_dir):
-    rows = stage2_table(spark, sf_dir).withColumn("metric", F.split("name", "__")[0])
-    return C.sweep_summary(rows)
+    return C.sweep_summary(stage2_table(spark, sf_dir).where("kind = 'boot_contrast'"))
 
 
 @query(
@@ -185,20 +186,33 @@ def decision_rule(spark, sf_dir):
     return C.decision(bootstrap_contrast(spark, sf_dir))
 
 
-_SUB = _WIDE_CTE + """, cut as (select quantile_cont(followers, 0.2) as e1, quantile_cont(followers, 0.4) as e2, quantile_cont(followers, 0.6) as e3, quantile_cont(followers, 0.8) as e4
-      from seeds where id in (select cascade_id from wide_size)),
-    src as (select w.*, case when followers >= e4 then 4 when followers >= e3 then 3 when followers >= e2 then 2 when followers >= e1 then 1 else 0 end as bin
-      from wide_size w join seeds s on s.id = w.cascade_id, cut where w.label in ('low_credibility', 'high_credibility')),"""
+_CUTS = {"followers": "followers", "account_age": "age", "engagement": "observed_engagement"}
+_SUBGROUPS = {"reach_ablated": "reach__additive reach__ablated", "reach_retuned": "reach__additive reach__additive_retuned", "size_ablated": "size__additive size__ablated"}
+_SUB = _STAGE2_WIDE.replace(", src as (", ", wide_all as (") + """, feats as (select s.id, followers, observed_engagement,
+      (1718409600e0 - epoch(o_orderdate)) / 864e2 as age from seeds s join orders o on o.o_orderkey = s.id),
+    valued as (""" + " union all ".join(
+    f"select w.*, '{cut}' as cut, cast({c} as double) as v from wide_all w join feats f on f.id = w.cascade_id" for cut, c in _CUTS.items()
+) + """), edges as (select cut, """ + ", ".join(f"quantile_cont(v, 0.{2 * i}) as e{i}" for i in range(1, 5)) + """ from valued group by cut),
+    src as (select valued.*, case when v >= e4 then 4 when v >= e3 then 3 when v >= e2 then 2 when v >= e1 then 1 else 0 end as bin
+      from valued join edges using (cut)),"""
 
 
-@query("subgroup_contrasts", "bin:i " + _BOOT_SPEC, _SUB + _boot("bin", {"reflective_floor": "reflective_floor-additive"}))
+@query("subgroup_contrasts", "cut:s bin:i " + _BOOT_SPEC, _SUB + _boot("cut, bin", {n: "-".join(reversed(p.split())) for n, p in _SUBGROUPS.items()}))
 def subgroup_contrasts(spark, sf_dir):
-    """The contrast inside each follower quintile."""
+    """Three contrasts inside each quintile of followers, account age and observed engagement."""
     t = Tables(spark, sf_dir)
-    wide = C.wide_panel(panel(t), C.cascade_size(), PANEL_REGIMES)
-    feats = t.view("seeds").select(F.col("id").alias("cascade_id"), "followers")
-    binned = A.quantile_bins(stage(wide.join(feats, "cascade_id", "left"), "subgroups"), "followers")
-    return C.bootstrap_contrasts(stage(binned, "bins"), {"reflective_floor": ("additive", "reflective_floor")}, N_BOOT, keys=["bin"])
+    metrics = {m: c for m, c in _metric_columns().items() if m != "ratio"}
+    wide = C.replicate_means(panel(t).where(F.col("label").isin(K.LOW, K.HIGH)), metrics, PANEL_REGIMES)
+    age = (F.lit(1718409600.0) - F.unix_timestamp("o_orderdate")) / F.lit(86400.0)
+    dates = t.orders.select(F.col("o_orderkey").alias("cascade_id"), age.alias("age"))
+    feats = t.view("seeds").select(F.col("id").alias("cascade_id"), "followers", "observed_engagement")
+    rows = stage(wide.join(feats, "cascade_id", "left").join(dates, "cascade_id", "left"), "subgroups")
+    binned = rows
+    for cut, column in _CUTS.items():
+        binned = A.quantile_bins(binned, column, name=f"bin_{cut}")
+    cells = F.array(*[F.struct(F.lit(cut).alias("cut"), F.col(f"bin_{cut}").alias("bin")) for cut in _CUTS])
+    long = stage(binned.select("cascade_id", "label", *sorted({v for p in _SUBGROUPS.values() for v in p.split()}), F.inline(cells)), "bins")
+    return C.bootstrap_contrasts(long, {n: tuple(p.split()) for n, p in _SUBGROUPS.items()}, N_BOOT, keys=["cut", "bin"])
 
 
 _CAPS = with_ctes("activity panel", "").rstrip() + f""", wide_size as (select cascade_id, label, {_WIDE} from panel group by cascade_id, label),
@@ -246,16 +260,32 @@ def truncated_contrasts(spark, sf_dir):
     return joined.withColumn("shift", C.shift_verdict(F.col("b_lo"), F.col("b_hi"), F.col("ci_lo"), F.col("ci_hi")))
 
 
+@query(
+    "survival_list",
+    "name:s survives:s not_below:s",
+    "select name, coalesce(string_agg(case when ci_hi < 0 then quantile end, ',' order by quantile), '') as survives,"
+    " coalesce(string_agg(case when ci_hi < 0 then null else quantile end, ',' order by quantile), '') as not_below from ("
+    + _CAPS + ", src as (select * from capped where label in ('low_credibility', 'high_credibility'))," + _boot("quantile", {r: f"{r}-additive" for r in _OTHERS}) + ") group by name",
+)
+def survival_list(spark, sf_dir):
+    """Per regime, the caps at which its contrast stays below zero, and the others."""
+    from tidemark.operators.targeting import survival
+
+    capped = C.bootstrap_contrasts(_capped(Tables(spark, sf_dir)), _PAIRS, N_BOOT, keys=["quantile"])
+    lists = survival(capped)
+    return lists.select("name", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("survives", "not_below")])
+
+
 @query(
     "mean_difference_bootstrap",
     _BOOT_SPEC,
     with_ctes("wide", "").rstrip() + ", src as (select id as cascade_id, case when flagged then 'low_credibility' else 'high_credibility' end as label, fast_share, gate, s_slow from wide),"
-    + _boot("", {c: c for c in ("fast_share", "gate", "s_slow")}),
+    + _boot("", {c: c for c in ("fast_share", "gate", "s_slow")}, TARGETING_DRAWS),
 )
 def mean_difference_bootstrap(spark, sf_dir):
     """Interval of the mean difference between flagged and other rows."""
     m = mechanism_seeds(Tables(spark, sf_dir))
-    return C.bootstrap_mean_difference(m, "id", "flagged", ["fast_share", "gate", "s_slow"], N_BOOT)
+    return C.bootstrap_mean_difference(m, "id", "flagged", ["fast_share", "gate", "s_slow"], TARGETING_DRAWS)
 
 
 # ---- case-control --------------------------------------------------------
@@ -287,26 +317,60 @@ def matched_controls(spark, sf_dir):
     return _case_tables(Tables(spark, sf_dir))[2]
 
 
+_ARM_METRICS = ("pred_rr", "fast_share", "gate")
+_ARMS = {"matched": ("case_", "control"), "baseline": ("case_", "base"), "misleading": ("case_ and any_misleading", "control"), "helpful": ("case_ and any_helpful", "control")}
+
+
 @query(
     "case_control",
-    "metric:s n_a:i n_b:i mean_a:f mean_b:f u:f",
-    _MATCH + """, both_ as (select true as side, fast_share, s_slow from binned where id in (select id from cases) union all select false, fast_share, s_slow from controls),
-      l as (select side, unnest(['fast_share', 's_slow']) as metric, unnest([fast_share, s_slow]) as v from both_)
-      select metric, count(*) filter (side) as n_a, count(*) filter (not side) as n_b, avg(v) filter (side) as mean_a, avg(v) filter (not side) as mean_b,
+    "comparison:s metric:s n_a:i n_b:i mean_a:f mean_b:f u:f diff:f ci_lo:f ci_hi:f",
+    _MATCH + """, notes as (select l_orderkey as id, count(*) as n_notes, bool_or(l_returnflag = 'R') as any_misleading, bool_or(l_returnflag = 'R' and l_linenumber > 4) as any_helpful
+        from lineitem group by l_orderkey),
+      parts as (select *, id % 5 as part from pool), based as (select *, row_number() over (partition by part order by h, id) as rk from """ + _HASH.format(src="parts") + """),
+      arms as (select b.id, s_slow / (s_fast + 1e-3) as pred_rr, fast_share, gate, c.id is not null as case_, any_misleading, any_helpful, k.id is not null as control, p.id is not null as base
+        from binned b left join cases c using (id) left join notes using (id) left join (select id from controls) k using (id) left join (select id from based where rk <= 400) p using (id)),
+      members as (""" + " union all ".join(
+        f"select '{name}' as comparison, ({a}) as side, * from arms where ({a}) or {b}" for name, (a, b) in _ARMS.items()
+    ) + """), l as (select comparison, side, unnest(['pred_rr', 'fast_share', 'gate']) as metric, unnest([pred_rr, fast_share, gate]) as v from members),
+      stats as (select comparison, metric, count(*) filter (side) as n_a, count(*) filter (not side) as n_b, avg(v) filter (side) as mean_a, avg(v) filter (not side) as mean_b,
         sum(rk) filter (side) - (count(*) filter (side))::double * ((count(*) filter (side)) + 1) / 2 as u
-      from (select *, rank() over (partition by metric order by v) + (count(*) over (partition by metric, v) - 1) / 2e0 as rk from l) group by metric""",
+      from (select *, rank() over (partition by comparison, metric order by v) + (count(*) over (partition by comparison, metric, v) - 1) / 2e0 as rk from l) group by all),
+      src as (select comparison, id as cascade_id, case when side then 'low_credibility' else 'high_credibility' end as label, pred_rr, fast_share, gate from members),
+      """ + _boot("comparison", {m: m for m in _ARM_METRICS}).replace("select comparison, name, n_low, n_high, c[2] as point", "select comparison, metric, s.n_a, s.n_b, mean_a, mean_b, u, c[2] as diff")
+    .replace("join ci using (comparison, name)", "join ci using (comparison, name) join stats s on s.comparison = p.comparison and s.metric = p.name").replace("select comparison, metric, s.n_a", "select p.comparison, p.name as metric, s.n_a"),
 )
 def case_control(spark, sf_dir):
-    from tidemark.operators.compare import two_sample
-    from tidemark.operators.ranks import unpivot
+    """Three metrics in four comparisons of noted posts with matched controls and a baseline of every part.
+
+    Notes are many to a post; their flags are folded before the arms are made.
+    """
+    from tidemark.operators.compare import compare_arms, note_flags
 
-    m, cases, controls = _case_tables(Tables(spark, sf_dir))
-    cols = ["fast_share", "s_slow"]
+    t = Tables(spark, sf_dir)
+    m, cases, controls = _case_tables(t)
+    misleading = F.col("l_returnflag") == "R"
+    notes = note_flags(t.lineitem, "l_orderkey", {"any_misleading": misleading, "any_helpful": misleading & (F.col("l_linenumber") > 4)})
+    pool = m.join(cases, "id", "left_anti").withColumn("part", F.col("id") % 5)
+    base = A.baseline_sample(pool, 400, "id", "part")
     rows = (
-        m.join(cases, "id", "left_semi").select(F.lit(True).alias("side"), *cols)
-        .unionByName(controls.select(F.lit(False).alias("side"), *cols))
+        m.withColumn("pred_rr", F.col("s_slow") / (F.col("s_fast") + F.lit(1e-3)))
+        .join(cases.withColumn("case_", F.lit(True)), "id", "left").join(notes.withColumnRenamed("l_orderkey", "id"), "id", "left")
+        .join(controls.select("id", F.lit(True).alias("control")), "id", "left").join(base.select("id", F.lit(True).alias("base")), "id", "left")
     )
-    return two_sample(unpivot(rows, cols, ["side"]), "value", "side", ["metric"])
+    arms = {name: (F.expr(a), F.expr(b)) for name, (a, b) in _ARMS.items()}
+    return compare_arms(stage(rows, "armed"), "id", list(_ARM_METRICS), arms, N_BOOT)
+
+
+@query(
+    "baseline_sample",
+    "id:i part:i",
+    _MATCH + ", parts as (select *, id % 5 as part from pool) select id, part from (select *, row_number() over (partition by part order by h, id) as rk from "
+    + _HASH.format(src="parts") + ") where rk <= 400",
+)
+def baseline_sample(spark, sf_dir):
+    """Four hundred rows of every part outside the cases."""
+    m, cases, _ = _case_tables(Tables(spark, sf_dir))
+    return A.baseline_sample(m.join(cases, "id", "left_anti").withColumn("part", F.col("id") % 5), 400, "id", "part")
 
 
 # ---- samples -------------------------------------------------------------
@@ -322,6 +386,22 @@ def label_sample(spark, sf_dir):
     return A.label_sample(seeds(Tables(spark, sf_dir)), 500, "id", "label")
 
 
+@query(
+    "claim_sample",
+    "id:i label:s",
+    """with pool as (select doc_id as id, case when doc_id % 3 = 0 then 'low_credibility' else 'high_credibility' end as label from documents
+        where doc_id % 3 < 2 and length(text) >= 30),
+      ordered as (select *, row_number() over (partition by label order by h, id) as rk from """ + _HASH.format(src="pool") + """)
+      select id, label from ordered where rk <= 250""",
+)
+def claim_sample(spark, sf_dir):
+    """Up to 250 documents a class among those long enough to hold a claim."""
+    docs = Tables(spark, sf_dir).documents
+    label = F.when(F.col("doc_id") % 3 == 0, K.LOW).when(F.col("doc_id") % 3 == 1, K.HIGH)
+    rows = docs.select(F.col("doc_id").alias("id"), "text", label.alias("label"))
+    return A.claim_sample(rows, 250, "id", "text", "label").select("id", "label")
+
+
 @query("unlabelled_sample", "id:i", _sampled("label is null", "1") + " select id from ordered where rk <= 700")
 def unlabelled_sample(spark, sf_dir):
     return A.unlabelled_sample(seeds(Tables(spark, sf_dir)), 700, "id", "label")

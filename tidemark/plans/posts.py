@@ -13,7 +13,7 @@ from tidemark.operators import compare as M
 from tidemark.operators import labels as L
 from tidemark.operators import profiles as P
 from tidemark.operators import sampling as A
-from tidemark.plans.panel import seeds
+from tidemark.plans.panel import PLAN_SHARES_SQL, plan_shares, seeds
 from tidemark.plans.registry import query
 from tidemark.plans.views import HIGH_DOMAINS, LEXICON, LOW_DOMAINS, Tables, oracle_view, with_ctes
 from tidemark.session import stage
@@ -183,59 +183,67 @@ def calibration(spark, sf_dir):
     return B.calibrate(observed, seeds(t))
 
 
-_OBS = with_ctes("activity reach", "").rstrip() + """, samples as (
-    select 'root_reply_count' as metric, true as side, replyCount as v from activity where id = conversationId
-    union all select 'root_reply_count', false, floor(reach * p_reply) from reach where regime = 'additive'
-    union all select 'aggregate_engagement', true, sum(replyCount + retweetCount + quoteCount) from activity group by conversationId
-    union all select 'aggregate_engagement', false, floor(reach * p_reply) + floor(reach * p_retweet) + floor(reach * p_deep) from reach where regime = 'additive'
-    union all select 'reply_ratio', true, replyCount / (retweetCount + quoteCount + 1e0) from activity
-    union all select 'reply_ratio', false, floor(reach * p_reply) / (floor(reach * p_retweet) + floor(reach * p_deep) + 1e0) from reach where regime = 'additive'
-    union all (select 'time_to_peak', true, arg_max(h, (c, -h)) filter (h >= 0) from (
+_OBS = with_ctes("activity reach posts", "").rstrip() + f""", {PLAN_SHARES_SQL},
+  peaks as (select id, arg_max(t_hour, (share, -t_hour)) as peak from shares group by id),
+  observed as (
+    select 'root_reply_count' as metric, replyCount as v from activity where id = conversationId
+    union all select 'aggregate_engagement', sum(replyCount + retweetCount + quoteCount) from activity group by conversationId
+    union all select 'reply_ratio', replyCount / (retweetCount + quoteCount + 1e0) from activity
+    union all (select 'time_to_peak', arg_max(h, (c, -h)) filter (h >= 0) from (
         select p.conversationId, floor((p.epoch - r.epoch) / 36e2) as h, count(*) as c from activity p join activity r on r.id = p.conversationId
-        where p.id <> p.conversationId group by 1, 2) group by conversationId having sum(c) >= 2 and sum(c) filter (h >= 0) >= 2)
-    union all select 'time_to_peak', false, (id * 5) % 7 from reach where regime = 'additive')"""
+        where p.id <> p.conversationId group by 1, 2) group by conversationId having sum(c) >= 2 and sum(c) filter (h >= 0) >= 2)),
+  names as (select distinct regime from reach),
+  samples as (
+    select regime, metric, true as side, v from observed, names
+    union all select regime, 'root_reply_count', false, floor(reach * p_reply) from reach
+    union all select regime, 'aggregate_engagement', false, floor(reach * p_reply) + floor(reach * p_retweet) + floor(reach * p_deep) from reach
+    union all select regime, 'reply_ratio', false, floor(reach * p_reply) / (floor(reach * p_retweet) + floor(reach * p_deep) + 1e0) from reach
+    union all select regime, 'time_to_peak', false, peak from reach join peaks using (id))"""
 
 
 @query(
     "distribution_records",
-    "metric:s n_a:i n_b:i mean_a:f mean_b:f median_a:f median_b:f p90_a:f p90_b:f ks:f",
-    _OBS + """, r as (select metric, side, v, count(*) filter (side) over w as ca, count(*) filter (not side) over w as cb,
+    "regime:s metric:s n_a:i n_b:i mean_a:f mean_b:f median_a:f median_b:f p90_a:f p90_b:f ks:f",
+    _OBS + """, r as (select regime, metric, side, v, count(*) filter (side) over w as ca, count(*) filter (not side) over w as cb,
         count(*) filter (side) over p as na, count(*) filter (not side) over p as nb from samples
-        window w as (partition by metric order by v), p as (partition by metric))
-      select metric, max(na) as n_a, max(nb) as n_b, avg(v) filter (side) as mean_a, avg(v) filter (not side) as mean_b,
+        window w as (partition by regime, metric order by v), p as (partition by regime, metric))
+      select regime, metric, max(na) as n_a, max(nb) as n_b, avg(v) filter (side) as mean_a, avg(v) filter (not side) as mean_b,
         quantile_cont(v, 0.5) filter (side) as median_a, quantile_cont(v, 0.5) filter (not side) as median_b,
         quantile_cont(v, 0.9) filter (side) as p90_a, quantile_cont(v, 0.9) filter (not side) as p90_b, max(abs(ca / na - cb / nb)) as ks
-      from r group by metric""",
+      from r group by regime, metric""",
 )
 def distribution_records(spark, sf_dir):
-    """Observed against expected distributions of four metrics, one keyed job."""
-    from tidemark.functions.scoring import score_long
+    """Observed against expected distributions of four metrics under every regime, one keyed job.
+
+    The expected time to peak is the hour of most planned exposure.
+    """
+    from tidemark.functions.scoring import all_regimes, score_long
     from tidemark.operators.reach import with_reach
-    from tidemark.plans.panel import regimes
 
     t = Tables(spark, sf_dir)
     posts = stage(t.view("activity"), "activity")
     keep = ["id", "p_reply", "p_retweet", "p_deep"]
-    reach = stage(with_reach(score_long(seeds(t), regimes(["additive"]), keep)), "reach")
+    peaks = plan_shares(t).groupBy(F.col("cascade_id").alias("id")).agg(F.max_by("t_hour", F.struct(F.col("share"), -F.col("t_hour"))).alias("peak"))
+    reach = stage(with_reach(score_long(seeds(t), all_regimes(), keep)).join(peaks, "id"), "reach")
     reply, repost, quote = (F.floor(F.col("reach") * F.col(f"p_{h}")) for h in ("reply", "retweet", "deep"))
+    names = F.explode(F.array(*[F.lit(r.name) for r in all_regimes()])).alias("regime")
 
-    def sample(df, metric, side, value):
-        return df.select(F.lit(metric).alias("metric"), F.lit(side).alias("side"), value.cast("double").alias("v"))
+    def observed(df, metric, value):
+        return df.select(names, F.lit(metric).alias("metric"), F.lit(True).alias("side"), value.cast("double").alias("v"))
 
+    expected = {"root_reply_count": reply, "aggregate_engagement": reply + repost + quote,
+                "reply_ratio": safe_ratio(reply, repost + quote), "time_to_peak": F.col("peak")}
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(False).alias("side"), v.cast("double").alias("v")) for m, v in expected.items()])
     parts = [
-        sample(C.root_reply_counts(posts), "root_reply_count", True, F.col("reply_count")),
-        sample(reach, "root_reply_count", False, reply),
-        sample(C.aggregate_engagement(posts), "aggregate_engagement", True, F.col("engagement")),
-        sample(reach, "aggregate_engagement", False, reply + repost + quote),
-        sample(posts, "reply_ratio", True, C.reply_ratio()),
-        sample(reach, "reply_ratio", False, safe_ratio(reply, repost + quote)),
-        sample(C.observed_time_to_peak(posts), "time_to_peak", True, F.col("peak_hour")),
-        sample(reach, "time_to_peak", False, F.col("id") * 5 % 7),
+        observed(C.root_reply_counts(posts), "root_reply_count", F.col("reply_count")),
+        observed(C.aggregate_engagement(posts), "aggregate_engagement", F.col("engagement")),
+        observed(posts, "reply_ratio", C.reply_ratio()),
+        observed(C.observed_time_to_peak(posts), "time_to_peak", F.col("peak_hour")),
     ]
-    rows = parts[0]
-    for part in parts[1:]:
+    rows = reach.select("regime", F.inline(cells))
+    for part in parts:
         rows = rows.unionByName(part)
-    return M.two_sample(stage(rows, "samples"), "v", "side", ["metric"])
+    return M.two_sample(stage(rows, "samples"), "v", "side", ["regime", "metric"])
 
 
 # ---- reply trees ---------------------------------------------------------
@@ -352,6 +360,33 @@ def registered_domains(spark, sf_dir):
     return counts.join(domains, "host").groupBy("domain").agg(F.sum("n").alias("n_links"))
 
 
+_RULED = {
+    0: ("http://", ".a.example.co.uk/x"), 1: ("https://u@", ".b.c.kawasaki.jp:80"), 2: ("", ".city.kawasaki.jp"), 3: ("//", ".blog.unlisted"),
+    4: ("http://", ".kawasaki.jp"), 5: ("http://10.0.0.", "/"), 6: ("ftp://", ".www.ck/y?z=.com"), 7: ("", ".shop.ck"),
+}
+
+
+@query(
+    "suffix_rules",
+    "host:s domain:s n:i",
+    """with made as (select page_id, page_id % 8 as k, 's' || page_id % 13 as s from pages),
+      hosts as (select case k when 0 then s || '.a.example.co.uk' when 1 then s || '.b.c.kawasaki.jp' when 2 then s || '.city.kawasaki.jp' when 3 then s || '.blog.unlisted'
+        when 4 then s || '.kawasaki.jp' when 5 then '10.0.0.' || page_id % 13 when 6 then s || '.www.ck' else s || '.shop.ck' end as host,
+      case k when 0 then 'example.co.uk' when 1 then 'b.c.kawasaki.jp' when 2 then 'city.kawasaki.jp' when 3 then 'blog.unlisted'
+        when 6 then 'www.ck' when 7 then s || '.shop.ck' end as domain from made)
+      select host, domain, count(*) as n from hosts group by all""",
+)
+def suffix_rules(spark, sf_dir):
+    """Hosts under two-part, wildcard, exception and unlisted suffixes, an address and a bare suffix, made of the pages' ids."""
+    k = F.col("page_id") % 8
+    name = F.when(k == 5, (F.col("page_id") % 13).cast("string")).otherwise(F.concat(F.lit("s"), (F.col("page_id") % 13).cast("string")))
+    before = F.element_at(F.array(*[F.lit(_RULED[i][0]) for i in range(8)]), (k + 1).cast("int"))
+    after = F.element_at(F.array(*[F.lit(_RULED[i][1]) for i in range(8)]), (k + 1).cast("int"))
+    hosts = Tables(spark, sf_dir).pages.select(L.host_of(F.concat(before, name, after)).alias("host"))
+    counts = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(L.registered_domains(counts, lists.public_suffixes(spark)), "host", "left")
+
+
 @query(
     "list_overlap",
     "domain:s n_links:i",

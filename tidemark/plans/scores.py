@@ -14,7 +14,8 @@ from tidemark.operators import targeting as T
 from tidemark.operators import weightgrid as W
 from tidemark.plans.panel import mechanism_seeds, regimes, seeds
 from tidemark.plans.registry import query
-from tidemark.plans.views import Tables, with_ctes
+from tidemark.plans.views import N_BOOT, Tables, poisson_draws_sql, with_ctes
+from tidemark.session import stage
 
 _NAMES = [r.name for r in S.all_regimes()]
 _SCORE_COLS = " ".join(f"score_{n}:f" for n in _NAMES)
@@ -372,11 +373,52 @@ def closing_region(spark, sf_dir):
     "v:i rho:f",
     _GRID + """ select v, corr(r, rank_pub) as rho from (
       select v, rank_pub, rank() over (partition by v order by s) + (count(*) over (partition by v, s) - 1) / 2e0 as r
-      from scored where v < 5) group by v""",
+      from scored) group by v""",
 )
 def weight_rank_agreement(spark, sf_dir):
-    """Rank agreement of the named vectors with the published one, over all seeds."""
-    return W.rank_agreement(seeds(Tables(spark, sf_dir)), list(W.named_weights().values()))
+    """Rank agreement of the named and all grid vectors with the published one, over all seeds."""
+    return W.rank_agreement(seeds(Tables(spark, sf_dir)), _all_vectors())
+
+
+def _point_vectors() -> dict[str, dict[str, float]]:
+    return {**{n: w for n, w in W.named_weights().items() if n != "published"}, "published_2026": W.PUBLISHED_2026}
+
+
+def _points_sql() -> str:
+    each = {"published": W.named_weights()["published"], **_point_vectors()}
+    low, high = "filter (label = 'low_credibility')", "filter (label = 'high_credibility')"
+    n = len(each)
+
+    def gaps(w: str) -> str:
+        return ", ".join(f"sum({w} * r{i}) {low} / sum({w}) {low} - sum({w} * r{i}) {high} / sum({w}) {high} as g{i}" for i in range(n))
+
+    score = [" + ".join(f"p_{h} * {w[h]!r}" for h in ("reply", "retweet", "like", "deep")) for w in each.values()]
+    cells = ", ".join(f"('{name}', g{i} - g0, g{i})" for i, name in enumerate(each) if i)
+    shares = ", ".join(f"('{name}', {W.describe_weights(w)['fast_share']!r})" for name, w in each.items())
+    rhos = " union all ".join(
+        f"select '{name}' as name, corr(r, rank_pub) as rho from (select rank_pub, rank() over (order by s{i}) + (count(*) over (partition by s{i}) - 1) / 2e0 as r from"
+        f" (select s{i}, rank() over (order by s0) + (count(*) over (partition by s0) - 1) / 2e0 as rank_pub from scored))" for i, name in enumerate(each) if i)
+    return with_ctes("gaps", "").rstrip() + f""", scored as (select id, label, {", ".join(f"{x} as s{i}" for i, x in enumerate(score))} from seeds),
+    medians as (select {", ".join(f"quantile_cont(s{i}, 0.5) as m{i}" for i in range(n))} from scored),
+    src as (select id as cascade_id, label, {", ".join(f"least(greatest(200e0 * (s{i} / m{i}), 0e0), 50000e0) as r{i}" for i in range(n))}
+      from scored, medians where label in ('low_credibility', 'high_credibility')),
+    points as (select unnest([{cells}]) as c from (select {gaps("1e0")} from src)),
+    cells as (select unnest([{cells}]) as c from (select replicate, {gaps("w")} from ({poisson_draws_sql("src", N_BOOT)}) group by replicate)),
+    ci as (select c[1] as name, quantile_cont(c[2], 0.025) as ci_lo, quantile_cont(c[2], 0.975) as ci_hi from cells group by 1),
+    anchor as (select max(gap) filter (regime = 'additive') as a, max(gap) filter (regime = 'reflective_floor') as f from gaps),
+    shares(name, fast_share) as (values {shares}), rhos as ({rhos})
+    select p.c[1] as name, fast_share, p.c[3] as gap, p.c[2] as closure, p.c[2] / (f - a) as closure_of_floor, rho, ci_lo, ci_hi
+    from points p join ci on ci.name = p.c[1] join shares on shares.name = p.c[1] join rhos on rhos.name = p.c[1], anchor"""
+
+
+@query("weight_points", "name:s fast_share:f gap:f closure:f closure_of_floor:f rho:f ci_lo:f ci_hi:f", _points_sql())
+def weight_points(spark, sf_dir):
+    """Gap, closure with its interval and rank agreement of named vectors and of one published later."""
+    base, each = seeds(Tables(spark, sf_dir)), _point_vectors()
+    vectors = list(each.values())
+    names = F.element_at(F.array(*[F.lit(n) for n in each]), F.col("v") + 1)
+    table = W.closure_table(base, vectors).join(W.rank_agreement(base, vectors), "v").withColumn("name", names)
+    return table.join(W.closure_intervals(base, each, N_BOOT).drop("point"), "name")
 
 
 _SUBSTANCE = with_ctes("activity", "").rstrip() + """, feats as (
@@ -414,44 +456,70 @@ def floor_x_substance(spark, sf_dir):
     return joined.select("id", S.Regime("both", "floor_x_substance").score().alias("score"))
 
 
-@query(
-    "hyperparameter_sweep",
-    "form:s regime:s point:f",
-    with_ctes("sums", "").rstrip() + """, grid(form, regime, alpha, floor, scale) as (
-      select 'F1', 'ablated:' || a, a::double, null::double, null::double from (values (0.25), (0.5), (1.0), (2.0), (4.0)) t(a)
-      union all select 'F2', 'ratio:' || a, a::double, null, null from (values (0.25), (0.5), (1.0), (2.0), (4.0)) t(a)
-      union all select 'F3', 'floor:' || f || ':' || s, null, f::double, s::double
-        from (values (0.5), (1.0), (1.5), (2.0)) t(f), (values (0.25), (0.5), (1.0)) u(s)
-      union all select 'base', 'additive', null, null, null
-    ), scored as (select form, regime, label, case form
-        when 'F1' then s_slow * (1e0 + alpha * s_fast)
-        when 'F2' then score_additive / (1e0 + alpha * (s_fast / (s_slow + 1e-6)))
-        when 'F3' then score_additive * (1e0 / (1e0 + exp(-((s_slow - floor) / scale))))
-        else score_additive end as score from sums, grid
-    ), g as (select form, regime, avg(r) filter (label = 'low_credibility') - avg(r) filter (label = 'high_credibility') as gap from (
-        select form, regime, label, least(greatest(200e0 * (score / ref), 0e0), 50000e0) as r
-        from scored join (select regime, quantile_cont(score, 0.5) as ref from scored group by regime) using (regime)) group by form, regime)
-    select form, g.regime, g.gap - b.gap as point from g, (select gap from g where form = 'base') b where form <> 'base'""",
-)
+_ALPHAS = {"F1": (0.25, 0.5, 1.0, 2.0, 4.0, 8.0), "F2": (0.25, 0.5, 1.0, 2.0, 4.0)}
+_FLOORS = tuple((f, s) for f in (0.5, 1.0, 1.5, 2.0) for s in (0.25, 0.5, 1.0))
+
+
+def _sweep_grid() -> list[tuple[str, S.Regime]]:
+    grid = [("F1", S.Regime(f"ablated:{a:.2f}", "ablated", alpha=a)) for a in _ALPHAS["F1"]]
+    grid += [("F2", S.Regime(f"ratio:{a:.2f}", "ratio_correction", alpha=a)) for a in _ALPHAS["F2"]]
+    return grid + [("F3", S.Regime(f"floor:{f:.1f}:{w:.2f}", "reflective_floor", floor=f, floor_scale=w)) for f, w in _FLOORS]
+
+
+def _sweep_sql() -> str:
+    """Scores, medians and both metrics in wide form; one weight per (row, draw) serves all of them."""
+    score = {"additive": "score_additive"}
+    for form, r in _sweep_grid():
+        score[r.name] = {
+            "F1": f"s_slow * (1e0 + {r.alpha!r} * s_fast)",
+            "F2": f"score_additive / (1e0 + {r.alpha!r} * (s_fast / (s_slow + 1e-6)))",
+            "F3": f"score_additive * (1e0 / (1e0 + exp(-((s_slow - {r.floor!r}) / {r.floor_scale!r}))))",
+        }[form]
+    names = list(score)
+    reach = [f"least(greatest(200e0 * (s{i} / m{i}), 0e0), 50000e0)" for i in range(len(names))]
+    cells = [(i, m) for i in range(len(names)) for m in ("reach", "size")]
+    low, high = "filter (label = 'low_credibility')", "filter (label = 'high_credibility')"
+
+    def gaps(w: str) -> str:
+        return ", ".join(f"sum({w} * {m}{i}) {low} / sum({w}) {low} - sum({w} * {m}{i}) {high} / sum({w}) {high} as g_{m}{i}" for i, m in cells)
+
+    form = {r.name: f for f, r in _sweep_grid()}
+    rows = ", ".join(f"('{form[n]}', '{n}', '{m}', g_{m}{i} - g_{m}0)" for i, n in enumerate(names) if i for m in ("reach", "size"))
+    return with_ctes("sums", "").rstrip() + f""", scored as (select id, label, p_reply + p_retweet + p_deep as p, {", ".join(f"{score[n]} as s{i}" for i, n in enumerate(names))} from sums),
+    medians as (select {", ".join(f"quantile_cont(s{i}, 0.5) as m{i}" for i in range(len(names)))} from scored),
+    src as (select id as cascade_id, label, {", ".join(f"{x} as reach{i}, {x} * p as size{i}" for i, x in enumerate(reach))}
+      from scored, medians where label in ('low_credibility', 'high_credibility')),
+    point as (select {gaps("1e0")} from src),
+    draws as (select replicate, {gaps("w")} from ({poisson_draws_sql("src", N_BOOT)}) group by replicate),
+    points as (select unnest([{rows}]) as c from point),
+    cells as (select unnest([{rows}]) as c from draws)
+    select p.c[1] as form, p.c[2] as regime, p.c[3] as metric, p.c[4] as point, d.lo as ci_lo, d.hi as ci_hi,
+      case when d.hi < 0 then 'neg' when d.lo > 0 then 'pos' else 'overlaps_0' end as sign
+    from points p join (select c[2] as regime, c[3] as metric, quantile_cont(c[4], 0.025) as lo, quantile_cont(c[4], 0.975) as hi
+      from cells group by 1, 2) d on d.regime = p.c[2] and d.metric = p.c[3]"""
+
+
+@query("hyperparameter_sweep", "form:s regime:s metric:s point:f ci_lo:f ci_hi:f sign:s", _sweep_sql())
 def hyperparameter_sweep(spark, sf_dir):
-    """Reach contrast of three forms over their parameter grids, in one job."""
-    alphas, floors, scales = (0.25, 0.5, 1.0, 2.0, 4.0), (0.5, 1.0, 1.5, 2.0), (0.25, 0.5, 1.0)
-    grid = [S.Regime(f"ablated:{a:.2f}", "ablated", alpha=a) for a in alphas]
-    grid += [S.Regime(f"ratio:{a:.2f}", "ratio_correction", alpha=a) for a in alphas]
-    grid += [
-        S.Regime(f"floor:{f:.1f}:{s:.2f}", "reflective_floor", floor=f, floor_scale=s)
-        for f in floors
-        for s in scales
-    ]
-    t = Tables(spark, sf_dir)
-    reach = R.with_reach(S.score_long(seeds(t), [S.Regime("additive", "additive"), *grid], ["label"]))
-    form = (
-        F.when(F.col("regime").startswith("ablated"), "F1")
-        .when(F.col("regime").startswith("ratio"), "F2").otherwise("F3")
-    )
-    return R.gap_contrasts(reach).where(F.col("regime") != "additive").select(
-        form.alias("form"), "regime", F.col("contrast").alias("point")
-    )
+    """Reach and size contrast of three forms over their parameter grids, with paired bootstrap intervals.
+
+    All grid points are columns, so a batch of rows meets one matrix of weights.
+    """
+    grid = _sweep_grid()
+    base = seeds(Tables(spark, sf_dir))
+    regimes = [S.Regime("additive", "additive"), *[r for _, r in grid]]
+    # A number a grid point: parameters of the wide expressions.
+    median = {r["regime"]: r["reference"] for r in R.score_reference(S.score_long(base, regimes, ["label"])).collect()}
+    size = F.col("p_reply") + F.col("p_retweet") + F.col("p_deep")
+    reach = {r.name: R.exposure(r.score(), F.lit(median[r.name])) for r in regimes}
+    wide = base.select(
+        F.col("id").alias("cascade_id"), "label",
+        *[x.alias(f"reach{i}") for i, x in enumerate(reach.values())], *[(x * size).alias(f"size{i}") for i, x in enumerate(reach.values())])
+    pairs = {f"{m}|{r.name}": (f"{m}0", f"{m}{i}") for m in ("reach", "size") for i, r in enumerate(regimes) if i}
+    found = C.bootstrap_contrasts(stage(wide, "sweep"), pairs, N_BOOT).withColumn("sign", C.interval_sign())
+    form = F.create_map(*[F.lit(x) for f, r in grid for x in (r.name, f)])
+    regime = F.substring_index("name", "|", -1)
+    return found.select(form[regime].alias("form"), regime.alias("regime"), F.substring_index("name", "|", 1).alias("metric"), "point", "ci_lo", "ci_hi", "sign")
 
 
 @query(

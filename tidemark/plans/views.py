@@ -7,6 +7,8 @@ key joins, so they scale with the tables they read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import constants as K
@@ -240,4 +242,20 @@ def average_rank_sql(value: str, partition: str = "") -> str:
     return f"(rank() over ({p} order by {value}) + (count(*) over ({p + ' ,' if p else 'partition by'} {value}) - 1) / 2e0)"
 
 
+#: Draws of every bootstrap query.
+N_BOOT = 1000
+_STEPS = [math.fsum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
+
+
+def poisson_draws_sql(src: str, n: int = N_BOOT) -> str:
+    """Rows of ``src`` times n replicates with their Poisson weight ``w``: integer arithmetic on cascade_id and replicate."""
+    cases = " ".join(f"when u < {x!r} then {k}" for k, x in enumerate(_STEPS))
+    return f"""select * exclude (a, b, u), case {cases} else 13 end as w from (
+      select * exclude h, xor(h, h >> 16) / 2147483647e0 as u from (
+      select * exclude h, (xor(h, h >> 13) * 1103515245 + 12345) % 2147483647 as h from (
+      select * exclude h, (xor(h, h >> 15) * 69621 + b) % 2147483647 as h from (
+      select *, (a * 48271 + b) % 2147483647 as h from (
+      select *, (cascade_id % 2147483647) as a, (replicate * 1103515245 + {K.SEED}) % 2147483647 as b from {src}, range({n}) as r(replicate))))))"""
+
+
 LOW, HIGH = K.LOW, K.HIGH

@@ -32,9 +32,26 @@ def emotion_words(spark: SparkSession, path: str, emotions: Iterable[str] = K.EM
     return kept.select(F.lower("word").alias("word")).distinct()
 
 
+def rules_of(lines: DataFrame) -> DataFrame:
+    """``(suffix, kind)`` of the ``value`` lines of a public-suffix list.
+
+    A line's rule is its text up to white space; empty lines and ``//`` comments have none.
+    ``*.x`` is the wildcard rule of x, ``!x`` the exception x; everything else is plain.
+    """
+    rule = F.lower(F.split(F.trim("value"), r"\s")[0])
+    kind = F.when(rule.startswith("!"), "exception").when(rule.startswith("*."), "wildcard").otherwise("plain")
+    rules = lines.where((rule != "") & ~rule.startswith("//"))
+    return rules.select(F.regexp_replace(rule, r"^(!|\*\.)", "").alias("suffix"), kind.alias("kind")).where("suffix <> ''").distinct()
+
+
+def suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of a public-suffix list file."""
+    return rules_of(spark.read.text(path))
+
+
 def public_suffixes(spark: SparkSession, suffixes: Iterable[str] = K.PUBLIC_SUFFIXES) -> DataFrame:
-    """Suffix rows; pass the full public list when it is at hand."""
-    return spark.createDataFrame([(s.lower(),) for s in suffixes], "suffix string").distinct()
+    """Rule rows; pass the full public list when it is at hand."""
+    return rules_of(spark.createDataFrame([(s,) for s in suffixes], "value string"))
 
 
 def domain_frame(spark: SparkSession, domains: Iterable[str]) -> DataFrame:
