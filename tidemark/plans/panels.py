@@ -327,7 +327,7 @@ _ARMS = {"matched": ("case_", "control"), "baseline": ("case_", "base"), "mislea
     _MATCH + """, notes as (select l_orderkey as id, count(*) as n_notes, bool_or(l_returnflag = 'R') as any_misleading, bool_or(l_returnflag = 'R' and l_linenumber > 4) as any_helpful
         from lineitem group by l_orderkey),
       parts as (select *, id % 5 as part from pool), based as (select *, row_number() over (partition by part order by h, id) as rk from """ + _HASH.format(src="parts") + """),
-      arms as (select b.id, s_slow / (s_fast + 1e-3) as pred_rr, fast_share, gate, c.id is not null as case_, any_misleading, any_helpful, k.id is not null as control, p.id is not null as base
+      arms as (select b.id, round(s_slow / (s_fast + 1e-3) + 3e-13, 9) as pred_rr, round(fast_share + 3e-13, 9) as fast_share, round(gate + 3e-13, 9) as gate, c.id is not null as case_, any_misleading, any_helpful, k.id is not null as control, p.id is not null as base
         from binned b left join cases c using (id) left join notes using (id) left join (select id from controls) k using (id) left join (select id from based where rk <= 400) p using (id)),
       members as (""" + " union all ".join(
         f"select '{name}' as comparison, ({a}) as side, * from arms where ({a}) or {b}" for name, (a, b) in _ARMS.items()
@@ -357,6 +357,8 @@ def case_control(spark, sf_dir):
         .join(cases.withColumn("case_", F.lit(True)), "id", "left").join(notes.withColumnRenamed("l_orderkey", "id"), "id", "left")
         .join(controls.select("id", F.lit(True).alias("control")), "id", "left").join(base.select("id", F.lit(True).alias("base")), "id", "left")
     )
+    # A fixed number of decimals: engines' last bits would order equal gates apart.
+    rows = rows.withColumns({c: F.round(F.col(c) + F.lit(3e-13), 9) for c in _ARM_METRICS})
     arms = {name: (F.expr(a), F.expr(b)) for name, (a, b) in _ARMS.items()}
     return compare_arms(stage(rows, "armed"), "id", list(_ARM_METRICS), arms, N_BOOT)
 
