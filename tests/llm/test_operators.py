@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -341,6 +342,39 @@ def test_html_blocks_and_extraction(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+ARTICLE = "<p>" + "The council met on Monday and agreed a plan for the river bank that had been argued over for years. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("inside", [
+    f"<article><h1>Title here</h1>{ARTICLE}</article><section class='comments'><p>XX I disagree.</p></section>",
+    f"<article>{ARTICLE}</article><div class='reviews'><p>XX Great product, five stars.</p></div>",
+    f"<article>{ARTICLE}</article><ul id='responses'><li>XX I think so too.</li></ul>",
+    f"<div class='gdpr'><p>XX We use cookies.</p></div><article>{ARTICLE}</article>",
+    f"<article>{ARTICLE}</article><div class='outbrain'><p>XX You will not believe this.</p></div>",
+    f"<div><a href=1>XX Home</a> <a href=2>XX News</a></div><article>{ARTICLE}</article>",
+    f"<article>{ARTICLE}<button>XX Share this</button>{ARTICLE}</article>",
+    f"<article>{ARTICLE}</article><form><label>XX Email</label><input></form>",
+])
+def test_blocks_named_as_something_else_go(inside):
+    page = htmltext.blocks(f"<html><body><nav><a href=1>XX Start</a></nav>{inside}<footer>XX foot</footer></body></html>")
+    kept = htmltext.checked(page, np.ones(len(page), bool))
+    assert [k for k in kept] == ["XX" not in b.text for b in page]
+    whole = htmltext.blocks(f"<form id=page>{ARTICLE}</form>")
+    assert htmltext.checked(whole, np.ones(1, bool)).all()
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<script " * 120_000, "<! " * 300_000, "<a '\"" * 200_000, "<div>a" * 60_000,
+                                  "<div>" * 60_000 + "</x>" * 60_000 + "</div>" * 60_000])
+def test_malformed_pages_are_read_once(page):
+    start = time.perf_counter()
+    htmltext.blocks(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_every_white_space_is_one_space():
+    assert [b.text for b in htmltext.blocks("<p>a\u2003b\u3000 c\xa0\x85d</p>")] == ["a b c d"]
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(2)
     net = htmltext.Labeller()
@@ -370,5 +404,5 @@ def test_pipeline_on_the_smallest_tables(spark):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(packed.columns) and packed.count() > 0
 
 
-def test_eleven_queries_are_registered():
-    assert len(QUERIES) == 10 and all(re.match(rf"op{i + 1}_", n) for i, n in enumerate(sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))))
+def test_every_operator_has_its_query():
+    assert len(QUERIES) == 13 and all(re.match(rf"op{i + 1}_", n) for i, n in enumerate(sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))))

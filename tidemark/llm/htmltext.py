@@ -8,7 +8,8 @@ sequence of blocks, and every block is kept or dropped in that context.
 There are no labelled pages, so the network is fitted on a sample of at most about
 ``fit_pages`` pages whose blocks are labelled by what their paths say (see ``path_label``),
 with blocks of further kinds (comments, forms, notices, sidebars) mixed in and the
-container of the article renamed, so that no single tag decides.
+container of the article renamed, so that no single tag decides. What the network keeps is
+checked once more against the path's own words (see ``checked``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +35,32 @@ FIT_PAGES, EPOCHS, BATCH = 300, 8, 16
 RAW = "script|style|noscript|template|textarea|iframe|svg|canvas|object|select|math"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup "
-    "time tt u var wbr del img input button".split())
+    "time tt u var wbr del img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A paragraph ends where another block begins.
 ENDS_PARAGRAPH = frozenset("article section div ul ol table form nav aside header footer main h1 h2 h3 h4 h5 h6 blockquote pre figure p hr dl".split())
 
+# A tag ends before the next ``<`` or is no tag, so a page of open brackets is read once.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])((?:[^=>]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])((?:[^=<>]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>|<(/?)([a-z][a-z0-9:-]*+)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>|<[!?][^<>]*+>",
     re.S | re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in RAW.split("|")}
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _LAST_VALUE = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
+_SPACE = re.compile(r"\s+")
+#: Steps of a path: the outer and the inner ones of a deeper nesting.
+OUTER, INNER = 16, 48
 _PART = re.compile(r"[a-z]+")
+_SENTENCE = re.compile(r"(?<=[.!?]) ")
 
 BOILER_TAGS = frozenset("head title nav footer aside form button dialog menu fieldset".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo menu nav navbar navigation sidebar side footer header masthead comment comments "
     "disqus reply replies cookie cookies consent notice notices alert popup modal newsletter subscribe signup share social related breadcrumb breadcrumbs "
-    "widget toolbar pagination pager search login form tags".split())
+    "widget toolbar pagination pager search login form tags review reviews response responses respond discussion thread feedback gdpr privacy tracking "
+    "copyright legal imprint outbrain taboola teaser recommended recommendations trending popular paywall cta".split())
 
 
 class Block:
@@ -92,12 +99,14 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     text: list[str] = []
     linked = links = at = 0
+    opened: Counter[str] = Counter()
 
     def end() -> None:
         nonlocal linked
         joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            out.append(Block(tuple(step for _, step in stack), joined, linked))
+            steps = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+            out.append(Block(tuple(step for _, step in steps), joined, linked))
         text.clear()
         linked = 0
 
@@ -123,14 +132,16 @@ def blocks(page: str) -> list[Block]:
         elif tag not in INLINE:
             end()
             if m[3]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        links = 0
+                while opened[tag]:
+                    top = stack.pop()[0]
+                    opened[top] -= 1
+                    links = 0
+                    if top == tag:
                         break
             elif tag not in VOID:
                 while stack and (stack[-1][0] in CLOSES_ITSELF.get(tag, ()) or stack[-1][0] == "p" and tag in ENDS_PARAGRAPH):
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
+                opened[tag] += 1
                 stack.append((tag, _words_of_tag(tag, m[5]) if m[5] else tag))
                 links = 0
     say(page[at:])
@@ -149,6 +160,15 @@ def path_label(block: Block) -> bool:
     return block.linked * 3 < len(block.text) * 2
 
 
+def checked(page: list[Block], keep: np.ndarray) -> np.ndarray:
+    """What the network keeps, less the blocks that their paths name as something else (comments, notices, menus).
+
+    Where that would leave nothing, the whole page stands in such an element, which then says nothing.
+    """
+    named = np.array([not path_label(b) for b in page], bool)
+    return keep & ~named if (keep & ~named).any() else keep
+
+
 def features(pages: list[list[Block]]) -> list[np.ndarray]:
     """A matrix for each page, a row for each block."""
     every = [b for page in pages for b in page]
@@ -202,7 +222,8 @@ class Labeller:
     def __init__(self, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         d = PATH_DIM + WORD_DIM + MEASURES
-        self.weights = {"out": rng.standard_normal(2 * HIDDEN).astype(np.float32) * 0.3, "bias": np.zeros(1, np.float32)}
+        # A block's own vector also reaches the output directly: its words need not pass the states.
+        self.weights = {"out": rng.standard_normal(2 * HIDDEN).astype(np.float32) * 0.3, "bias": np.zeros(1, np.float32), "own": np.zeros(d, np.float32)}
         for side in ("ahead", "back"):
             self.weights[f"{side} in"] = (rng.standard_normal((d, 4 * HIDDEN)) / np.sqrt(d) * 2).astype(np.float32)
             self.weights[f"{side} state"] = (rng.standard_normal((HIDDEN, 4 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32)
@@ -228,13 +249,14 @@ class Labeller:
 
     def logits(self, x, mask):
         both = np.concatenate([self._read(s, x, mask, False)[0] for s in ("ahead", "back")], axis=2)
-        return both @ self.weights["out"] + self.weights["bias"]
+        return both @ self.weights["out"] + x @ self.weights["own"] + self.weights["bias"]
 
     def gradients(self, x, mask, y):
         w, out = self.weights, {}
         read = {s: self._read(s, x, mask, True) for s in ("ahead", "back")}
         both = np.concatenate([read["ahead"][0], read["back"][0]], axis=2)
-        error = (_sigmoid(both @ w["out"] + w["bias"]) - y) * mask / mask.sum()
+        error = (_sigmoid(both @ w["out"] + x @ w["own"] + w["bias"]) - y) * mask / mask.sum()
+        out["own"] = np.einsum("bt,btd->d", error, x)
         out["out"], out["bias"] = np.einsum("bt,bth->h", error, both), error.sum(keepdims=True).ravel()
         for k, side in enumerate(("ahead", "back")):
             to_states = error[:, :, None] * w["out"][k * HIDDEN : (k + 1) * HIDDEN]
@@ -307,15 +329,33 @@ def _varied(page: list[Block], texts: list[str], rng: np.random.Generator) -> tu
             at, below = b.path.index("article"), b.path[b.path.index("article") + 1 :]
             below = INSIDE[rng.integers(len(INSIDE))] if rng.random() < 0.2 else below
             kept[i] = (Block(b.path[:at] + container + tuple(below), b.text, b.linked), True)
+    # Neither language, length nor repetition may decide: boilerplate says what the page could, and articles are cut and quote others.
+    spoken = [b.text for b, label in kept if label] or texts
+
+    def piece(source: list[str]) -> str:
+        text = source[rng.integers(len(source))]
+        if rng.random() < 0.4:
+            return text
+        sentences = _SENTENCE.split(text)
+        first = int(rng.integers(len(sentences)))
+        return " ".join(sentences[first : first + int(rng.integers(1, 4))])
+
+    for i, (b, label) in enumerate(kept):
+        if label and rng.random() < 0.4:
+            kept[i] = (Block(b.path, piece(texts if rng.random() < 0.3 else spoken), 0), True)
     for _ in range(rng.integers(0, 9)):
         path = _boiler_path(rng)
-        inside = rng.random() < 0.4 and not path[0].startswith("header")
-        text = texts[rng.integers(len(texts))]
-        text = text if rng.random() < 0.5 else text[: int(rng.integers(4, 80))].strip() or "more"
+        # A menu may be told by its links alone.
+        bare = rng.random() < 0.2
+        path = (("div",), ("ul", "li"), ("div", "div"))[rng.integers(3)] if bare else path
+        inside = not bare and rng.random() < 0.4 and not path[0].startswith("header")
         mains = [i for i, (_, label) in enumerate(kept) if label]
         at = int(rng.integers(mains[0], mains[-1] + 2)) if inside and mains else (0 if rng.random() < 0.4 else len(kept))
         for _ in range(int(rng.integers(1, 5))):
-            kept.insert(at, (Block((*root, *(container if inside else ()), *path), text, len(text) if "li" in path and rng.random() < 0.7 else 0), False))
+            text = piece(spoken if rng.random() < 0.7 else texts)
+            text = text if rng.random() < 0.7 else text[: int(rng.integers(4, 80))].strip() or "more"
+            linked = len(text) if bare or "li" in path and rng.random() < 0.7 else 0
+            kept.insert(at, (Block((*root, *(container if inside else ()), *path), text, linked), False))
     return [b for b, _ in kept], [label for _, label in kept]
 
 
@@ -354,7 +394,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", f
             for lo, hi in slices(parts(column)[1]):
                 cut = [blocks(p or "") for p in column.slice(lo, hi - lo).to_pylist()]
                 kept = labeller.keep(features(cut))
-                texts = [" ".join(b.text for b, k in zip(p, keep) if k) for p, keep in zip(cut, kept)]
+                texts = [" ".join(b.text for b, k in zip(p, keep) if k) for p, keep in zip(cut, map(checked, cut, kept))]
                 own = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in carried]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string())], [*carried, "text"])
 
