@@ -65,11 +65,17 @@ def test_quantiles_of_nothing(spark):
     assert R.exact_quantiles(df, "x", {"m": 0.5}).first()["m"] is None
 
 
-def test_range_lookup_counts_cut_points(spark):
-    splits = [float(i) for i in range(0, 400, 2)]
-    df = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 1.0, 63.0, 64.0, 397.0, 500.0)], "x double")
-    got = [r[0] for r in df.select(R.range_of(df["x"], splits)).collect()]
-    assert got == [sum(s <= v for s in splits) for v in (-1.0, 0.0, 1.0, 63.0, 64.0, 397.0, 500.0)]
+def test_ranges_give_the_same_counts_at_any_partition_count(data, monkeypatch):
+    """Ranges come from a range exchange now; cut points are no longer looked up."""
+    pdf, df = data
+    found = []
+    for size, parts in ((7, 1), (60, 9), (10**9, 3)):
+        monkeypatch.setattr(R, "ROWS_PER_RANGE", size)
+        found.append(R.ordered_counts(df.repartition(parts), "x").toPandas().sort_values("x").to_numpy())
+    assert all(np.array_equal(found[0], other) for other in found[1:])
+    x = pdf["x"].dropna()
+    assert found[0][:, 2].tolist() == [float((x <= v).sum()) for v in found[0][:, 0]]
+
 
 
 def test_first_by_uses_the_given_order(spark):
