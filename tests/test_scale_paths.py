@@ -151,10 +151,10 @@ def test_public_suffix_rules(spark):
     }
     none = ["com", "co.uk", "c.kawasaki.jp", "localhost", "10.0.0.1", "not a host.com", ".com", ""]
     hosts = spark.createDataFrame([(h,) for h in [*want, *none]], "host string")
-    got = {r["host"]: r["domain"] for r in L.registered_domains(hosts, rules).collect()}
+    got = {r["host"]: r["domain"] for r in L.registered_domains(hosts, rules, unlisted=True).collect()}
     # c.kawasaki.jp is itself a suffix by the wildcard rule.
     assert got == want
-    listed = L.registered_domains(hosts, rules, unlisted=False)
+    listed = L.registered_domains(hosts, rules)
     assert {r["host"] for r in listed.collect()} == set(want) - {"a.nowhere", "q.a.nowhere"}
 
 

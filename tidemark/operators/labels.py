@@ -18,13 +18,13 @@ def host_of(url: Column) -> Column:
     return F.lower(F.rtrim(F.regexp_extract(F.trim(url), _HOST, 1), F.lit(".")))
 
 
-def registered_domains(hosts: DataFrame, suffixes: DataFrame, unlisted: bool = True) -> DataFrame:
+def registered_domains(hosts: DataFrame, suffixes: DataFrame, unlisted: bool = False) -> DataFrame:
     """(host, domain) for distinct hosts: the public suffix plus one label.
 
     ``suffixes`` holds rules of a public-suffix list (see ``sources.lists.suffix_rules``): plain
     ones, ``*.`` rules that take one more label, and ``!`` rules that take one less and win over
-    all. Else the longest rule decides; a host that no rule meets has its last label for a
-    suffix, unless ``unlisted`` is off. Hosts equal to a suffix, addresses, and texts with
+    all. Else the longest rule decides; a host that no rule meets is left out, or has its last
+    label for a suffix where ``unlisted``. Hosts equal to a suffix, addresses, and texts with
     characters no host has get no row. Every host yields one candidate suffix per label,
     matched by an equi-join, so the rule table may have any size.
     """

@@ -384,7 +384,7 @@ def suffix_rules(spark, sf_dir):
     after = F.element_at(F.array(*[F.lit(_RULED[i][1]) for i in range(8)]), (k + 1).cast("int"))
     hosts = Tables(spark, sf_dir).pages.select(L.host_of(F.concat(before, name, after)).alias("host"))
     counts = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(L.registered_domains(counts, lists.public_suffixes(spark)), "host", "left")
+    return counts.join(L.registered_domains(counts, lists.public_suffixes(spark), unlisted=True), "host", "left")
 
 
 @query(
