@@ -15,6 +15,7 @@ from tidemark.operators.profiles import numeric_profile
 from tidemark.operators.ranks import (
     attach_ranks,
     exact_quantiles,
+    join_figures,
     ordered_counts,
     quantile_scalars,
     quantiles_of,
@@ -60,7 +61,7 @@ def targeting_metrics(long: DataFrame, label: str = "label", fast_share: str = "
     low = (F.col(label) == K.LOW) & F.col(label).isNotNull()
     top = d >= F.col("q75")
     bottom = d <= F.col("q25")
-    stats = known.join(cuts, "form").join(tails, "form").groupBy("form").agg(
+    stats = join_figures(join_figures(known, cuts, ["form"]), tails, ["form"]).groupBy("form").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.when(top, F.when(low, 1.0).otherwise(0.0))).alias("top_quarter_low_share"),
         F.avg(F.when(bottom, F.when(low, 1.0).otherwise(0.0))).alias("bottom_quarter_low_share"),
@@ -76,7 +77,7 @@ def specificity(long: DataFrame, slow: str = "s_slow", label: str = "label") ->
     """Mean demotion by class among rows in the upper third of slow score, per form."""
     cut = exact_quantiles(long, slow, {"t": 2.0 / 3.0}, ["form"]).drop("n")
     return (
-        long.join(cut, "form").where(F.col(slow) >= F.col("t"))
+        join_figures(long, cut, ["form"]).where(F.col(slow) >= F.col("t"))
         .where(F.col(label).isin(K.LOW, K.HIGH))
         .groupBy("form", label).agg(F.count(F.lit(1)).alias("n"), F.avg("demotion").alias("mean_demotion"))
     )
@@ -221,7 +222,7 @@ def within_level(df: DataFrame, demotion: str, ratio: str, level: str, bins: int
     cuts = exact_quantiles(placed, ratio, {"t33": 1.0 / 3.0, "t66": 2.0 / 3.0}, ["stratum"]).drop("n")
     r, d = F.col(ratio), F.col(demotion)
     top, bottom = r >= F.col("t66"), r <= F.col("t33")
-    stats = placed.join(cuts, "stratum").groupBy("stratum").agg(
+    stats = join_figures(placed, cuts, ["stratum"]).groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n"), F.avg(level).alias("mean_level"), F.avg(d).alias("mean_demotion"),
         F.sum(F.when(top, 1).otherwise(0)).alias("n_top"), F.sum(F.when(bottom, 1).otherwise(0)).alias("n_bottom"),
         F.avg(F.when(top, d)).alias("top_mean"), F.avg(F.when(bottom, d)).alias("bottom_mean"),
