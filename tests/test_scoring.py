@@ -125,3 +125,30 @@ def test_feature_edges(spark):
     assert set(row.values()) == {0.0}
     scaled = X.apply_scaler(X.extract_features(df), X.scaler_stats(X.extract_features(df))).first()
     assert scaled["log_followers"] == 0.0
+
+
+def test_repeated_seeds_are_scored_once(seeds, spark, monkeypatch):
+    pdf, df = seeds
+    vectors = [*W.named_weights().values(), *W.weight_grid()[::211]]
+    w = np.array([[v[h] for v in vectors] for h in K.HEADS])
+    many = df.crossJoin(spark.range(3))
+    assert W.distinct_rows(many, ["label"]).count() <= len(pdf)
+    assert np.allclose(W.vector_medians(many, w), np.median((pd.concat([pdf] * 3)[[f"p_{h}" for h in K.HEADS]].to_numpy() @ w), axis=0), rtol=1e-12)
+    monkeypatch.setattr("tidemark.operators.ranks.ROWS_PER_RANGE", 2 * len(pdf))  # three copies are more, the distinct rows fewer
+    monkeypatch.setattr(W, "_shuffled_agreement", None)
+    once = {r["v"]: r["rho"] for r in W.rank_agreement(df, vectors).collect()}
+    thrice = {r["v"]: r["rho"] for r in W.rank_agreement(many, vectors).collect()}
+    # Ranks of copies spread evenly: the correlation of ranks is the same.
+    assert once.keys() == thrice.keys() and all(abs(once[v] - thrice[v]) < 1e-9 for v in once)
+
+
+@pytest.mark.parametrize("sample", [16, 50])
+def test_medians_hold_where_the_guess_misses(spark, monkeypatch, sample):
+    monkeypatch.setattr(W, "_SAMPLE", sample)
+    monkeypatch.setattr(W, "_FETCH", 8)
+    monkeypatch.setattr(W, "_guess", lambda p, w, n: (np.full(w.shape[1], 5.0), np.full(w.shape[1], 6.0))) if sample == 16 else None
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random((3001, 4)) ** 3, 2)
+    w = np.array([[v[h] for v in W.weight_grid()[::97]] for h in K.HEADS])
+    df = spark.createDataFrame(pd.DataFrame(p, columns=[f"p_{h}" for h in K.HEADS]))
+    assert np.allclose(W.vector_medians(df, w), np.median(p @ w, axis=0), rtol=1e-12)

@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from tidemark import constants as K
 from tidemark.functions.scoring import Regime, score_long, weighted
 from tidemark.operators.contrasts import bootstrap_contrasts
-from tidemark.operators.ranks import attach_ranks, average_rank, fits_one_task, ordered_counts
+from tidemark.operators.ranks import average_rank, fits_one_task, ordered_counts
 from tidemark.operators.reach import class_means, exposure, with_reach
 from tidemark.session import shuffle_width, stage
 
 _P = [f"p_{h}" for h in K.HEADS]
 _SLICES = 256
 _FETCH = 512
+_BLOCK = 128
+_SAMPLE = 8192
 
 
 def weight_grid() -> list[dict[str, float]]:
@@ -79,132 +81,185 @@ def vector_table(spark, vectors: Sequence[dict[str, float]]) -> DataFrame:
     return spark.createDataFrame(rows, "v int, " + ", ".join(f"{n} double" for n in names))
 
 
-def _score_blocks(frames: Iterator[pd.DataFrame], w: np.ndarray) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
-    """Scores of up to 1,024 rows under every vector, summed head by head."""
+def distinct_rows(seeds: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(p_<head>..., keep..., __n): seeds that agree in all of these once, with their number; written, dealt evenly."""
+    rows = seeds.groupBy(*_P, *keep).agg(F.count(F.lit(1)).alias("__n"))
+    return stage(rows.withColumn("__deal", F.xxhash64(*_P, *keep)), "distinct-seeds", "__deal").drop("__deal")
+
+
+def _score_blocks(frames: Iterator[pd.DataFrame], w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pd.DataFrame, slice]]:
+    """Scores of up to ``_BLOCK`` rows under every vector, summed head by head, the rows' numbers and their place in a frame.
+
+    Blocks are small enough to stay in a core's cache.
+    """
     for frame in frames:
-        for start in range(0, len(frame), 1024):
-            piece = frame.iloc[start : start + 1024]
-            p = piece[_P].to_numpy(np.float64)
-            s = p[:, [0]] * w[0]
+        p, n = frame[_P].to_numpy(np.float64), frame["__n"].to_numpy(np.float64)
+        for start in range(0, len(frame), _BLOCK):
+            at = slice(start, start + _BLOCK)
+            s = p[at, 0][:, None] * w[0]
             for h in range(1, len(_P)):
-                s = s + p[:, [h]] * w[h]
-            yield s, piece
+                s += p[at, h][:, None] * w[h]
+            yield s, n[at], frame, at
 
 
-def vector_medians(seeds: DataFrame, w: np.ndarray) -> np.ndarray:
-    """Exact median score of every vector; ``w`` is heads by vectors.
+def vector_medians(rows: DataFrame, w: np.ndarray) -> np.ndarray:
+    """Exact median score of every vector over seeds or their ``distinct_rows``; ``w`` is heads by vectors.
 
-    Passes narrow an interval around the two middle order statistics: each counts
-    rows per slice and keeps the slices that hold them. Slice bounds are real
+    A hash sample guesses an interval around the two middle order statistics. Passes
+    narrow it: each counts the rows below it and per slice and keeps the slices that hold
+    them; a guess that missed is replaced by all scores of its vector. Slice bounds are real
     scores, so the interval shrinks even when many rows share one value. Once few
     rows remain inside, they are fetched and the middle ones read off.
     """
-    n_vec = w.shape[1]
-
-    def extent(frames):
-        lo, hi, n = np.full(n_vec, np.inf), np.full(n_vec, -np.inf), 0
-        for s, _ in _score_blocks(frames, w):
-            lo, hi, n = np.minimum(lo, s.min(0)), np.maximum(hi, s.max(0)), n + len(s)
-        if n:
-            yield pd.DataFrame({"v": np.arange(n_vec), "lo": lo, "hi": hi, "n": n})
-
-    p = seeds.select(*_P)
-    state = (
-        p.mapInPandas(extent, "v int, lo double, hi double, n long")
-        .groupBy("v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-        .orderBy("v").toPandas()
-    )
-    lo, hi, n = state["lo"].to_numpy(), state["hi"].to_numpy(), int(state["n"].iloc[0])
-    first, second = (n - 1) // 2, n // 2
-    below, inside = np.zeros(n_vec, dtype=np.int64), np.full(n_vec, n)
-    while ((inside > _FETCH) & (lo < hi)).any():
-        lo, hi, below, inside = _narrow(p, w, lo, hi, below, first, second)
+    p = (rows if "__n" in rows.columns else distinct_rows(rows)).select(*_P, "__n")
+    size = p.agg(F.count(F.lit(1)).alias("rows"), F.sum("__n").alias("n")).first()
+    if not size["rows"]:
+        return np.full(w.shape[1], np.nan)
+    first, second = (size["n"] - 1) // 2, size["n"] // 2
+    lo, hi = _guess(p, w, size["rows"])
+    below = np.zeros(w.shape[1], dtype=np.int64)
+    inside, todo = np.full(w.shape[1], size["rows"]), np.arange(w.shape[1])
+    while len(todo):
+        lo[todo], hi[todo], below[todo], inside[todo] = _narrow(p, w[:, todo], lo[todo], hi[todo], first, second)
+        missed = todo[inside[todo] == 0]
+        if len(missed):
+            lo[missed], hi[missed] = _extent(p, w[:, missed])
+        todo = np.flatnonzero((inside == 0) | (inside > _FETCH) & (lo < hi))
     out = lo.copy()
     todo = np.flatnonzero(lo < hi)
     if len(todo):
         sub, sub_lo, sub_hi = w[:, todo], lo[todo], hi[todo]
 
         def fetch(frames):
-            for s, _ in _score_blocks(frames, sub):
+            for s, n, _, _ in _score_blocks(frames, sub):
                 r, c = np.nonzero((s >= sub_lo) & (s <= sub_hi))
-                yield pd.DataFrame({"v": c, "s": s[r, c]})
+                yield pd.DataFrame({"v": c, "s": s[r, c], "n": n[r].astype(np.int64)})
 
-        rows = (
-            p.mapInPandas(fetch, "v int, s double")
-            .groupBy("v").agg(F.array_sort(F.collect_list("s")).alias("s"))
-            .toPandas()
-        )
-        for v, s in zip(rows["v"], rows["s"]):
-            at = todo[v]
-            out[at] = 0.5 * (s[first - below[at]] + s[second - below[at]])
+        found = p.mapInPandas(fetch, "v int, s double, n long").groupBy("v", "s").agg(F.sum("n").alias("n")).toPandas()
+        for v, own in found.sort_values("s").groupby("v"):
+            at, upto = todo[v], below[todo[v]] + own["n"].cumsum().to_numpy()
+            s = own["s"].to_numpy()
+            out[at] = 0.5 * (s[np.searchsorted(upto, first, "right")] + s[np.searchsorted(upto, second, "right")])
     return out
 
 
-def _narrow(p, w, lo, hi, below, first, second):
-    """One counting pass: the slices of [lo, hi] that hold positions first..second."""
+def _guess(p: DataFrame, w: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """An interval per vector that should hold its median, from about ``_SAMPLE`` rows; the passes that follow check it."""
+    every = max(1, n_rows // _SAMPLE)
+    frame = p.where(F.pmod(F.xxhash64(*_P), F.lit(every)) == 0).toPandas()
+    if every > 1 and len(frame) < _SAMPLE // 8:
+        return _extent(p, w)
+    lo, hi = np.empty(w.shape[1]), np.empty(w.shape[1])
+    heads, n = frame[_P].to_numpy(np.float64), frame["__n"].to_numpy(np.float64)
+    slack = 3.0 / np.sqrt(len(frame)) if every > 1 else 0.0
+    for start in range(0, w.shape[1], 64):
+        part = w[:, start : start + 64]
+        s = heads[:, [0]] * part[0]
+        for h in range(1, len(_P)):
+            s += heads[:, [h]] * part[h]
+        order = np.argsort(s, axis=0)
+        s, share = np.take_along_axis(s, order, 0), np.cumsum(n[order], axis=0) / n.sum()
+        at = np.arange(s.shape[1])
+        lo[start : start + 64] = s[np.argmax(share >= 0.5 - slack - 1e-9, axis=0), at]
+        top = np.minimum((share <= 0.5 + slack + 1e-9).sum(0), len(s) - 1)
+        hi[start : start + 64] = s[top, at]
+    return lo, hi
+
+
+def _extent(p: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest score of every vector."""
+    n_vec = w.shape[1]
+
+    def run(frames):
+        lo, hi = np.full(n_vec, np.inf), np.full(n_vec, -np.inf)
+        for s, _, _, _ in _score_blocks(frames, w):
+            lo, hi = np.minimum(lo, s.min(0)), np.maximum(hi, s.max(0))
+        yield pd.DataFrame({"v": np.arange(n_vec), "lo": lo, "hi": hi})
+
+    state = (
+        p.mapInPandas(run, "v int, lo double, hi double")
+        .groupBy("v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("v").toPandas()
+    )
+    return state["lo"].to_numpy(), state["hi"].to_numpy()
+
+
+def _narrow(p: DataFrame, w: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: int, second: int):
+    """One counting pass: the slices of [lo, hi] that hold positions first..second, the rows below them and
+    the distinct rows in them; no rows where a position lies outside [lo, hi]."""
     n_vec = w.shape[1]
     width = np.where(hi > lo, (hi - lo) / _SLICES, 1.0)
 
     def run(frames):
         size = n_vec * _SLICES
-        count, low, high = np.zeros(size, np.int64), np.full(size, np.inf), np.full(size, -np.inf)
-        for s, _ in _score_blocks(frames, w):
-            r, c = np.nonzero((s >= lo) & (s <= hi))
+        count, rows = np.zeros(size), np.zeros(size, np.int64)
+        low, high = np.full(size, np.inf), np.full(size, -np.inf)
+        under = np.zeros(n_vec)
+        for s, n, _, _ in _score_blocks(frames, w):
+            short = s < lo
+            under += n @ short.astype(np.float64)
+            r, c = np.nonzero(~short & (s <= hi))
             x = s[r, c]
             at = np.minimum(((x - lo[c]) / width[c]).astype(np.int64), _SLICES - 1) + c * _SLICES
-            count += np.bincount(at, minlength=size)
+            np.add.at(count, at, n[r])
+            np.add.at(rows, at, 1)
             np.minimum.at(low, at, x)
             np.maximum.at(high, at, x)
-        at = np.flatnonzero(count)
+        at = np.flatnonzero(rows)
+        yield pd.DataFrame({"v": np.arange(n_vec), "slot": -1, "c": under.astype(np.int64), "m": 0, "lo": 0.0, "hi": 0.0})
         yield pd.DataFrame(
-            {"v": at // _SLICES, "slot": at % _SLICES, "c": count[at], "lo": low[at], "hi": high[at]}
+            {"v": at // _SLICES, "slot": at % _SLICES, "c": count[at].astype(np.int64), "m": rows[at], "lo": low[at], "hi": high[at]}
         )
 
     running = Window.partitionBy("v").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     slots = (
-        p.mapInPandas(run, "v int, slot int, c long, lo double, hi double")
+        p.mapInPandas(run, "v int, slot int, c long, m long, lo double, hi double")
         .groupBy("v", "slot")
-        .agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .withColumn("cum", F.sum("c").over(running))
+        .agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .withColumn("upto", F.sum("c").over(running))
     )
-    offsets = F.element_at(F.expr("array(" + ",".join(f"{b}L" for b in below) + ")"), F.col("v") + 1)
-    upto = F.col("cum") + offsets
+    before = F.col("upto") - F.col("c")
     kept = (
-        slots.where((upto > first) & (upto - F.col("c") <= second))
+        slots.where((F.col("slot") >= 0) & (F.col("upto") > first) & (before <= second))
         .groupBy("v")
-        .agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("inside"),
-            F.min(upto - F.col("c")).alias("below"),
-        )
-        .orderBy("v").toPandas()
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"), F.min(before).alias("below"), F.max("upto").alias("upto"))
+        .where((F.col("below") <= first) & (F.col("upto") > second))
+        .toPandas().set_index("v").reindex(np.arange(n_vec))
     )
+    inside = kept["m"].fillna(0).to_numpy(np.int64)
     return (
-        kept["lo"].to_numpy(), kept["hi"].to_numpy(), kept["below"].to_numpy(), kept["inside"].to_numpy()
+        np.where(inside > 0, kept["lo"], lo), np.where(inside > 0, kept["hi"], hi),
+        kept["below"].fillna(0).to_numpy(np.int64), inside,
     )
 
 
 def vector_gaps(seeds: DataFrame, vectors: Sequence[dict[str, float]], baseline: float) -> DataFrame:
-    """Low minus high mean reach per vector: rows (v, median, low_mean, high_mean, gap)."""
+    """Low minus high mean reach per vector: rows (v, median, low_mean, high_mean, gap).
+
+    Seeds alike in propensities and label are scored once and counted as often as they occur.
+    """
     w = np.array([[v[h] for v in vectors] for h in K.HEADS])
-    medians = vector_medians(seeds, w)
+    rows = distinct_rows(seeds, ["label"])
+    medians = vector_medians(rows, w)
     usable = np.isfinite(medians) & (medians > 0)
     safe = np.where(usable, medians, 1.0)
 
     def run(frames):
         sums = np.zeros((2, w.shape[1]))
-        counts = np.zeros(2, np.int64)
-        for s, piece in _score_blocks(frames, w):
-            rel = np.where(usable, s / safe, 1.0)
-            reach = np.clip(baseline * rel, K.EXPOSURE_MIN, K.EXPOSURE_MAX)
-            for i, label in enumerate((K.LOW, K.HIGH)):
-                mask = (piece["label"] == label).to_numpy()
-                sums[i] += reach[mask].sum(0)
-                counts[i] += mask.sum()
+        counts = np.zeros(2)
+        for s, n, frame, at in _score_blocks(frames, w):
+            s /= safe
+            rel = np.where(usable, s, 1.0)
+            rel *= baseline
+            reach = np.clip(rel, K.EXPOSURE_MIN, K.EXPOSURE_MAX, out=rel)
+            label = frame["label"].to_numpy()[at]
+            own = np.stack([n * (label == K.LOW), n * (label == K.HIGH)])
+            sums += own @ reach
+            counts += own.sum(1)
         yield pd.DataFrame(
-            {"v": np.arange(w.shape[1]), "low": sums[0], "high": sums[1], "nl": counts[0], "nh": counts[1]}
+            {"v": np.arange(w.shape[1]), "low": sums[0], "high": sums[1], "nl": int(counts[0]), "nh": int(counts[1])}
         )
 
-    sums = seeds.select(*_P, "label").mapInPandas(run, "v int, low double, high double, nl long, nh long")
+    sums = rows.select(*_P, "__n", "label").mapInPandas(run, "v int, low double, high double, nl long, nh long")
     means = sums.groupBy("v").agg(
         F.try_divide(F.sum("low"), F.sum("nl")).alias("low_mean"),
         F.try_divide(F.sum("high"), F.sum("nh")).alias("high_mean"),
@@ -237,13 +292,16 @@ def closure_table(
 def rank_agreement(seeds: DataFrame, vectors: Sequence[dict[str, float]]) -> DataFrame:
     """Spearman correlation of every vector's score with the published score: rows (v, rho).
 
-    Exact ranks under a vector need all scores under it. A table counted to fit one task
-    (at most ``ROWS_PER_RANGE`` rows of five numbers) is sent to every executor once, and the
-    vectors are spread: each is ranked inside a task, and two numbers a vector leave it. On a
-    larger table scores are shuffled, combined per distinct score before they move.
+    Seeds alike in propensities tie under every vector: they are one row with their number.
+    Exact ranks under a vector need all scores under it. Rows counted to fit one task
+    (at most ``ROWS_PER_RANGE`` rows of six numbers) are sent to every executor once, and the
+    vectors are spread: each is ranked inside a task, and two numbers a vector leave it. More
+    rows are scored and shuffled, combined per distinct score before they move.
     """
-    ranked = attach_ranks(seeds.select(*_P, weighted(K.WEIGHTS, K.HEADS).alias("__pub")), {"__pub": "rank_pub"})
-    ranked = stage(ranked.select("rank_pub", *_P), "published-rank")
+    rows = seeds.groupBy(*_P).agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(rows.withColumn("__pub", weighted(K.WEIGHTS, K.HEADS)), "distinct-seeds")
+    order = ordered_counts(rows, "__pub", (), {"n": F.sum("n")}).select("__pub", average_rank().alias("rank_pub"))
+    ranked = stage(rows.join(order, "__pub").select("rank_pub", *_P, "n"), "published-rank")
     if not fits_one_task(ranked):
         return _shuffled_agreement(ranked, vectors)
     spark = seeds.sparkSession
@@ -251,10 +309,10 @@ def rank_agreement(seeds: DataFrame, vectors: Sequence[dict[str, float]]) -> Dat
     weights = np.array([[v[h] for h in K.HEADS] for v in vectors])
 
     def run(frames):
-        y = table.value[:, 0]
+        y, n = table.value[:, 0], table.value[:, -1]
         p = [np.ascontiguousarray(table.value[:, 1 + h]) for h in range(len(_P))]
-        y_off = y - y.mean() if len(y) else y
-        y_norm = np.sqrt((y_off * y_off).sum())
+        y_off = y - (n * y).sum() / max(n.sum(), 1.0)
+        y_norm = np.sqrt((n * y_off * y_off).sum())
         for frame in frames:
             rho = []
             for v in frame["id"]:
@@ -262,11 +320,12 @@ def rank_agreement(seeds: DataFrame, vectors: Sequence[dict[str, float]]) -> Dat
                 s = p[0] * w[0]
                 for h in range(1, len(p)):
                     s = s + p[h] * w[h]
-                _, group, n = np.unique(s, return_inverse=True, return_counts=True)
-                x = (np.cumsum(n) - (n - 1) / 2.0)[group]
-                x = x - x.mean() if len(x) else x
-                norm = np.sqrt((x * x).sum()) * y_norm
-                rho.append(float((x * y_off).sum() / norm) if norm > 0 else None)
+                _, group = np.unique(s, return_inverse=True)
+                tied = np.bincount(group, weights=n)
+                x = (np.cumsum(tied) - (tied - 1) / 2.0)[group]
+                x = x - (n * x).sum() / max(n.sum(), 1.0)
+                norm = np.sqrt((n * x * x).sum()) * y_norm
+                rho.append(float((n * x * y_off).sum() / norm) if norm > 0 else None)
             yield pd.DataFrame({"v": frame["id"].astype("int32"), "rho": pd.array(rho, "Float64")})
 
     return spark.range(0, len(vectors), 1, 4 * shuffle_width(spark)).mapInPandas(run, "v int, rho double")
@@ -282,7 +341,7 @@ def closure_intervals(
     """
     each = {"published": dict(K.WEIGHTS), **vectors}
     w = np.array([[v[h] for v in each.values()] for h in K.HEADS])
-    medians = vector_medians(seeds, w)  # a number a vector
+    medians = vector_medians(distinct_rows(seeds), w)  # a number a vector
     reach = [exposure(weighted(v, K.HEADS), F.lit(float(m)), baseline).alias(f"reach{i}") for i, (v, m) in enumerate(zip(each.values(), medians))]
     wide = stage(seeds.select(F.col("id").alias("cascade_id"), "label", *reach), "closure-reach")
     pairs = {name: ("reach0", f"reach{i}") for i, name in enumerate(each)}
@@ -294,21 +353,22 @@ def _shuffled_agreement(ranked: DataFrame, vectors: Sequence[dict[str, float]])
         f"struct({i} as v, " + ", ".join(f"{float(w[h])!r}D as w_{h}" for h in K.HEADS) + ")"
         for i, w in enumerate(vectors)
     )
-    rows = ranked.select("rank_pub", *_P, F.inline(F.expr(f"array({cells})")))
+    rows = ranked.select("rank_pub", *_P, "n", F.inline(F.expr(f"array({cells})")))
     terms = [F.col(f"p_{h}") * F.col(f"w_{h}") for h in K.HEADS]
-    long = rows.select("v", "rank_pub", (terms[0] + terms[1] + terms[2] + terms[3]).alias("s"))
-    return correlation_with_ranked(long, "s", "rank_pub", ["v"])
+    long = rows.select("v", "rank_pub", "n", (terms[0] + terms[1] + terms[2] + terms[3]).alias("s"))
+    return correlation_with_ranked(long, "s", "rank_pub", ["v"], "n")
 
 
-def correlation_with_ranked(long: DataFrame, value: str, rank: str, keys: Sequence[str]) -> DataFrame:
+def correlation_with_ranked(long: DataFrame, value: str, rank: str, keys: Sequence[str], number: str | None = None) -> DataFrame:
     """Spearman per key when one side already carries its rank.
 
-    The other side's rank is applied to per-value sums, so no join back to rows.
+    The other side's rank is applied to per-value sums, so no join back to rows. ``number``
+    names how many rows a row stands for; one by default.
     """
-    r = F.col(rank)
+    r, c = F.col(rank), F.col(number) if number else F.lit(1)
     ordered = ordered_counts(
         long, value, keys,
-        {"n": F.count(F.lit(1)), "r1": F.sum(r), "r2": F.sum(r * r)},
+        {"n": F.sum(c), "r1": F.sum(c * r), "r2": F.sum(c * r * r)},
     )
     mine = average_rank()
     sums = ordered.groupBy(*keys).agg(
