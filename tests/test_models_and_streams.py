@@ -92,6 +92,25 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
     assert sum(totals.values()) == 200
 
 
+def test_rows_of_one_streamed_file_are_parsed_in_many_tasks(spark, tmp_path):
+    from tidemark.sources import posts as R
+
+    cells = {"user": "{'id_str': '1'}", "viewCount": "{'count': '5'}", "links": "[]", "rawContent": "a"}
+    columns = ["id", "id_str", "epoch", "in_reply_to_status_id_str", "quotedTweet", "retweetedTweet", *cells]
+    raw = spark.range(400).select(*[F.lit(cells[c]).alias(c) if c in cells else F.col("id").cast("string").alias(c) for c in columns])
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    raw.coalesce(1).write.options(header=True, quote='"', escape='"', compression="gzip").csv(src)
+    seen = []
+
+    def tasks(batch):
+        seen.append(batch.rdd.getNumPartitions())
+        return batch
+
+    J.run_to_end(J.ingest_stream(J.read_chunks(spark, src, raw.schema)), out, str(tmp_path / "state"), per_batch=tasks)
+    want = {(r["id"], r["view_count"]) for r in R.clean(raw).collect()}
+    assert seen == [4] and {(r["id"], r["view_count"]) for r in spark.read.parquet(out).collect()} == want and len(want) == 400
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     src, out = tmp_path / "src", str(tmp_path / "out")
     src.mkdir()

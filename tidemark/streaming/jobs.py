@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.sources.posts import clean
+from tidemark.sources.posts import clean, spread
 
 
 def read_chunks(spark: SparkSession, folder: str, schema: StructType, per_trigger: int = 1) -> DataFrame:
@@ -61,8 +61,11 @@ def latest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
 
 
 def ingest_stream(raw: DataFrame) -> DataFrame:
-    """Cleaned posts from a raw stream: the same parse as in batch."""
-    return clean(raw)
+    """Cleaned posts from a raw stream: the same parse as in batch.
+
+    A gzip file is read by one task, so its rows are spread before the parse.
+    """
+    return clean(spread(raw))
 
 
 def added(spark: SparkSession, out: str, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
