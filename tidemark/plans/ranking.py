@@ -555,13 +555,15 @@ _FRONT = with_ctes("wide", "").rstrip() + """, gs as (select *, 1e0 / (1e0 + exp
 )
 def frontier(spark, sf_dir):
     """Every gate cell: targeting on all seeds and the claim split."""
-    gated = T.tail_gates(T.quality_gate(mechanism_seeds(Tables(spark, sf_dir)), "p_cred"), "gate_quality")
+    read = mechanism_seeds(Tables(spark, sf_dir)).select("label", "flagged", "fast_share", "p_cred", "score_additive", "score_reflective_floor")
+    ranked = stage(N.attach_ranks(read, {"fast_share": "share_rank"}), "share-ranks")
+    gated = T.tail_gates(T.quality_gate(ranked, "p_cred"), "gate_quality")
     floor = F.col("score_reflective_floor")
     forms = {f"tempered_{x:g}": floor * T.tempered("gate_quality", x) for x in K.TEMPER_GRID}
     forms |= {f"tail_{q:g}": floor * F.col(f"tail_{round(100 * q)}") for q in K.TAIL_GRID}
-    long = stage(T.demotion_long(gated, "score_additive", forms, ["id", "label", "flagged", "fast_share"]), "cells")
-    claims = T.claim_split(long, "flagged").select("form", F.col("diff").alias("claim_diff"))
-    return T.targeting_metrics(long).join(claims, "form")
+    long = stage(T.demotion_long(gated, "score_additive", forms, ["label", "flagged", "fast_share", "share_rank"]), "cells")
+    claims = T.mean_differences(long, "flagged").select("form", F.col("diff").alias("claim_diff"))
+    return T.targeting_metrics(long, rank="share_rank").join(claims, "form")
 
 
 @query(
