@@ -105,6 +105,20 @@ def test_folds_and_split(posts):
     assert A.train_split(posts, "id").where("is_val").count() == 90
 
 
+@pytest.mark.parametrize("repeats", [1, 7])
+def test_a_split_needs_no_ranks(spark, monkeypatch, repeats):
+    from tidemark.plans.models import _beyond
+
+    rows = spark.range(1000).selectExpr(f"cast(id / {repeats} as long) as id")
+    want = [(r["id"], r["sample_rank"] <= 100) for r in A.sample_order(rows, "id", 5).collect()]
+    ranked = R.attach_ranks(rows.withColumn("h", A.hash_order(F.col("id"), 5)), {"h": "r"}).where("r > 100").count()
+    kept = rows.withColumn("h", A.hash_order(F.col("id"), 5))
+    assert kept.where(_beyond(kept, {"m": "h"}, 100)["m"]).count() == ranked
+    if repeats == 1:
+        monkeypatch.setattr(A, "sample_order", None)
+    assert sorted((r["id"], r["is_val"]) for r in A.train_split(rows, "id", 0.1, 5).collect()) == sorted(want)
+
+
 def test_decile_composition_takes_exact_tenth(spark, monkeypatch):
     monkeypatch.setattr(R, "ROWS_PER_RANGE", 30)
     rows = [(i, "a" if i % 3 else "b", 1.0 if i < 60 else 0.0) for i in range(105)]

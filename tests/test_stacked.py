@@ -33,3 +33,15 @@ def test_stacked_fits_equal_fits_one_by_one(spark):
         key = lambda a: np.lexsort(a[:, :2].T)
         plain = part[names].to_numpy()
         assert own["p"].to_numpy()[key(own[names].to_numpy())] == pytest.approx((1 / (1 + np.exp(-z)))[key(plain)], abs=2e-4)
+
+
+def test_scales_of_subsets_over_many_tasks(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame(rng.standard_normal((500, 3)) * [1.0, 5.0, 1.0] + [3.0, 1e6, 0.0], columns=["log_followers", "log_friends", "has_url"])
+    pdf["a"], pdf["none"] = np.arange(500) % 3 > 0, False
+    df = spark.createDataFrame(pdf).repartition(7)
+    got = stacked.subset_scales(df, ["has_url", "log_friends", "log_followers"], ["a", "none"])
+    own = pdf[pdf["a"]]
+    assert got["a"][0] == pytest.approx([0.0, own["log_friends"].mean(), own["log_followers"].mean()])
+    assert got["a"][1] == pytest.approx([1.0, own["log_friends"].std(ddof=0), own["log_followers"].std(ddof=0)])
+    assert not got["none"][0].any() and (got["none"][1] == 1).all()

@@ -24,21 +24,44 @@ PASSES, TOLERANCE, RIDGE = 25, 1e-9, 1e-4
 
 def subset_scales(table: DataFrame, features: Sequence[str], subsets: Sequence[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Mean and population deviation of each feature over each subset; features that are flags stay as they are."""
-    cells = [
-        F.struct(F.avg(F.when(F.col(s), F.col(f))).alias("m"), F.stddev_pop(F.when(F.col(s), F.col(f))).alias("d")).alias(f"{s}__{f}")
-        for s in subsets for f in features if f in K.CONTINUOUS_FEATURES
-    ]
-    row = table.agg(*cells).first()
+    scaled = [f for f in features if f in K.CONTINUOUS_FEATURES]
+
+    def run(frames):
+        parts = {}
+        for frame in frames:
+            x = frame[scaled].to_numpy(np.float64)
+            for s in subsets:
+                own = x[frame[s].to_numpy(bool)]
+                if len(own):
+                    mean = own.mean(0)
+                    parts[s] = _merged(parts.get(s), (len(own), mean, ((own - mean) ** 2).sum(0)))
+        for s, (n, mean, spread) in parts.items():
+            yield pd.DataFrame({"s": s, "n": n, "m": [mean.tolist()], "d": [spread.tolist()]})
+
+    each = {}
+    if scaled:
+        # A row a task and subset.
+        for r in table.select(*scaled, *subsets).mapInPandas(run, "s string, n long, m array<double>, d array<double>").collect():
+            each[r["s"]] = _merged(each.get(r["s"]), (r["n"], np.array(r["m"]), np.array(r["d"])))
     out = {}
     for s in subsets:
         mean, scale = np.zeros(len(features)), np.ones(len(features))
-        for i, f in enumerate(features):
-            if f in K.CONTINUOUS_FEATURES and row[f"{s}__{f}"]["m"] is not None:
-                mean[i], scale[i] = row[f"{s}__{f}"]["m"], max(row[f"{s}__{f}"]["d"], 1e-6)
+        if s in each:
+            n, means, spread = each[s]
+            at = [list(features).index(f) for f in scaled]
+            mean[at], scale[at] = means, np.maximum(np.sqrt(spread / n), 1e-6)
         out[s] = mean, scale
     return out
 
 
+def _merged(a, b):
+    """Row number, means and squared deviations of two parts together."""
+    if a is None:
+        return b
+    n, off = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + off * (b[0] / n), a[2] + b[2] + off * off * (a[0] * b[0] / n)
+
+
 def _sums(table: DataFrame, features: Sequence[str], fits: Sequence[tuple[str, str]], scales, weights: np.ndarray) -> np.ndarray:
     """(fit, loss, rows, gradient, curvature) at ``weights``, a row a fit; the last feature is the constant."""
     features, subsets, d = list(features), sorted({s for s, _ in fits}), len(features) + 1
