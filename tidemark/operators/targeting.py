@@ -29,9 +29,9 @@ def demotion_long(df: DataFrame, additive: str, forms: Mapping[str, Column], kee
     """Rows (keep, form, form_score, rank_additive, rank_form, demotion).
 
     Ranks run 0 to 100; demotion is additive minus form, so positive means demoted.
-    All forms share one keyed rank job.
+    All forms share one keyed rank job. A column ``rank_additive`` that is there already is kept.
     """
-    base = attach_ranks(df, {additive: "rank_additive"}, "percent")
+    base = df if "rank_additive" in df.columns else attach_ranks(df, {additive: "rank_additive"}, "percent")
     cells = F.array(
         *[F.struct(F.lit(n).alias("form"), c.alias("form_score")) for n, c in forms.items()]
     )

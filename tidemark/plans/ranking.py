@@ -14,7 +14,7 @@ from tidemark.operators import targeting as T
 from tidemark.plans.panel import mechanism_seeds
 from tidemark.plans.registry import query
 from tidemark.plans.views import Tables, average_rank_sql, percent_rank_sql, with_ctes
-from tidemark.session import stage
+from tidemark.session import passing, stage
 
 _FORMS = {"reflective_floor": "score_reflective_floor", "ablated": "score_ablated", "complementary": "score_complementary"}
 
@@ -544,6 +544,9 @@ _FRONT = with_ctes("wide", "").rstrip() + """, gs as (select *, 1e0 / (1e0 + exp
   cuts as (select form, quantile_cont(demotion, 0.75) as q75, quantile_cont(fast_share, 0.1) as d10, quantile_cont(fast_share, 0.9) as d90 from known group by form)"""
 
 
+_CELL_ROWS = 4_000_000
+
+
 @query(
     "frontier",
     "form:s rho:f top_quarter_low_share:f demotion_top_tenth:f demotion_bottom_tenth:f claim_diff:f",
@@ -554,16 +557,28 @@ _FRONT = with_ctes("wide", "").rstrip() + """, gs as (select *, 1e0 / (1e0 + exp
       from known join cuts using (form) group by form""",
 )
 def frontier(spark, sf_dir):
-    """Every gate cell: targeting on all seeds and the claim split."""
+    """Every gate cell: targeting on all seeds and the claim split.
+
+    A cell ranks all seeds anew. As many cells share a pass as make ``_CELL_ROWS`` rows; then
+    their tables are removed, so that the disk holds those of one pass.
+    """
     read = mechanism_seeds(Tables(spark, sf_dir)).select("label", "flagged", "fast_share", "p_cred", "score_additive", "score_reflective_floor")
     ranked = stage(N.attach_ranks(read, {"fast_share": "share_rank"}), "share-ranks")
+    ranked = stage(N.attach_ranks(ranked, {"score_additive": "rank_additive"}, "percent"), "additive-ranks")
     gated = T.tail_gates(T.quality_gate(ranked, "p_cred"), "gate_quality")
     floor = F.col("score_reflective_floor")
     forms = {f"tempered_{x:g}": floor * T.tempered("gate_quality", x) for x in K.TEMPER_GRID}
     forms |= {f"tail_{q:g}": floor * F.col(f"tail_{round(100 * q)}") for q in K.TAIL_GRID}
-    long = stage(T.demotion_long(gated, "score_additive", forms, ["label", "flagged", "fast_share", "share_rank"]), "cells")
-    claims = T.mean_differences(long, "flagged").select("form", F.col("diff").alias("claim_diff"))
-    return T.targeting_metrics(long, rank="share_rank").join(claims, "form")
+    names, per = list(forms), max(1, _CELL_ROWS // max(1, ranked.count()))
+    found = []
+    for lo in range(0, len(names), per):
+        with passing(spark):
+            some = {name: forms[name] for name in names[lo : lo + per]}
+            long = stage(T.demotion_long(gated, "score_additive", some, ["label", "flagged", "fast_share", "share_rank"]), "cells")
+            claims = T.mean_differences(long, "flagged").select("form", F.col("diff").alias("claim_diff"))
+            made = T.targeting_metrics(long, rank="share_rank").join(claims, "form")
+            found += made.collect()  # a row a form
+    return spark.createDataFrame(found, made.schema)
 
 
 @query(
