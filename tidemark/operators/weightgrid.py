@@ -7,6 +7,7 @@ the task and only per-vector sums leave it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -26,6 +27,7 @@ _SLICES = 256
 _FETCH = 512
 _BLOCK = 128
 _SAMPLE = 8192
+_SENT_ROWS, _PIECE = 12_000_000, 1_000_000  # of six numbers: what a task holds, and what the driver holds at a time
 
 
 def weight_grid() -> list[dict[str, float]]:
@@ -293,44 +295,63 @@ def rank_agreement(seeds: DataFrame, vectors: Sequence[dict[str, float]]) -> Dat
     """Spearman correlation of every vector's score with the published score: rows (v, rho).
 
     Seeds alike in propensities tie under every vector: they are one row with their number.
-    Exact ranks under a vector need all scores under it. Rows counted to fit one task
-    (at most ``ROWS_PER_RANGE`` rows of six numbers) are sent to every executor once, and the
-    vectors are spread: each is ranked inside a task, and two numbers a vector leave it. More
-    rows are scored and shuffled, combined per distinct score before they move.
+    Exact ranks under a vector need all scores under it, and rows times vectors are too many to
+    shuffle. So the vectors are spread: each is ranked inside a task, and two numbers a vector
+    leave it. Up to ``_SENT_ROWS`` rows of six numbers are sent to every executor once, in pieces
+    of which the driver holds one at a time. Only more are scored and shuffled, combined per
+    distinct score before they move.
     """
     rows = seeds.groupBy(*_P).agg(F.count(F.lit(1)).alias("n"))
     rows = stage(rows.withColumn("__pub", weighted(K.WEIGHTS, K.HEADS)), "distinct-seeds")
     order = ordered_counts(rows, "__pub", (), {"n": F.sum("n")}).select("__pub", average_rank().alias("rank_pub"))
     ranked = stage(rows.join(order, "__pub").select("rank_pub", *_P, "n"), "published-rank")
-    if not fits_one_task(ranked):
-        return _shuffled_agreement(ranked, vectors)
-    spark = seeds.sparkSession
-    table = spark.sparkContext.broadcast(ranked.toPandas().to_numpy(np.float64))
     weights = np.array([[v[h] for h in K.HEADS] for v in vectors])
+    spark, pieces = seeds.sparkSession, [ranked]
+    if not fits_one_task(ranked):
+        if ranked.count() > _SENT_ROWS:
+            return _shuffled_agreement(ranked, vectors)
+        top = ranked.agg(F.max("rank_pub")).first()[0]
+        pieces = [ranked.where((F.col("rank_pub") > lo) & (F.col("rank_pub") <= lo + _PIECE)) for lo in range(0, math.ceil(top), _PIECE)]
+    sent = [spark.sparkContext.broadcast(np.ascontiguousarray(p.toPandas().to_numpy(np.float64).T)) for p in pieces]
 
     def run(frames):
-        y, n = table.value[:, 0], table.value[:, -1]
-        p = [np.ascontiguousarray(table.value[:, 1 + h]) for h in range(len(_P))]
-        y_off = y - (n * y).sum() / max(n.sum(), 1.0)
-        y_norm = np.sqrt((n * y_off * y_off).sum())
         for frame in frames:
-            rho = []
-            for v in frame["id"]:
-                w = weights[v]
-                s = p[0] * w[0]
-                for h in range(1, len(p)):
-                    s = s + p[h] * w[h]
-                _, group = np.unique(s, return_inverse=True)
-                tied = np.bincount(group, weights=n)
-                x = (np.cumsum(tied) - (tied - 1) / 2.0)[group]
-                x = x - (n * x).sum() / max(n.sum(), 1.0)
-                norm = np.sqrt((n * x * x).sum()) * y_norm
-                rho.append(float((n * x * y_off).sum() / norm) if norm > 0 else None)
+            rho = _agreements([p.value for p in sent], weights[frame["id"]])
             yield pd.DataFrame({"v": frame["id"].astype("int32"), "rho": pd.array(rho, "Float64")})
 
     return spark.range(0, len(vectors), 1, 4 * shuffle_width(spark)).mapInPandas(run, "v int, rho double")
 
 
+def _agreements(pieces: Sequence[np.ndarray], weights: np.ndarray) -> list[float | None]:
+    """Correlation of every vector's average ranks with the first line of ``pieces``; rows count as often as the last one says."""
+    y, n = (np.concatenate([p[i] for p in pieces]) for i in (0, -1))
+    total = max(n.sum(), 1.0)
+    y -= (n * y).sum() / total
+    y_norm = np.sqrt((n * y * y).sum())
+    y *= n
+    out = []
+    for w in weights:
+        s, at = np.empty(len(n)), 0
+        for p in pieces:
+            own = s[at : at + p.shape[1]]
+            np.multiply(p[1], w[0], out=own)
+            for h in range(1, len(_P)):
+                own += p[1 + h] * w[h]
+            at += p.shape[1]
+        order = np.argsort(s)
+        s = s[order]
+        new = s[1:] != s[:-1]
+        if len(s) and np.isnan(s[-1]):
+            new &= ~np.isnan(s[:-1])
+        at = np.concatenate([[0], np.flatnonzero(new) + 1])[: len(s)]
+        tied, own = np.add.reduceat(n[order], at), np.add.reduceat(y[order], at)
+        x = np.cumsum(tied) - (tied - 1) / 2.0
+        x -= (tied * x).sum() / total
+        norm = np.sqrt((tied * x * x).sum()) * y_norm
+        out.append(float((x * own).sum() / norm) if norm > 0 else None)
+    return out
+
+
 def closure_intervals(
     seeds: DataFrame, vectors: Mapping[str, dict[str, float]], n: int = 1000, baseline: float = K.BASELINE_EXPOSURES, seed: int = K.SEED,
 ) -> DataFrame:
